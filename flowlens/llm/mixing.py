@@ -55,7 +55,7 @@ def mix_plan(tokens: dict, max_repeats: float | None = 2.0, target_entropy: floa
     return {"alpha": alpha, "budget": budget, "share": {s: max(1, b * block_tokens // max(1, total)) for s, b in budget.items()}}
 
 
-def mix_sources(df: DataFrame, tokens: Column, key: str, source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, block_tokens: int = 1 << 18, seed: int = 11, bucket_rows: int = 20_000) -> tuple[DataFrame, dict]:
+def mix_sources(df: DataFrame, tokens: Column, key: str, source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, block_tokens: int = 1 << 18, seed: int = 11, bucket_rows: int = 2_000) -> tuple[DataFrame, dict]:
     """The mix as rows (key, source, n_tokens, epoch, block, position) and the plan.
 
     tokens: token count of a row; a null counts as 0. Null source is a source of its own. Rows of 0 tokens come once, in
