@@ -155,7 +155,23 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return find_items(df, [], id_col, text_col, rate) if found is None else found
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """df without the rows whose id has a benchmark item in its text. A row whose id is null is judged by no hit and stays."""
-    bad = contaminated(df, benchmark, id_col, text_col, rate).select(F.col("id").alias("__id")).distinct()
-    return df.join(bad, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+def without_items(df: DataFrame, items: list[tuple[int, str]], text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of df whose text has none of the items, with all columns."""
+    ship(df.sparkSession)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, rate)
+        for batch in batches:
+            clean = [not (text and matcher.find(text)) for text in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = 8_000_000) -> DataFrame:
+    """df without the rows that have a benchmark item in their text; a row is judged by its own text, so there is no join.
+    Rows with null or empty texts stay, as does everything where the benchmark is empty."""
+    for block in item_blocks(benchmark, block_chars=block_chars):
+        df = without_items(df, block, text_col, rate)
+    return df

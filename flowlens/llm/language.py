@@ -176,3 +176,10 @@ def document_languages(docs: DataFrame) -> DataFrame:
     out = F.coalesce(held_out(), F.lit(False))
     prototypes = learn(docs.filter(~out))
     return predict(docs, prototypes, [F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out")])
+
+
+def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose language can't be told (null text, or none of it letters), with all columns; a null
+    language is filled with the predicted one. Learned from the rows of docs that have a language."""
+    known = predict(docs, learn(docs, text_col, lang_col), [F.col(c) for c in docs.columns], text_col).filter(F.col("lang_pred") != UNDETERMINED)
+    return known.select(*[F.coalesce(F.col(c), F.col("lang_pred")).alias(c) if c == lang_col else F.col(c) for c in docs.columns])

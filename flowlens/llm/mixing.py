@@ -86,3 +86,12 @@ def mix_sources(df: DataFrame, tokens: Column, key: str, source: str = "source",
 def document_mix(docs: DataFrame, **params) -> DataFrame:
     """The mix of `documents` by source, in words: doc_id, source, n_tokens, epoch, block, position."""
     return mix_sources(docs, word_tokens(F.col("text")), "doc_id", **params)[0].withColumnRenamed("key", "doc_id")
+
+
+def realised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of docs as the mix has them, repeated where it repeats them, with all columns. A block of the mix lies in
+    one partition, in the order of its permutation. Ids are to be unique; a row with a null id has no place and stays once."""
+    mix = mix_sources(docs.filter(F.col(id_col).isNotNull()), word_tokens(F.col(text_col)), id_col, **params)[0]
+    mix = mix.select(F.col("key").alias("__key"), F.col("epoch").alias("__epoch"), F.col("block").alias("__block"), F.col("position").alias("__position")).dropDuplicates(["__key", "__epoch"])
+    rows = docs.join(mix, F.col(id_col) == F.col("__key"), "left").repartition("__block").sortWithinPartitions("__block", "__position")
+    return rows.select(*docs.columns)

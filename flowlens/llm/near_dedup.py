@@ -225,3 +225,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = sigs.select("id", "n_shingles", "set_a", "set_b").join(found, ["n_shingles", "set_a", "set_b"], "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of near duplicates, with all columns; a null id takes no part, and its row stays."""
+    named = df.filter(F.col(id_col).isNotNull())
+    kept = near_duplicates(named, id_col, text_col).filter("kept").select(F.col("id").alias("__id")).distinct()
+    # the ids are hashed and the rows stream by
+    chosen = named.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return chosen.unionByName(df.filter(F.col(id_col).isNull()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, exact_dedup, html_text, language, licenses, mixing, near_dedup, packing, sharding
+from flowlens.llm import decontaminate, exact_dedup, html_text, language, licenses, mixing, near_dedup, packing, sharding, substring_dedup
 from flowlens.session import table
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("sentence_ids", "rules", "licences")])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_exact_dedup, op4_license_scan, op6_packing, op7_language_id, op8_html_extraction, op9_kd_sharding, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_exact_dedup, op4_license_scan, op5_substring_dedup, op6_packing, op7_language_id, op8_html_extraction, op9_kd_sharding, op10_temperature_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_near_dedup": r"""
@@ -68,4 +72,16 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
     "op4_license_scan": licenses.oracle_sql(),
+    "op5_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+runs AS (
+  SELECT doc_id, s, sha256(array_to_string(words[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS lo FROM runs GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM runs JOIN firsts USING (h) WHERE doc_id > lo),
+lists AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(l), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: l IS NULL OR NOT list_contains(l, x[2])), lambda x: x[1]), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)""",
 }
