@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from flowlens.codecs.compression import decompress
 
 
-@F.pandas_udf("status string, data binary, detail string")
+@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("detail", T.StringType())]))
 def decompressed(data: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     """(status, data, detail) of a payload with this content encoding."""
     return pd.DataFrame([decompress(d, e) for d, e in zip(data, encoding, strict=True)], columns=["status", "data", "detail"])

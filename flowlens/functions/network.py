@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from flowlens import schema
 
@@ -58,7 +58,7 @@ def flow_key(src_addr: Column, src_port: Column, dst_addr: Column, dst_port: Col
     return F.concat_ws("/", F.when(first, F.concat_ws("-", here, there)).otherwise(F.concat_ws("-", there, here)), ip_proto)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv_flow_cookie(src_addr: pd.Series, src_port: pd.Series, dst_addr: pd.Series, dst_port: pd.Series, ip_proto: pd.Series) -> pd.Series:
     """The 64-bit FNV-1a hash of the ordered five-tuple, big-endian, as the capture computes it."""
     sa, sp, da, dp = (x.to_numpy(np.uint64) for x in (src_addr, src_port, dst_addr, dst_port))
@@ -71,7 +71,7 @@ def fnv_flow_cookie(src_addr: pd.Series, src_port: pd.Series, dst_addr: pd.Serie
     return pd.Series(out.view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def socket_key(pid_tgid: pd.Series, src_addr: pd.Series, dst_addr: pd.Series, src_port: pd.Series, dst_port: pd.Series) -> pd.Series:
     """The key that socket events carry; it differs from the packet's key."""
     out = pid_tgid.to_numpy(np.int64).view(np.uint64)
