@@ -56,6 +56,16 @@ def spans(text: Column, pattern: str) -> Column:
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("text")))
 
 
+def _entity(text: Column, category: str):
+    """A span of text as a finding of this category."""
+
+    def make(s: Column) -> Column:
+        before = F.octet_length(F.substring(text, F.lit(1), s["start"]))
+        return F.struct(F.lit(category).alias("category"), F.lit("Regex").alias("source"), s["start"].alias("start"), s["end"].alias("end"), before.alias("byte_start"), (before + F.octet_length(s["text"])).alias("byte_end"), F.lit(1.0).cast("float").alias("confidence"), s["text"].alias("text"))
+
+    return make
+
+
 def entities(text: Column, categories: list[str] | None = None) -> Column:
     """All findings, in the order of the patterns, then of the text; byte places as well as code points. An empty array for none or null."""
     none = F.array().cast(f"array<{ENTITY}>")
@@ -65,11 +75,7 @@ def entities(text: Column, categories: list[str] | None = None) -> Column:
         if name == "CREDIT_CARD":
             found = F.filter(found, lambda s: luhn_valid(F.regexp_replace(s["text"], "[^0-9]", "")))
 
-        def as_entity(s: Column, name: str = name) -> Column:
-            before = F.octet_length(F.substring(text, F.lit(1), s["start"]))
-            return F.struct(F.lit(name).alias("category"), F.lit("Regex").alias("source"), s["start"].alias("start"), s["end"].alias("end"), before.alias("byte_start"), (before + F.octet_length(s["text"])).alias("byte_end"), F.lit(1.0).cast("float").alias("confidence"), s["text"].alias("text"))
-
-        groups.append(F.when(text.rlike(PATTERNS[name]), F.transform(found, as_entity)).otherwise(none))
+        groups.append(F.when(text.rlike(PATTERNS[name]), F.transform(found, _entity(text, name))).otherwise(none))
     return F.coalesce(F.concat(*groups), none)
 
 

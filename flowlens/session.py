@@ -37,8 +37,16 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default: whole texts go through Python, and a batch of
+#: 10,000 of them is held several times over, by the JVM outside its heap and by the worker.
+BATCH_ROWS = "500"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that Python workers can import it."""
+    """Sends this package to the executors, once for each application, so that Python workers can import it, and bounds Arrow batches."""
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -65,9 +73,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "flowlens-checkpoints")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage is cut, and lost executors lose nothing."""
+def files_for(rows: int, each: int = 200_000) -> int:
+    """How many files a table of small rows deserves."""
+    return max(1, -(-rows // each))
+
+
+def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: the lineage is cut, and lost executors lose nothing.
+    files: at most so many, where the rows are known to be few and cheap to make; many small files cost more than they hold."""
     spark = df.sparkSession
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/flowlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
