@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from flowlens.llm.components import connected_components
 from flowlens.llm.textnp import ASCII_LOWER, blocks, mix, sliding, word_hashes, word_spans
-from flowlens.session import materialize, ship
+from flowlens.session import files_for, materialize, ship
 
 SHINGLE = 5
 TREES, LEAST_DEPTH, MOST_DEPTH = 32, 4, 12
@@ -198,16 +198,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id are one document. An empty table gives an empty result. Only the two named columns are read.
     """
     sigs = materialize(signatures(df, id_col, text_col))
+    files = files_for(sigs.count())
     # documents with equal sets are linked; the least stands for all of them
-    classes = materialize(sigs.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    classes = materialize(sigs.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("size")), files)
     reps = sigs.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "n_shingles", "set_a", "set_b"), ["id", "n_shingles", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
-    reps = materialize(reps)
+    reps = materialize(reps, 4 * files)
     pairs = materialize(estimated(neighbours(tree_rows(reps)), reps, num / den - MARGIN))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(ends.hint("shuffle_hash"), "id").dropDuplicates(["id"]))
+    texts = materialize(texts.join(ends.hint("shuffle_hash"), "id"))  # the ids are hashed, so that the texts stream by
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))
-    first = materialize(pairs.withColumn("end", F.explode(F.array("a", "b"))).withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b").distinct())
+    first = materialize(pairs.withColumn("end", F.explode(F.array("a", "b"))).withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b").distinct(), files)
     links = materialize(verified(first, texts, num, den))
     parts = connected_components(links)
     where = parts.select(F.col("node").alias("a"), F.col("component").alias("x"))
@@ -215,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = pairs.join(first, ["a", "b"], "left_anti").join(where, "a", "left").join(also, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
     more = verified(rest, texts, num, den)
     links = materialize(links.unionByName(more))
-    parts = materialize(connected_components(links))
+    parts = materialize(connected_components(links), files)
     more = materialize(verified(_hub_pairs(pairs, links, parts), texts, num, den))
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
@@ -231,6 +232,10 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One document of each component of near duplicates, with all columns; a null id takes no part, and its row stays."""
     named = df.filter(F.col(id_col).isNotNull())
     kept = near_duplicates(named, id_col, text_col).filter("kept").select(F.col("id").alias("__id")).distinct()
-    # the ids are hashed and the rows stream by
-    chosen = named.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    # the ids are hashed and the rows stream by; only where an id is repeated are its rows sorted to keep one
+    chosen = named.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    again = materialize(named.groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"))
+    if not again.isEmpty():
+        same = F.col(id_col) == F.col("__again")
+        chosen = chosen.join(again, same, "left_anti").unionByName(chosen.join(again, same, "left_semi").dropDuplicates([id_col]))
     return chosen.unionByName(df.filter(F.col(id_col).isNull()))

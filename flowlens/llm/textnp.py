@@ -57,7 +57,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about most_bytes of text, a longer row alone: (rows, bytes, offsets)."""
     data, at = buffers(batch.column(batch.schema.get_field_index(text)))
     first = 0
