@@ -58,10 +58,11 @@ def ngrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     letters = np.append(letters, np.uint32(0))
     keep = edge | (letters != 0)
     keep[1:] |= letters[:-1] != 0
-    letters, row = letters[keep], (np.cumsum(edge) - 1)[keep]
+    letters, row, edge = letters[keep], (np.cumsum(edge) - 1)[keep], edge[keep]
     if len(letters) < ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
     inside = (row[1:-1] == row[:-2]) & ((letters[:-2] != 0) | (letters[1:-1] != 0))
+    inside &= (letters[1:-1] != 0) | ~edge[2:]  # a text that ends with a boundary has it once
     present = np.flatnonzero(np.bincount(letters))
     rank = np.zeros(int(present[-1]) + 1, np.int64)
     rank[present] = np.arange(len(present))
