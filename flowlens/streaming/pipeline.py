@@ -3,44 +3,58 @@
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens import schema
 from flowlens.operators import graph
-from flowlens.operators.sessions import INPUT, SessionRunner
+from flowlens.operators.sessions import INPUT
 from flowlens.session import ship
 
+# Spark also unpickles a processor in a driver-side worker, which has no shipped packages: the class goes by value, and
+# what it needs is imported where its rows are handled
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class SessionProcessor(StatefulProcessor):
     """A SessionRunner for each key, kept as bytes between batches. Rows of a batch are put in order first; the state of a
     key that has been silent for long is dropped by the store."""
 
-    def __init__(self, idle_ns: int):
-        self.idle_ns = idle_ns
+    def __init__(self, idle_ns: int, expire: bool):
+        self.idle_ns, self.expire = idle_ns, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("runner", "bytes binary", ttlDurationMs=2 * self.idle_ns // 1_000_000)
+        self.state = handle.getValueState("runner", "bytes binary", ttlDurationMs=2 * self.idle_ns // 1_000_000 if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from flowlens.operators.sessions import SessionRunner
+        from flowlens.schema import SESSION_ROW
+
         kept = self.state.get()
         runner = pickle.loads(kept[0]) if kept else SessionRunner(self.idle_ns)
         events = pd.concat(list(rows)).sort_values(["timestamp_ns", "seq"]).to_dict("records")
         out = [row for event in events for row in runner.feed(event)]
         self.state.update((pickle.dumps(runner),))
-        yield pd.DataFrame(out, columns=schema.SESSION_ROW.names)
+        yield pd.DataFrame(out, columns=SESSION_ROW.names)
 
     def close(self) -> None:
         pass
 
 
-def parse_session_stream(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000) -> DataFrame:
-    """parse_sessions over a stream. Needs the RocksDB state store provider."""
+def parse_session_stream(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000, expire: bool = True) -> DataFrame:
+    """parse_sessions over a stream. Needs the RocksDB state store provider.
+
+    expire drops silent keys by processing time. Spark then runs batches for the clock's sake without end, so a stream that
+    is to stop when its input does (trigger availableNow) takes expire=False.
+    """
     ship(events.sparkSession)
-    return events.select(*INPUT).groupBy("session_key").transformWithStateInPandas(SessionProcessor(idle_ns), schema.SESSION_ROW, "append", "processingTime")
+    processor = SessionProcessor(idle_ns, expire)
+    return events.select(*INPUT).groupBy("session_key").transformWithStateInPandas(processor, schema.SESSION_ROW, "append", "processingTime" if expire else "none")
 
 
 def flow_stream(observations: DataFrame, event_time: str = "event_time", window: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
