@@ -78,12 +78,15 @@ def files_for(rows: int, each: int = 200_000) -> int:
     return max(1, -(-rows // each))
 
 
-def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, files: int | None = None, gather: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage is cut, and lost executors lose nothing.
-    files: at most so many, where the rows are known to be few and cheap to make; many small files cost more than they hold."""
+
+    files: at most so many, where the rows are known to be few; many small files cost more than they hold. The rows are then
+    made by as many tasks, or, with gather, by as many tasks as it takes, and dealt to the writers.
+    """
     spark = df.sparkSession
     if files is not None:
-        df = df.coalesce(files)
+        df = df.repartition(files) if gather else df.coalesce(files)
     path = f"{shared_dir(spark)}/flowlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
