@@ -84,4 +84,19 @@ lists AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(l), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: l IS NULL OR NOT list_contains(l, x[2])), lambda x: x[1]), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN lists USING (doc_id)""",
+    "op10_temperature_mix": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+t AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS total FROM d GROUP BY source),
+m AS (SELECT max(total) AS largest, min(total) FILTER (total > 0) AS least FROM t),
+b(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(CASE WHEN CAST(largest AS DOUBLE) / least <= 2.0 THEN 0 ELSE 1 END AS DOUBLE) FROM m
+  UNION ALL SELECT i + 1, CASE WHEN pow(CAST(largest AS DOUBLE) / least, 1 - (lo + hi) / 2) <= 2.0 THEN lo ELSE (lo + hi) / 2 END,
+    CASE WHEN pow(CAST(largest AS DOUBLE) / least, 1 - (lo + hi) / 2) <= 2.0 THEN (lo + hi) / 2 ELSE hi END FROM b, m WHERE i < 60),
+alpha AS (SELECT hi AS alpha FROM b WHERE i = 60),
+w AS (SELECT source, total, CASE WHEN total = 0 THEN 0 ELSE total * greatest(1000, CAST(round(1000 * pow(CAST(largest AS DOUBLE) / total, 1 - alpha)) AS BIGINT)) // 1000 END AS budget FROM t, m, alpha),
+p AS (SELECT source, total, budget, greatest(1, budget * 262144 // greatest(1, CAST(sum(budget) OVER () AS BIGINT))) AS share, CASE WHEN total = 0 THEN 1 ELSE (budget + total - 1) // total END AS epochs FROM w),
+e AS (SELECT d.doc_id, d.source, d.n_tokens, p.total, p.budget, p.share, unnest(range(0, p.epochs)) AS epoch FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+o AS (SELECT *, md5('11:' || epoch || ':' || doc_id) AS position FROM e WHERE epoch = 0 OR n_tokens > 0),
+q AS (SELECT *, epoch * total + CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) - n_tokens AS ahead FROM o)
+SELECT doc_id, source, n_tokens, epoch, ahead // share AS block, position FROM q WHERE epoch = 0 OR ahead < budget""",
 }
