@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.textnp import ASCII_LOWER, blocks
-from flowlens.session import materialize, ship
+from flowlens.session import files_for, materialize, ship
 
 _P = np.uint64((1 << 31) - 1)
 #: The two bases of the fingerprint.
@@ -113,21 +113,24 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some chunk (a collision) are told apart by the digest of the whole text. fingerprint: replaceable, for tests.
     """
     prints = materialize(fingerprint(df, id_col, text_col, chunk))
-    groups = prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("size")).filter("size > 1").drop("size")
+    files = files_for(prints.count())
+    # both sides of a join on a fingerprint are tables, so that a hot one can be split
+    groups = materialize(prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("size")).filter("size > 1").drop("size"), files, gather=True)
     members = prints.join(groups, ["fp", "n_bytes"]).select("id", "fp", "n_bytes")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the ids are the small side: hashed, so that the texts stream by and are never sorted
     suspects = texts.join(members.dropDuplicates(["id"]).hint("shuffle_hash"), "id")
-    unequal = (
+    unequal = materialize(
         _chunks(suspects, compare_chunk).groupBy("fp", "n_bytes", "chunk_no")
         .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
-        .filter("least != most").select("fp", "n_bytes").distinct()
-    )
-    split = prints.join(unequal.withColumn("collides", F.lit(True)), ["fp", "n_bytes"], "left").withColumn(
-        "part", F.when(F.col("collides"), F.col("text_sha256")).otherwise(F.lit("")))
-    split = materialize(split.select("id", "fp", "n_bytes", "part", "text_sha256"))
+        .filter("least != most").select("fp", "n_bytes").distinct(),
+        files, gather=True)
+    split = prints.withColumn("part", F.lit(""))
+    if not unequal.isEmpty():
+        split = prints.join(unequal.withColumn("collides", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("collides"), F.col("text_sha256")).otherwise(F.lit("")))
+        split = materialize(split.drop("collides"))
     keep = split.groupBy("fp", "n_bytes", "part").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    shared = keep.filter("group_size > 1")
+    shared = materialize(keep.filter("group_size > 1"), files, gather=True)
     return split.join(shared, ["fp", "n_bytes", "part"], "left").select(
         "id",
         F.coalesce("keep_id", "id").alias("keep_id"),
