@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.textnp import blocks, mix, sliding, word_hashes, word_spans
-from flowlens.session import materialize, ship
+from flowlens.session import files_for, materialize, ship
 
 LENGTH, GRAM = 50, 16
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -156,10 +156,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     seeds = materialize(_seeds(base, length, gram))
     seed = seeds.filter("id is not null").select("id", F.inline("anchors"))
     shared = seed.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    seed = materialize(seed.join(shared, "h", "left_semi"))
+    files = files_for(8 * seeds.count())  # a document has some tens of anchors, of which a part is shared
+    seed = materialize(seed.join(shared, "h", "left_semi"), files, gather=True)
     classes = seed.groupBy("h", "n").agg(F.min("id").alias("least"))
     several = classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h", F.lit(True).alias("several"))
-    classes = materialize(classes.join(several, "h", "left"))
+    classes = materialize(classes.join(several, "h", "left"), files, gather=True)
     found = seed.join(classes, ["h", "n"]).filter("id > least or several")
     full = F.when(F.col("id") > F.col("least"), F.col("pos"))
     probe = F.when(F.col("id") == F.col("least"), F.struct("h", "pos"))
