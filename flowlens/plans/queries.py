@@ -233,7 +233,17 @@ def q_flow_key(spark, sf):
     return _ends(spark, sf).select("event_id", network.flow_key(F.col("sa"), F.col("sp"), F.col("da"), F.col("dp"), F.col("pr")).alias("flow_key"))
 
 
-@query()
+_FIRST = "(sa < da OR (sa = da AND sp <= dp))"
+_TUPLE = [(f"CASE WHEN {_FIRST} THEN {a} ELSE {b} END", n) for a, b, n in (("sa", "da", 4), ("sp", "dp", 2), ("da", "sa", 4), ("dp", "sp", 2))] + [("pr", 1)]
+_BYTES = ", ".join(f"CAST((({v}) >> {8 * i}) & 255 AS HUGEINT)" for v, n in _TUPLE for i in range(n - 1, -1, -1))
+_STEP = "% 18446744073709551616"
+_SIGNED = "CAST(CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END AS BIGINT)"
+
+
+@query(f"""WITH e AS ({_ENDS}),
+h AS (SELECT event_id, list_reduce([CAST(14695981039346656037 AS HUGEINT), {_BYTES}], lambda h, b: (xor(h, b) * CAST(1099511628211 AS HUGEINT)) {_STEP}) AS h,
+  xor((xor((xor(CAST(event_id AS HUGEINT), CAST(sa AS HUGEINT)) * CAST(1099511628211 AS HUGEINT)) {_STEP}, CAST(da AS HUGEINT)) * CAST(1099511628211 AS HUGEINT)) {_STEP}, CAST(sp * 65536 + dp AS HUGEINT)) AS k FROM e)
+SELECT event_id, {_SIGNED.format(h='h')} AS cookie, {_SIGNED.format(h='k')} AS socket_key FROM h""")
 def q_cookie_flow(spark, sf):
     return _ends(spark, sf).select("event_id", network.fnv_flow_cookie("sa", "sp", "da", "dp", "pr").alias("cookie"), network.socket_key("event_id", "sa", "da", "sp", "dp").alias("socket_key"))
 
