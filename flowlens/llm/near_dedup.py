@@ -2,15 +2,18 @@
 
 Equal shingle sets are one class, and one document stands for it. Each tree of the forest is an order: the documents
 sorted by their signature, read from another place. In a sorted order, the neighbours of a document are those with which
-it shares the longest prefix, so it takes its nearest neighbours as candidates, as deep as the region around it is dense,
-if they share a least depth, and the least id of the region of that depth. A dense region (thousands of near copies)
-costs no more than a thin one. The orders are
-range-partitioned, so a region of any size is spread out.
+it shares the longest prefix, so it takes its nearest neighbours as candidates, if they share a least depth, and the
+least id of the region of that depth. The orders are range-partitioned, so a region of any size is spread out.
 
 Candidates whose signatures agree too little are dropped, the rest are verified on full shingle sets, in rounds: first
 each document's best candidates, then those that would still join two components, then, where all of these failed, the
 hub of the component that the document lies next to.
 
+In a region of more documents than neighbours reach, most pairs are no candidates yet. Where the members of such a crowded
+region are still in several components, an exact path follows (`exact_pairs`): a join on the rarest shingles of each
+document that finds every pair of two components that may reach the threshold, however many documents share a template.
+So every pair of a region is linked if it is similar enough.
+
 With 32 trees and least depth 4, a pair of similarity 0.75 shares no tree with probability (1 - 0.75**4)**32 = 5e-6.
 """
 
@@ -105,42 +108,50 @@ def tree_rows(reps: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Candidates of a forest: a < b, the trees in which they are neighbours, and the deepest prefix they share."""
+    """Candidates of a forest, a < b, each once; and, with `crowded`, each member a of a region b (a hash of its prefix) in
+    which not every pair is a candidate, as it has more than NEIGHBOURS + 1 members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, prefix = 1 + 2 * MOST_DEPTH, 1 + 2 * LEAST_DEPTH
         ids, keys = np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
-        leader = None  # of the region that the last batch ended in
+        leader, held = None, 0  # of the region that the last batch ended in: its least id, its members so far
         for batch in batches:
+            if not batch.num_rows:
+                continue
             old = len(ids)
             ids = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)])
             keys = np.concatenate([keys, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)])
-            found = []
+            found, members = [], []
             for lag in range(1, NEIGHBOURS + 1):
                 here = np.arange(max(old, lag), len(ids))
-                same = keys[here] == keys[here - lag]
-                close = same[:, :1 + 2 * LEAST_DEPTH].all(1)
-                here, same = here[close], same[close][:, 1:].reshape(-1, MOST_DEPTH, 2).all(2)
-                depth = np.where(same.all(1), MOST_DEPTH, same.argmin(1))
+                here = here[(keys[here, :prefix] == keys[here - lag, :prefix]).all(1)]
                 x, y = ids[here], ids[here - lag]
-                found.append((np.minimum(x, y), np.maximum(x, y), depth))
+                found.append((np.minimum(x, y), np.maximum(x, y)))
             heads = keys[old:, :prefix]
-            if len(heads):
-                edge = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1)]))
-                least = np.minimum.reduceat(ids[old:], edge)
-                if leader is not None and (keys[old - 1, :prefix] == heads[0]).all():
-                    found.append((np.array([min(leader, least[0])]), np.array([max(leader, least[0])]), np.array([LEAST_DEPTH])))
-                    least[0] = min(leader, least[0])
-                leader = least[-1]
-                least = np.repeat(least, np.diff(np.append(edge, len(heads))))
-                found.append((np.minimum(least, ids[old:]), np.maximum(least, ids[old:]), np.full(len(heads), LEAST_DEPTH)))
-            a, b, depth = (np.concatenate(c) for c in zip(*found, strict=True))
-            other = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(depth[other].astype(np.int32))], ["a", "b", "depth"])
-            ids, keys = ids[-NEIGHBOURS:], keys[-NEIGHBOURS:]
+            edge = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1)]))
+            least = np.minimum.reduceat(ids[old:], edge)
+            size = np.diff(np.append(edge, len(heads)))
+            region = mix(np.ascontiguousarray(heads[edge, 1:]).view(np.uint64)[:, 0] + mix(heads[edge, 0].astype(np.uint64))).view(np.int64)
+            total = size.copy()
+            if leader is not None and (keys[old - 1, :prefix] == heads[0]).all():
+                found.append((np.array([min(leader, least[0])]), np.array([max(leader, least[0])])))
+                least[0] = min(leader, least[0])
+                total[0] += held
+                if held <= NEIGHBOURS + 1 < total[0]:
+                    members.append((ids[old - held:old], np.repeat(region[:1], held)))
+            leader, held = least[-1], total[-1]
+            crowd = np.repeat(total > NEIGHBOURS + 1, size)
+            members.append((ids[old:][crowd], np.repeat(region, size)[crowd]))
+            least = np.repeat(least, size)
+            found.append((np.minimum(least, ids[old:]), np.maximum(least, ids[old:])))
+            for rows, crowded in ((found, False), (members, True)):
+                a, b = (np.concatenate(c) for c in zip(*rows, strict=True))
+                other = (a != b) | crowded
+                yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(np.full(other.sum(), crowded))], ["a", "b", "crowded"])
+            ids, keys = ids[-NEIGHBOURS - 1:], keys[-NEIGHBOURS - 1:]
 
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "id")
-    return ordered.mapInArrow(run, "a long, b long, depth int").groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("depth").alias("depth"))
+    return ordered.mapInArrow(run, "a long, b long, crowded boolean").distinct()
 
 
 def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -190,6 +201,54 @@ def _hub_pairs(pairs: DataFrame, links: DataFrame, parts: DataFrame) -> DataFram
     return proposed.join(pairs, ["a", "b"], "left_anti")
 
 
+def undecided(regions: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members (a) of crowded regions (b) whose documents are in several components: id and component."""
+    placed = regions.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("component"))
+    mixed = placed.groupBy("b").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("b")
+    return placed.join(mixed, "b", "left_semi").select(F.col("a").alias("id"), "component").distinct()
+
+
+def exact_pairs(texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Every pair a < b of texts (id, component, text) of different components that may have den * intersection >= num * union.
+
+    Shingles are put in one order, rare ones first. If the first shingle that two documents share is at place i of n and j of
+    m, they share at most 1 + min(n - i, m - j); so the longer document need show only its first places, and the shorter
+    fewer still. What a whole family shares comes last and is not looked at, unless the family is near the threshold. For
+    each shingle, its most frequent component is joined with the others, not with itself; a hot shingle is split.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, at in blocks(batch, "text"):
+                sets = shingle_sets(data, at)
+                n = np.array([len(s) for s in sets])
+                ids, parts = (np.repeat(rows.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(parts), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "c", "n", "h"])
+
+    sets = materialize(texts.select("id", "component", "text").mapInArrow(run, "id long, c long, n long, h long"))
+    counts = sets.groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1")
+    order = Window.partitionBy("id").orderBy(F.col("seen").asc_nulls_first(), "h")
+    placed = sets.join(counts, "h", "left").withColumn("i", F.row_number().over(order).cast("long"))
+    placed = materialize(placed.filter(F.col("seen").isNotNull() & (den * (1 + F.col("n") - F.col("i")) >= num * F.col("n"))).select("id", "c", "n", "h", "i"))
+    by_part = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
+    shared = by_part.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1")
+    shared = shared.select("h", "major", F.ceil(F.col("k") / 1000).cast("int").alias("split"))
+    placed = materialize(placed.join(shared, "h"))
+    short = (num + den) * (1 + F.col("n") - F.col("i")) >= 2 * num * F.col("n")
+    odd = F.col("c") != F.col("major")
+
+    def joined(few: DataFrame, many: DataFrame, longer: bool) -> DataFrame:
+        few = few.select("h", F.expr("cast(pmod(xxhash64(id), split) as int)").alias("salt"), *[F.col(k).alias(k + "1") for k in ("id", "c", "n", "i")])
+        many = many.select("h", F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("salt"), *[F.col(k).alias(k + "2") for k in ("id", "c", "n", "i")])
+        fit = (num + den) * (1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))) >= num * (F.col("n1") + F.col("n2"))
+        sizes = F.col("n1") >= F.col("n2") if longer else F.col("n1") <= F.col("n2")
+        both = few.join(many, ["h", "salt"]).filter(sizes & (F.col("c1") != F.col("c2")) & fit)
+        return both.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+    return joined(placed.filter(odd), placed.filter(short), True).unionByName(joined(placed.filter(odd & short), placed, False)).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, best: int = 2) -> DataFrame:
     """Components of documents linked by den * intersection >= num * union of their distinct 5-word shingles (A-Z lower-cased).
 
@@ -203,10 +262,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(sigs.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("size")), files)
     reps = sigs.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "n_shingles", "set_a", "set_b"), ["id", "n_shingles", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
     reps = materialize(reps, 4 * files)
-    pairs = materialize(estimated(neighbours(tree_rows(reps)), reps, num / den - MARGIN))
+    forest = materialize(neighbours(tree_rows(reps)))
+    pairs = materialize(estimated(forest.filter("not crowded"), reps, num / den - MARGIN))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(ends.hint("shuffle_hash"), "id"))  # the ids are hashed, so that the texts stream by
+    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = materialize(every.join(ends.hint("shuffle_hash"), "id"))  # the ids are hashed, so that the texts stream by
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))
     first = materialize(pairs.withColumn("end", F.explode(F.array("a", "b"))).withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b").distinct(), files)
     links = materialize(verified(first, texts, num, den))
@@ -219,7 +279,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = materialize(connected_components(links), files)
     more = materialize(verified(_hub_pairs(pairs, links, parts), texts, num, den))
     if not more.isEmpty():
-        parts = connected_components(links.unionByName(more))
+        links = links.unionByName(more)
+        parts = connected_components(links)
+    left = materialize(undecided(forest.filter("crowded"), parts), files)
+    if not left.isEmpty():
+        texts = materialize(every.join(left.hint("shuffle_hash"), "id").dropDuplicates(["id"]))
+        more = materialize(verified(exact_pairs(texts, num, den).join(pairs, ["a", "b"], "left_anti"), texts, num, den))
+        if not more.isEmpty():
+            parts = connected_components(links.unionByName(more))
     found = classes.join(parts, F.col("rep") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"), "size", "rep")
     # a class of one row whose component is itself needs no row here
     found = found.filter("size > 1 or component_id != rep").select("n_shingles", "set_a", "set_b", "component_id")

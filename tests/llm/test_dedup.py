@@ -118,6 +118,32 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def family(n, least=5000):
+    """n pages of one template, 0.70 to 0.74 alike; two by two they share a line more and are just over 0.75."""
+    rng = random.Random(8)
+
+    def words(k):
+        return [f"w{rng.randrange(1 << 40)}" for _ in range(k)]
+
+    template, docs = words(250), []
+    for i in range(n):
+        if i % 2 == 0:
+            line = words(12)
+        docs.append((least + i, " ".join(template + line + words(33))))
+    return docs
+
+
+def test_every_pair_of_a_crowded_region(spark):
+    docs = family(600)
+    sets = [shingles(t) for _, t in docs]
+    alike = [[len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(0, 40) if j != i] for i in range(40)]
+    assert all(sum(x >= 0.75 for x in row) == 1 and min(row) >= 0.70 for row in alike)
+    rng = random.Random(2)
+    rng.shuffle(docs)
+    out = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, docs)).collect()}
+    assert out == {i: i - i % 2 for i, _ in docs}
+
+
 def test_a_hub_whose_copies_are_apart_from_one_another(spark):
     """Every copy is linked with the original only; all are one component."""
     rng = random.Random(5)
