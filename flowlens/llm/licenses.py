@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of what is no letter or digit as one space), and the
-known ones are mapped to their identifiers. The identifiers, in the order of the text, are then matched against ordered
+A text is cut into parts at stops and line breaks, each is normalised (lower case, runs of what is no letter or digit as one
+space), and the known sentences are mapped to their identifiers. A known sentence is one part, or several that follow each
+other without a blank line between, as notices are wrapped and hold stops inside (`free software: you can`, `v. 2.0`). The identifiers, in the order of the text, are then matched against ordered
 rules: a rule names the sentences that a licence text or notice must show one after the other; others may stand between.
 """
 
@@ -52,6 +53,17 @@ SENTENCES: dict[int, str] = {
     60: "all rights reserved",
 }
 
+#: Other forms that official notices give a sentence.
+FORMS: dict[str, int] = {
+    "licensed under the apache license version 2 0 the license": 1,
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": 3,
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": 3,
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": 36,
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": 36,
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": 51,
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": 51,
+}
+
 #: Rules, by name: licence, and the sentences in the order they must appear.
 RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "apache-notice": ("Apache-2.0", (1,)),
@@ -83,8 +95,8 @@ RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "reserved": ("LicenseRef-all-rights-reserved", (60,)),
 }
 
-#: A sentence ends at a line break, or at a stop, mark or colon that white space or the end follows.
-BREAK = r"[\n\r]+|[.!?;:]+(?:[ \t]+|\z)"
+#: A part ends at a line break, or at a stop, mark or colon that blanks or the end follow.
+STOP = r"[.!?;:]+(?:[ \t]+|\z)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every known sentence has one of these; a text with none need not be cut.
 STEMS = r"(?i)licen[sc]e|permission|copyright|software|redistribut|obtain|warranty|rights|forms|mpl"
@@ -92,15 +104,17 @@ STEMS = r"(?i)licen[sc]e|permission|copyright|software|redistribut|obtain|warran
 
 def sentence_ids(text: Column, sentences: dict[int, str] | None = None) -> Column:
     """The identifiers of the known sentences of a text, in its order; an empty array for none, null or an empty text."""
-    known = sentences or SENTENCES
-    keys = F.array(*[F.lit(x) for x in known.values()])
-    ids = F.array(*[F.lit(i) for i in known])
-
-    def identify(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
-        return F.coalesce(F.try_element_at(ids, F.nullif(F.array_position(keys, plain), F.lit(0).cast("long")).cast("int")), F.lit(0))
-
-    found = F.filter(F.transform(F.split(text, BREAK, -1), identify), lambda i: i > 0)
+    known = {s: i for i, s in (sentences or SENTENCES).items()} | (FORMS if sentences is None else {})
+    keys = F.array(*[F.lit(x) for x in known])
+    ids = F.array(*[F.lit(i) for i in known.values()])
+    # parts with | between them, and ~ where a blank line is
+    plain = F.regexp_replace(F.translate(text, UPPER + "|~", LOWER + "  "), "\r\n?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, STOP, "|"), "[^a-z0-9|\n]+", " ")
+    plain = F.regexp_replace(F.concat(F.lit("~"), plain, F.lit("~")), r"\n(?: ?\n)+", "~")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[ |\n]*~[ |\n~]*", "~"), r"[ |\n]*[|\n][ |\n]*", "|")
+    longest = sorted(known, key=len, reverse=True)
+    pattern = "(?<=[|~])(?:" + "|".join(x.replace(" ", "[ |]") for x in longest) + ")(?=[|~])"
+    found = F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), lambda x: F.element_at(ids, F.array_position(keys, F.translate(x, "|", " ")).cast("int")))
     return F.coalesce(F.when(text.rlike(STEMS), found) if sentences is None else found, F.array().cast("array<int>"))
 
 
@@ -128,7 +142,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def oracle_sql() -> str:
-    """The scan of `documents` in SQL, arrays as text."""
+    """The scan of `documents` in SQL, arrays as text; it knows only sentences that are one part each, as in the tables."""
     known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
     rules = ", ".join(f"({n}, '{name}', '{lic}', ',{',(?:[0-9]+,)*'.join(map(str, seq))},')" for n, (name, (lic, seq)) in enumerate(RULES.items()))
     return f"""
