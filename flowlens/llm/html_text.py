@@ -2,13 +2,16 @@
 
 Markup is stripped into lines of text: a line ends at a block tag or <br>, and a tag that opens or closes a container
 leaves an empty line. Elements that never hold main text (menus, forms, scripts, and what a class, id or role names as
-such) leave nothing. The lengths of the lines are summed over a sliding window. A surge point is where the sum leaves
-zero, a dive point where it falls back; the text between the surge and the dive that enclose most text is kept. The edges
-of an <article> or <main> are made a full window wide, so a page that marks its article is cut exactly there.
+such) leave nothing. A page that marks its article by <article> or <main> gives all of the outermost one with most text.
+Otherwise the lengths of the lines are summed over a sliding window. A surge point is where the sum leaves zero, a dive point
+where it falls back; the text between the surge and the dive that enclose most is the core. All text of the innermost
+container is kept that holds the core and every other line of prose (PROSE characters outside links), so an article that
+tables, lists and sections cut into stretches stays whole.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -20,12 +23,16 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.session import ship
 
 WINDOW = 3
+#: A line of so many characters outside links is prose wherever it stands.
+PROSE = 80
 
 #: HTML's element kinds as far as they matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article aside body center content div dl fieldset footer header html main nav ol section table tbody td th tr ul".split())
 MAIN = frozenset("article main".split())
+#: Containers that hold a whole article; tables, lists and sections are parts of one.
+HOLDERS = frozenset("center content div fieldset".split())
 RAW = ("script", "style", "noscript", "template", "svg", "math", "canvas", "object", "iframe", "textarea", "xmp")
 DROPPED = frozenset("head title nav footer aside form button select option datalist dialog menu menuitem audio video map".split())
 #: Words of a class, id or role that name something other than main text.
@@ -64,22 +71,25 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def page_lines(html: str) -> list[tuple[str, int, int]]:
-    """The page as lines: text, its characters outside links, and the number of the <article> or <main> it is in (0: none)."""
+def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """The page as lines: text, its characters outside links (inside a marked article: all), the number of the outermost
+    <article> or <main> it is in (0: none), and the HOLDERS around it."""
     html = _NOISE.sub(lambda m: "" if m[1] is None else "<br>", html)
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, tuple[int, ...]]] = []
     piece: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements; whether they drop what they hold
     dropping = links = inside = count = 0
     mains: list[int] = []
+    path: list[int] = []
+    holders = 0
 
     def flush() -> None:
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
                 out = len("".join(text.split())) - len("".join(unescape("".join(linked)).split()))
-                lines.append((text, len(text) if inside else max(0, out), inside))
+                lines.append((text, len(text) if inside else max(0, out), inside, tuple(path)))
             piece.clear()
             linked.clear()
 
@@ -88,9 +98,11 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
         name, drops = stack.pop()
         dropping -= drops
         links -= name == "a"
+        if name in HOLDERS:
+            path.pop()
         if name in MAIN and not drops and not dropping and mains:
             flush()
-            lines.extend([("", 0, 0)] * WINDOW)
+            lines.extend([("", 0, 0, ())] * WINDOW)
             mains.pop()
             inside = mains[-1] if mains else 0
 
@@ -105,7 +117,7 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
         if name not in INLINE and not dropping:
             flush()
             if name in CONTAINERS:
-                lines.append(("", 0, inside))
+                lines.append(("", 0, inside, tuple(path)))
         if close:
             if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
@@ -124,9 +136,13 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
             stack.append((name, drops))
             dropping += drops
             links += name == "a"
+            if name in HOLDERS:
+                holders += 1
+                path.append(holders)
             if name in MAIN and not dropping:
-                lines.extend([("", 0, 0)] * WINDOW)
-                count += 1
+                lines.extend([("", 0, 0, ())] * WINDOW)
+                if not mains:
+                    count += 1
                 mains.append(count)
                 inside = count
     if not dropping and at < len(html):
@@ -142,22 +158,26 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html or "")
     if not lines:
         return ""
+    marked: dict[int, int] = {}
+    for _, size, mark, _ in lines:
+        if mark and size:
+            marked[mark] = marked.get(mark, 0) + size
+    if marked:
+        best = max(marked, key=marked.__getitem__)
+        return " ".join(x[0] for x in lines if x[2] == best and x[0])
     weight = np.array([x[1] for x in lines] + [0] * WINDOW)
     total = np.concatenate([[0], np.cumsum(weight)])
     sums = total[WINDOW:] - total[:-WINDOW]
     sums = np.concatenate([[0], sums[:len(lines)], [0]])
     surge = np.flatnonzero((sums[1:] > 0) & (sums[:-1] == 0))
     dive = np.flatnonzero((sums[1:] == 0) & (sums[:-1] > 0))
-    best, most = None, (False, 0)
-    for first, last in zip(surge.tolist(), dive.tolist(), strict=True):
-        last = min(last, len(lines))
-        marked = any(x[2] for x in lines[first:last] if x[1])
-        score = (marked, int(total[last] - total[first]))
-        if score > most:
-            best, most = (first, last), score
-    if best is None:
+    stretches = [(first, min(last, len(lines))) for first, last in zip(surge.tolist(), dive.tolist(), strict=True)]
+    if not stretches:
         return ""
-    kept = lines[best[0]:best[1]]
+    first, last = max(stretches, key=lambda x: int(total[x[1]] - total[x[0]]))
+    paths = [x[3] for i, x in enumerate(lines) if x[1] >= PROSE or (x[1] and first <= i < last)]
+    around = os.path.commonprefix(paths)
+    kept = [x for x in lines if x[3][:len(around)] == around]
     solid = [i for i, x in enumerate(kept) if x[1]]
     return " ".join(x[0] for x in kept[solid[0]:solid[-1] + 1] if x[0])
 

@@ -145,6 +145,27 @@ def test_main_text(open_, close, inner):
     assert html_text.main_text(AROUND[0] + open_ + body + close + AROUND[1]) == WANT
 
 
+LONG = "A paragraph of the article that has quite a few words, so that it is taken for prose wherever it stands {}."
+
+
+@pytest.mark.parametrize("open_,close", [("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"), ("<div><div class='text'>", "</div></div>")])
+@pytest.mark.parametrize("between", [
+    "<table><tbody><tr><td>x</td></tr></tbody></table>", "<div><div><table><tr><td>x</td></tr></table></div></div>", "<section><div><div><ul><li>x</li></ul></div></div></section>",
+    "</div></div><div><div>x</div></div><div><div>", "<article><h2>x</h2></article>"])
+def test_an_article_in_several_stretches(open_, close, between):
+    if "</div></div><div>" in between:
+        open_, close = open_ + "<div><div>", "</div></div>" + close
+    elif "<article" in between and "<div" == open_[:4]:
+        between = "<section><div><h2>x</h2></div></section>"  # a page that marks anything gives what it marks
+    html = AROUND[0] + open_ + f"<h1>T</h1><p>{LONG.format(1)}</p>{between}<p>{LONG.format(2)}</p>{between}<section><div><p>B.</p></div></section>" + close + AROUND[1]
+    assert html_text.main_text(html) == f"T {LONG.format(1)} x {LONG.format(2)} x B."
+
+
+def test_sections_of_an_unmarked_page():
+    html = AROUND[0] + "".join(f"<section><div><div><p>{LONG.format(i)}</p></div></div></section>" for i in range(4)) + AROUND[1]
+    assert html_text.main_text(html) == " ".join(LONG.format(i) for i in range(4))
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Only.</article>"), (2, None, None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (5, "u", "plain text"), (6, "u", "<article><p>cut of"), (7, "u", "<a <b < c & d"), (1, "u", "<article><p>Only.</article>")], "page_id long, url string, html string")
     out = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect())
