@@ -2,7 +2,7 @@
 
 Markup is stripped into lines of text: a line ends at a block tag or <br>, and a tag that opens or closes a container
 leaves an empty line. Elements that never hold main text (menus, forms, scripts, and what a class, id or role names as
-such) leave nothing. A page that marks its article by <article> or <main> gives all of the outermost one with most text.
+such) leave nothing; of a form around text only controls and labels are dropped. A page that marks its article by <article> or <main> gives all of the outermost one with most text.
 Otherwise the lengths of the lines are summed over a sliding window. A surge point is where the sum leaves zero, a dive point
 where it falls back; the text between the surge and the dive that enclose most is the core. All text of the innermost
 container is kept that holds the core and every other line of prose (PROSE characters outside links), so an article that
@@ -50,10 +50,21 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BLOCK = re.compile(r"<(?:article|main|p|h[1-6])\b", re.I)
+_CONTROL = re.compile(r"<(label|legend|button|select|datalist)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 
 
-def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    if name in DROPPED or (name == "header" and not inside):
+def _wraps_page(html: str, start: int) -> bool:
+    """Whether the form that opens before start holds text: an article, a paragraph, a heading or a line of prose."""
+    end = _FORM_END.search(html, start)
+    held = html[start:end.start() if end else len(html)]
+    return bool(_BLOCK.search(held)) or any(len(" ".join(x.split())) >= PROSE for x in re.split("<[^>]*>", _CONTROL.sub("<br>", held)))
+
+
+def _is_boilerplate(name: str, attributes: str, inside: bool, wraps: bool = False) -> bool:
+    """wraps: it is a form around text, which is kept unless an attribute names more than a form."""
+    if name in DROPPED and not wraps or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body") or name in MAIN and "comment" not in attributes.lower():
         return False
@@ -66,7 +77,7 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
                 return True
         elif key in ("class", "id", "role"):
             words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-            if words & (BOILERPLATE if inside else BOILERPLATE | OUTSIDE) - (OUTSIDE if inside else frozenset()):
+            if (words - {"form"} if wraps else words) & (BOILERPLATE if inside else BOILERPLATE | OUTSIDE) - (OUTSIDE if inside else frozenset()):
                 return True
     return False
 
@@ -132,7 +143,8 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
                         break
                     if stack[depth][0] not in INLINE:
                         break
-            drops = _is_boilerplate(name, attributes or "", bool(inside))
+            wraps = name == "form" and not dropping and _wraps_page(html, at)
+            drops = _is_boilerplate(name, attributes or "", bool(inside), wraps) or (name in ("label", "legend") and any(x[0] == "form" for x in stack))
             stack.append((name, drops))
             dropping += drops
             links += name == "a"

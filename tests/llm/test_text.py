@@ -166,6 +166,16 @@ def test_sections_of_an_unmarked_page():
     assert html_text.main_text(html) == " ".join(LONG.format(i) for i in range(4))
 
 
+@pytest.mark.parametrize("form", ["<form id='aspnetForm' method=post>", "<form name=f id=form1 action='./search.aspx'>", "<form>"])
+@pytest.mark.parametrize("open_,close", [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>")])
+def test_a_form_around_the_page(form, open_, close):
+    page = "<input type=hidden value=x><div><label for=q>Find</label><input id=q><select><option>One</select><button>Go</button></div>"
+    html = "<body>" + form + page + open_ + f"<h1>T</h1><p>{LONG.format(1)}</p><p>B.</p>" + close + "</form></body>"
+    assert html_text.main_text(html) == f"T {LONG.format(1)} B."
+    assert html_text.main_text(f"<body>{form}<div>{LONG.format(1)}</div></form></body>") == LONG.format(1)
+    assert html_text.main_text(f"<body><article>{LONG.format(1)}{form}<div><label>{LONG.format(2)}</label> Go <input></div></form></article>") == LONG.format(1)
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Only.</article>"), (2, None, None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (5, "u", "plain text"), (6, "u", "<article><p>cut of"), (7, "u", "<a <b < c & d"), (1, "u", "<article><p>Only.</article>")], "page_id long, url string, html string")
     out = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect())
