@@ -176,6 +176,17 @@ def test_a_form_around_the_page(form, open_, close):
     assert html_text.main_text(f"<body><article>{LONG.format(1)}{form}<div><label>{LONG.format(2)}</label> Go <input></div></form></article>") == LONG.format(1)
 
 
+@pytest.mark.parametrize("attributes", ['href="/hidden-gems"', "href=/hidden/id=comments", 'title="The hidden city"', 'data-hidden="false"', "href='/x?a=1&id=comments'", 'data-class="ad"', 'title="a role=menu b"', 'title = "x style=display:none"'])
+def test_attributes_are_whole_names(attributes):
+    for name in ("a", "p", "section"):
+        assert html_text.main_text(f"<article><p>One</p><{name} {attributes}>two</{name}><p>three</p></article>") == "One two three"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'x="1" HIDDEN', "data-x hidden=''", "aria-hidden=true", 'href="/a"class="ad"', "title='a' id = comments", "class=ad/", 'style="display: none"'])
+def test_attributes_that_drop(attributes):
+    assert html_text.main_text(f"<article><p>One</p><div {attributes}>two</div><p>three</p></article>") == "One three"
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Only.</article>"), (2, None, None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (5, "u", "plain text"), (6, "u", "<article><p>cut of"), (7, "u", "<a <b < c & d"), (1, "u", "<article><p>Only.</article>")], "page_id long, url string, html string")
     out = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect())
