@@ -9,7 +9,7 @@ Candidates whose signatures agree too little are dropped, the rest are verified
 each document's best candidates, then those that would still join two components, then, where all of these failed, the
 hub of the component that the document lies next to.
 
-In a region of more documents than neighbours reach, most pairs are no candidates yet. Where the members of such a crowded
+In a region of more documents than neighbours reach, and in one that a range boundary cuts, most pairs are no candidates yet. Where the members of such a crowded
 region are still in several components, an exact path follows (`exact_pairs`): a join on the rarest shingles of each
 document that finds every pair of two components that may reach the threshold, however many documents share a template.
 So every pair of a region is linked if it is similar enough.
@@ -109,12 +109,14 @@ def tree_rows(reps: DataFrame) -> DataFrame:
 
 def neighbours(rows: DataFrame) -> DataFrame:
     """Candidates of a forest, a < b, each once; and, with `crowded`, each member a of a region b (a hash of its prefix) in
-    which not every pair is a candidate, as it has more than NEIGHBOURS + 1 members."""
+    which not every pair may be a candidate: it has more than NEIGHBOURS + 1 members, or is the first or last of a range
+    partition and may go on in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, prefix = 1 + 2 * MOST_DEPTH, 1 + 2 * LEAST_DEPTH
         ids, keys = np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
         leader, held = None, 0  # of the region that the last batch ended in: its least id, its members so far
+        named = False  # whether these were given as crowded
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -132,15 +134,18 @@ def neighbours(rows: DataFrame) -> DataFrame:
             least = np.minimum.reduceat(ids[old:], edge)
             size = np.diff(np.append(edge, len(heads)))
             region = mix(np.ascontiguousarray(heads[edge, 1:]).view(np.uint64)[:, 0] + mix(heads[edge, 0].astype(np.uint64))).view(np.int64)
-            total = size.copy()
+            total, crowds = size.copy(), np.zeros(len(size), bool)
+            crowds[0] = leader is None
             if leader is not None and (keys[old - 1, :prefix] == heads[0]).all():
                 found.append((np.array([min(leader, least[0])]), np.array([max(leader, least[0])])))
                 least[0] = min(leader, least[0])
                 total[0] += held
-                if held <= NEIGHBOURS + 1 < total[0]:
+                crowds[0] = named
+                if not named and total[0] > NEIGHBOURS + 1:
                     members.append((ids[old - held:old], np.repeat(region[:1], held)))
-            leader, held = least[-1], total[-1]
-            crowd = np.repeat(total > NEIGHBOURS + 1, size)
+            crowds |= total > NEIGHBOURS + 1
+            leader, held, named, last = least[-1], total[-1], crowds[-1], region[-1]
+            crowd = np.repeat(crowds, size)
             members.append((ids[old:][crowd], np.repeat(region, size)[crowd]))
             least = np.repeat(least, size)
             found.append((np.minimum(least, ids[old:]), np.maximum(least, ids[old:])))
@@ -149,6 +154,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 other = (a != b) | crowded
                 yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(np.full(other.sum(), crowded))], ["a", "b", "crowded"])
             ids, keys = ids[-NEIGHBOURS - 1:], keys[-NEIGHBOURS - 1:]
+        if leader is not None and not named:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[-held:]), pa.array(np.repeat(last, held)), pa.array(np.full(held, True))], ["a", "b", "crowded"])
 
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "id")
     return ordered.mapInArrow(run, "a long, b long, crowded boolean").distinct()

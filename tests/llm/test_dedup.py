@@ -199,3 +199,28 @@ def test_empty_tables_and_null_ids(spark):
     odd = table(spark, [(None, "a b c d e f"), (None, None), (3, "a b c d e f")])
     assert exact_dedup.exact_groups(odd).count() == near_dedup.near_duplicates(odd).count() == substring_dedup.deduplicated(odd).count() == 3
     assert near_dedup.representatives(odd).count() == 3
+
+
+@pytest.mark.parametrize("batch", ["1", "500"])
+def test_a_region_over_several_partitions(spark, batch):
+    width = 2 * near_dedup.MOST_DEPTH
+    rows = [(10 * t + i, bytearray([t] + [7] * (2 * near_dedup.LEAST_DEPTH)).ljust(width, b"\0") + bytearray([i])) for t, n in ((0, 3), (1, 6), (2, 5)) for i in range(n)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = near_dedup.neighbours(spark.createDataFrame(rows, "id long, key binary")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    pairs = {(r["a"], r["b"]) for r in out if not r["crowded"]}
+    regions = {}
+    for r in out:
+        if r["crowded"]:
+            regions.setdefault(r["b"], set()).add(r["a"])
+    for x, _ in rows:
+        for y, _ in rows:
+            if x < y and x // 10 == y // 10:
+                assert (x, y) in pairs or any({x, y} <= m for m in regions.values())
+    assert all(len({x // 10 for x in m}) == 1 for m in regions.values())
