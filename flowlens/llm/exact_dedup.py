@@ -47,8 +47,8 @@ def fold(hashes: np.ndarray, shifts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return hashes
 
 
-def fingerprint_block(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The 62-bit fingerprint of each row of a block of bytes; table: _chunk_powers(chunk)."""
+def _chunk_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash and the size of each chunk of a block's rows, one row after the other, and the chunks of each row."""
     chunk = len(table)
     length = np.diff(at)
     counts = np.maximum(1, -(-length // chunk))
@@ -62,6 +62,20 @@ def fingerprint_block(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np
     hashes = np.empty((len(size), 2), np.uint64)
     for i in range(0, len(size), 2048):  # sums stay below 2**53, where floats are exact
         hashes[i:i + 2048] = (grid[i:i + 2048].astype(np.float64) @ table).astype(np.uint64) % _P
+    return hashes, size, counts
+
+
+def fingerprint_block(data: np.ndarray, at: np.ndarray, table: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """The 62-bit fingerprint of each row of a block of bytes; table: _chunk_powers(chunk). A row of more than `most` bytes
+    is to be a block of its own; its chunks are hashed slice by slice."""
+    chunk = len(table)
+    step = max(1, most // chunk) * chunk
+    if len(at) == 2 and len(data) > step:
+        parts = [_chunk_hashes(x, np.array([0, len(x)]), table) for x in (data[i:i + step] for i in range(0, len(data), step))]
+        hashes, size, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        counts = counts.sum(keepdims=True)
+    else:
+        hashes, size, counts = _chunk_hashes(data, at, table)
     shift_of = np.vstack([table[::-1], [[pow(b, chunk, int(_P)) for b in _BASES]]]).astype(np.uint64)
     hashes = fold(hashes, shift_of[size], counts)
     return ((hashes[:, 0] << np.uint64(31)) | hashes[:, 1]).astype(np.int64)
@@ -89,17 +103,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         run, "id long, fp long, n_bytes long, text_sha256 string")
 
 
-def _chunks(df: DataFrame, size: int) -> DataFrame:
-    """(id, fp, n_bytes, text) to a row for each chunk of the normalised text."""
+def _chunks(df: DataFrame, size: int, most: int = 4 << 20) -> DataFrame:
+    """(id, fp, n_bytes, text) to a row for each chunk of the normalised text, about `most` bytes at a time."""
+    names = ["fp", "n_bytes", "chunk_no", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "n_bytes", "chunk_no", "chunk"]
         for batch in batches:
             for rows, data, at in blocks(batch, "text"):
-                raw = ASCII_LOWER[data].tobytes()
-                cuts = [(i, n, raw[a + n * size:min(b, a + n * size + size)]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) for n in range(max(1, -(-(b - a) // size)))]
-                source = pa.array([c[0] for c in cuts], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(source), rows.column(1).take(source), pa.array([c[1] for c in cuts], pa.int64()), pa.array([c[2] for c in cuts], pa.binary())], names)
+                cuts = [(i, n, a + n * size, min(b, a + n * size + size)) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) for n in range(max(1, -(-(b - a) // size)))]
+                each = max(1, most // size)
+                if len(data) <= most:
+                    each = len(cuts)
+                for k in range(0, len(cuts), each):
+                    part = cuts[k:k + each]
+                    source = pa.array([c[0] for c in part], pa.int64())
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(source), rows.column(1).take(source), pa.array([c[1] for c in part], pa.int64()), pa.array([ASCII_LOWER[data[c[2]:c[3]]].tobytes() for c in part], pa.binary())], names)
 
     return df.select("fp", "n_bytes", "text").mapInArrow(run, "fp long, n_bytes long, chunk_no long, chunk binary")
 
@@ -109,7 +127,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns a row for each row of df, dropped ones too: id, keep_id (largest id of the group), group_size, kept,
     text_sha256. Null and empty texts are one group. Rows repeated with one id each count in group_size, and all rows
-    of the largest id are kept. An empty table gives an empty result. Groups that share a fingerprint but differ in
+    of the largest id are kept. A very long text is hashed slice by slice. An empty table gives an empty result. Groups that share a fingerprint but differ in
     some chunk (a collision) are told apart by the digest of the whole text. fingerprint: replaceable, for tests.
     """
     prints = materialize(fingerprint(df, id_col, text_col, chunk))
