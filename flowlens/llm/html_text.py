@@ -1,18 +1,25 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped into lines of text: a line ends at a block tag or <br>, and a tag that opens or closes a container
-leaves an empty line. Elements that never hold main text (menus, forms, scripts, and what a class, id or role names as
-such) leave nothing; of a form around text only controls and labels are dropped. A page that marks its article by <article> or <main> gives all of the outermost one with most text.
-Otherwise the lengths of the lines are summed over a sliding window. A surge point is where the sum leaves zero, a dive point
-where it falls back; the text between the surge and the dive that enclose most is the core. All text of the innermost
-container is kept that holds the core and every other line of prose (PROSE characters outside links), so an article that
-tables, lists and sections cut into stretches stays whole.
+leaves an empty line. Elements that never hold main text (menus, scripts, forms, and what a class, id or role names as
+such) leave nothing; of a form around text only controls and labels are dropped. A name that holds such a word among
+others (`market-share`) only lowers the weight of its lines.
+
+The weights of the lines, their characters outside links, are summed over a sliding window. The page's own sums set the
+threshold: half the mean of those that are not zero. A surge point is where the sum leaves zero on its way over the
+threshold, a dive point where it is back at zero. The text between a surge and its dive is a stretch of main text; all
+text of the innermost container is kept that holds all stretches, so an article that tables, lists and sections cut stays
+whole.
+
+An <article> or <main> that holds at least half as much as the heaviest stretch is taken at its word: all of the outermost
+one with most text is kept, and of those beside it that are at least half as long.
 """
 
 from __future__ import annotations
 
 import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.session import ship
 
 WINDOW = 3
-#: A line of so many characters outside links is prose wherever it stands.
+#: A form with a line of so many characters is around text.
 PROSE = 80
+#: What a line weighs whose container has a doubtful name.
+DOUBTFUL = 0.25
 
 #: HTML's element kinds as far as they matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +42,8 @@ CONTAINERS = frozenset("article aside body center content div dl fieldset footer
 MAIN = frozenset("article main".split())
 #: Containers that hold a whole article; tables, lists and sections are parts of one.
 HOLDERS = frozenset("center content div fieldset".split())
-RAW = ("script", "style", "noscript", "template", "svg", "math", "canvas", "object", "iframe", "textarea", "xmp")
+RAW = ("script", "style", "textarea", "xmp")  # of these, an open one holds all that follows
+OBJECTS = ("noscript", "template", "svg", "math", "canvas", "object", "iframe")
 DROPPED = frozenset("head title nav footer aside form button select option datalist dialog menu menuitem audio video map".split())
 #: Words of a class, id or role that name something other than main text.
 BOILERPLATE = frozenset(
@@ -44,8 +54,18 @@ BOILERPLATE = frozenset(
     "sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud teaser toast toc toolbar topbar tracking trending widget widgets".split())
 #: The same, only outside an article: inside one these hold its own title.
 OUTSIDE = frozenset("header banner".split())
+#: Words that name a part of a page's layout and nothing else; with one of the above they make a name of that.
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container content cta desktop fixed float full global google group head "
+    "heading horizontal icon icons inline inner item items js left link links list main message mobile module outer page panel post posts primary right row secondary section "
+    "site slot small sticky tab tabs text title top unit ui vertical view wrap wrapper".split())
+#: Words of the above that say so beside any other word.
+PLAIN = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot breadcrumb breadcrumbs disqus navbar sidebar".split())
 
-_NOISE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_NOISE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:" + "|".join(OBJECTS) + r")\b[^>]*/>|<(" + "|".join(OBJECTS) + r")\b[^>]*>.*?</\2\s*>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^<>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]++)))?")  # whole names, from left to right
 _WORDS = re.compile(r"[a-z]+")
@@ -62,35 +82,52 @@ def _wraps_page(html: str, start: int) -> bool:
     return bool(_BLOCK.search(held)) or any(len(" ".join(x.split())) >= PROSE for x in re.split("<[^>]*>", _CONTROL.sub("<br>", held)))
 
 
-def _is_boilerplate(name: str, attributes: str, inside: bool, wraps: bool = False) -> bool:
-    """wraps: it is a form around text, which is kept unless an attribute names more than a form."""
+def _named(value: str, words: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a class, id or role has a name made of these words, and whether one holds such a word among others."""
+    doubtful = False
+    for name in value.split():
+        parts = _WORDS.findall(_CAMEL.sub(" ", name).lower())
+        hits = [p for p in parts if p in words]
+        if hits and (len(parts) == len(hits) + sum(p in LAYOUT and p not in words for p in parts) or not PLAIN.isdisjoint(hits)):
+            return True, False
+        doubtful |= bool(hits)
+    return False, doubtful
+
+
+def _is_boilerplate(name: str, attributes: str, inside: bool, wraps: bool = False) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether its name is doubtful. wraps: it is a form around text, which is kept
+    unless an attribute names more than a form."""
     if name in DROPPED and not wraps or (name == "header" and not inside):
-        return True
+        return True, False
     if not attributes or name in ("html", "body") or name in MAIN and "comment" not in attributes.lower():
-        return False
+        return False, False
+    words = BOILERPLATE - OUTSIDE if inside else BOILERPLATE | OUTSIDE
+    doubtful = False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, False
         elif key in ("class", "id", "role"):
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-            if (words - {"form"} if wraps else words) & (BOILERPLATE if inside else BOILERPLATE | OUTSIDE) - (OUTSIDE if inside else frozenset()):
-                return True
-    return False
+            drops, unsure = _named(value, words - {"form"} if wraps else words)
+            if drops:
+                return True, False
+            doubtful |= unsure
+    return False, doubtful
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """The page as lines: text, its characters outside links (inside a marked article: all), the number of the outermost
-    <article> or <main> it is in (0: none), and the HOLDERS around it."""
-    html = _NOISE.sub(lambda m: "" if m[1] is None else "<br>", html)
-    lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
+    """The page as lines: text, its weight (characters outside links; inside a marked article all), the number of the
+    outermost <article> or <main> it is in (0: none), and the HOLDERS around it."""
+    html = _NOISE.sub(lambda m: "" if m[1] is None and m[2] is None else "<br>", html)
+    lines: list[tuple[str, float, int, tuple[int, ...]]] = []
     piece: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether they drop what they hold
-    dropping = links = inside = count = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether they drop what they hold; whether their name is doubtful
+    opened: Counter[str] = Counter()
+    dropping = links = inside = count = doubts = 0
     mains: list[int] = []
     path: list[int] = []
     holders = 0
@@ -100,14 +137,16 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             text = " ".join(unescape("".join(piece)).split())
             if text:
                 out = len("".join(text.split())) - len("".join(unescape("".join(linked)).split()))
-                lines.append((text, len(text) if inside else max(0, out), inside, tuple(path)))
+                lines.append((text, len(text) if inside else max(0, out) * (DOUBTFUL if doubts else 1), inside, tuple(path)))
             piece.clear()
             linked.clear()
 
     def pop() -> None:
-        nonlocal dropping, links, inside
-        name, drops = stack.pop()
+        nonlocal dropping, links, inside, doubts
+        name, drops, doubt = stack.pop()
+        opened[name] -= 1
         dropping -= drops
+        doubts -= doubt
         links -= name == "a"
         if name in HOLDERS:
             path.pop()
@@ -130,7 +169,7 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             if name in CONTAINERS:
                 lines.append(("", 0, inside, tuple(path)))
         if close:
-            if any(x[0] == name for x in stack):
+            if opened[name] > 0:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -144,9 +183,12 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
                     if stack[depth][0] not in INLINE:
                         break
             wraps = name == "form" and not dropping and _wraps_page(html, at)
-            drops = _is_boilerplate(name, attributes or "", bool(inside), wraps) or (name in ("label", "legend") and any(x[0] == "form" for x in stack))
-            stack.append((name, drops))
+            drops, doubt = _is_boilerplate(name, attributes or "", bool(inside), wraps)
+            drops |= name in ("label", "legend") and opened["form"] > 0
+            stack.append((name, drops, doubt))
+            opened[name] += 1
             dropping += drops
+            doubts += doubt
             links += name == "a"
             if name in HOLDERS:
                 holders += 1
@@ -165,30 +207,39 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     return lines
 
 
+def stretches(weight: np.ndarray) -> list[tuple[int, int, float]]:
+    """The surge and dive points that enclose main text, and what lies between them: first line, end line, weight."""
+    n = len(weight)
+    total = np.concatenate([[0], np.cumsum(np.concatenate([weight, np.zeros(WINDOW)]))])
+    sums = total[WINDOW:] - total[:-WINDOW]
+    sums = np.concatenate([[0], np.where(sums[:n] > 1e-6, sums[:n], 0), [0]])
+    if not sums.any():
+        return []
+    threshold = sums[sums > 0].mean() / 2
+    surge = np.flatnonzero((sums[1:] > 0) & (sums[:-1] == 0))
+    dive = np.flatnonzero((sums[1:] == 0) & (sums[:-1] > 0))
+    return [(a, min(b, n), float(total[b] - total[a])) for a, b in zip(surge.tolist(), dive.tolist(), strict=True) if sums[a + 1:b + 1].max() >= threshold]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page; empty if it has none or html is None."""
     lines = page_lines(html or "")
     if not lines:
         return ""
-    marked: dict[int, int] = {}
+    marked: dict[int, float] = {}
     for _, size, mark, _ in lines:
         if mark and size:
             marked[mark] = marked.get(mark, 0) + size
-    if marked:
-        best = max(marked, key=marked.__getitem__)
-        return " ".join(x[0] for x in lines if x[2] == best and x[0])
-    weight = np.array([x[1] for x in lines] + [0] * WINDOW)
-    total = np.concatenate([[0], np.cumsum(weight)])
-    sums = total[WINDOW:] - total[:-WINDOW]
-    sums = np.concatenate([[0], sums[:len(lines)], [0]])
-    surge = np.flatnonzero((sums[1:] > 0) & (sums[:-1] == 0))
-    dive = np.flatnonzero((sums[1:] == 0) & (sums[:-1] > 0))
-    stretches = [(first, min(last, len(lines))) for first, last in zip(surge.tolist(), dive.tolist(), strict=True)]
-    if not stretches:
+    found = stretches(np.array([0 if x[2] else x[1] for x in lines], float))
+    most = max(marked.values(), default=0)
+    if marked and 2 * most >= max((x[2] for x in found), default=0):
+        return " ".join(x[0] for x in lines if x[0] and 2 * marked.get(x[2], 0) >= most)
+    if not found:
         return ""
-    first, last = max(stretches, key=lambda x: int(total[x[1]] - total[x[0]]))
-    paths = [x[3] for i, x in enumerate(lines) if x[1] >= PROSE or (x[1] and first <= i < last)]
-    around = os.path.commonprefix(paths)
+    inside = np.zeros(len(lines), bool)
+    for first, last, _ in found:
+        inside[first:last] = True
+    around = os.path.commonprefix([x[3] for x, main in zip(lines, inside, strict=True) if main and x[1]])
     kept = [x for x in lines if x[3][:len(around)] == around]
     solid = [i for i, x in enumerate(kept) if x[1]]
     return " ".join(x[0] for x in kept[solid[0]:solid[-1] + 1] if x[0])
@@ -196,7 +247,8 @@ def main_text(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of `keep`, text and n_chars (code points) of every page. A null or empty page, and one that is only
-    markup, gives an empty text. Repeated rows are each extracted; other columns of pages are not read."""
+    markup, gives an empty text. A very long page is one row of a task. Of equally long articles side by side all are kept.
+    Repeated rows are each extracted; other columns of pages are not read."""
     ship(pages.sparkSession)
     base = pages.select(*keep, F.col(html_col).alias("__html"))
 
