@@ -50,11 +50,36 @@ SENTENCES: dict[int, str] = {
     50: "this source code form is subject to the terms of the mozilla public license v 2 0",
     51: "if a copy of the mpl was not distributed with this file you can obtain one at",
     52: "licensed under the mozilla public license version 2 0",
+    53: "mozilla public license version 2 0",
     60: "all rights reserved",
+    61: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    62: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    63: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    64: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    65: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    66: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    67: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    70: "gnu general public license version 3 29 june 2007",
+    71: "gnu general public license version 2 june 1991",
+    72: "gnu lesser general public license version 3 29 june 2007",
+    73: "gnu lesser general public license version 2 1 february 1999",
+    74: "gnu affero general public license version 3 19 november 2007",
+    75: "cc0 1 0 universal",
 }
 
+#: Licences that an SPDX tag may name.
+TAGGED = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")
+SENTENCES |= {100 + i: "spdx license identifier " + "".join(c if c.isalnum() else " " for c in x.lower()) for i, x in enumerate(TAGGED)}
+
 #: Other forms that official notices give a sentence.
 FORMS: dict[str, int] = {
+    "apache license version 2 0 january 2004 http www apache org licenses": 6,
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 66,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 63,
+    "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 43,
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 43,
+    "this software is provided by the copyright holder and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": 44,
+    "this software is provided by the regents and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": 44,
     "licensed under the apache license version 2 0 the license": 1,
     "you may obtain a copy of the license at http www apache org licenses license 2 0": 3,
     "you may obtain a copy of the license at https www apache org licenses license 2 0": 3,
@@ -92,14 +117,30 @@ RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "bsd3-text": ("BSD-3-Clause", (40, 41, 42, 43, 44)),
     "mpl2-header": ("MPL-2.0", (50, 51)),
     "mpl2-notice": ("MPL-2.0", (52,)),
+    "mpl2-text": ("MPL-2.0", (53,)),
+    "lgpl21-header": ("LGPL-2.1-or-later", (62, 61)),
+    "lgpl3-header": ("LGPL-3.0-or-later", (63, 61)),
+    "lgpl3-program": ("LGPL-3.0-or-later", (63, 23)),
+    "agpl3-header": ("AGPL-3.0-or-later", (64, 23)),
+    "gpl2-only": ("GPL-2.0-only", (65,)),
+    "isc-text": ("ISC", (66,)),
+    "zlib-text": ("Zlib", (67,)),
+    "gpl3-text": ("GPL-3.0-only", (70,)),
+    "gpl2-text": ("GPL-2.0-only", (71,)),
+    "lgpl3-text": ("LGPL-3.0-only", (72,)),
+    "lgpl21-text": ("LGPL-2.1-only", (73,)),
+    "agpl3-text": ("AGPL-3.0-only", (74,)),
+    "cc0-title": ("CC0-1.0", (75,)),
     "reserved": ("LicenseRef-all-rights-reserved", (60,)),
 }
 
+RULES |= {f"spdx-{x.lower()}": (x, (100 + i,)) for i, x in enumerate(TAGGED)}
+
 #: A part ends at a line break, or at a stop, mark or colon that blanks or the end follow.
 STOP = r"[.!?;:]+(?:[ \t]+|\z)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every known sentence has one of these; a text with none need not be cut.
-STEMS = r"(?i)licen[sc]e|permission|copyright|software|redistribut|obtain|warranty|rights|forms|mpl"
+STEMS = r"(?i)licen[sc]e|permission|copyright|software|redistribut|obtain|warranty|rights|forms|mpl|cc0"
 
 
 def sentence_ids(text: Column, sentences: dict[int, str] | None = None) -> Column:
@@ -123,19 +164,35 @@ def _in_order(ids: Column, rule: tuple[int, ...]) -> Column:
     return line.rlike("," + ",(?:[0-9]+,)*".join(map(str, rule)) + ",")
 
 
+def beaten_by(rules: dict[str, tuple[str, tuple[int, ...]]]) -> dict[str, list[str]]:
+    """For each rule those of another licence that ask for the same sentences and more: where one of them holds, it does not."""
+
+    def part_of(short: tuple[int, ...], long: tuple[int, ...]) -> bool:
+        rest = iter(long)
+        return len(short) < len(long) and all(x in rest for x in short)
+
+    return {a: [b for b, (other, more) in rules.items() if other != lic and part_of(seq, more)] for a, (lic, seq) in rules.items()}
+
+
 def match_rules(ids: Column, rules: dict[str, tuple[str, tuple[int, ...]]] | None = None) -> tuple[Column, Column]:
-    """Names of the rules that the identifiers satisfy (in the order of the rules) and their licences (sorted, each once)."""
+    """Names of the rules that the identifiers satisfy (in the order of the rules) and their licences (sorted, each once).
+    A rule whose sentences are part of a longer one of another licence gives way to it."""
     rules = rules or RULES
     none = F.lit(None).cast("string")
-    hits = F.array_compact(F.array(*[F.when(_in_order(ids, seq), F.lit(name)).otherwise(none) for name, (_, seq) in rules.items()]))
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(_in_order(ids, seq), F.lit(lic)).otherwise(none) for lic, seq in rules.values()]))))
+    beaten = beaten_by(rules)
+    holds = {name: _in_order(ids, seq) for name, (_, seq) in rules.items()}
+    for name, over in beaten.items():
+        for other in over:
+            holds[name] &= ~_in_order(ids, rules[other][1])
+    hits = F.array_compact(F.array(*[F.when(x, F.lit(name)).otherwise(none) for name, x in holds.items()]))
+    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(x, F.lit(rules[name][0])).otherwise(none) for name, x in holds.items()]))))
     empty = F.array().cast("array<string>")
     return F.when(F.size(ids) > 0, hits).otherwise(empty), F.when(F.size(ids) > 0, licences).otherwise(empty)
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentence_ids, rules and licences of every row; empty arrays where nothing is known. Repeated rows are each
-    scanned; only the two named columns are read. No shuffle: a row's result depends on that row alone."""
+    scanned; only the two named columns are read, and a very long text is scanned whole. No shuffle: a row's result depends on that row alone."""
     ids = df.select(F.col(id_col), sentence_ids(F.col(text_col)).alias("sentence_ids"))
     rules, licences = match_rules(F.col("sentence_ids"))
     return ids.select(id_col, "sentence_ids", rules.alias("rules"), licences.alias("licences"))
@@ -143,6 +200,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def oracle_sql() -> str:
     """The scan of `documents` in SQL, arrays as text; it knows only sentences that are one part each, as in the tables."""
+    beaten = ", ".join(f"('{a}', '{b}')" for a, over in beaten_by(RULES).items() for b in over)
     known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
     rules = ", ".join(f"({n}, '{name}', '{lic}', ',{',(?:[0-9]+,)*'.join(map(str, seq))},')" for n, (name, (lic, seq)) in enumerate(RULES.items()))
     return f"""
@@ -155,8 +213,10 @@ hits AS (
   SELECT c.doc_id, c.i, k.id FROM cut c JOIN known k
   ON k.sentence = trim(regexp_replace(translate(c.part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))),
 lines AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM hits GROUP BY doc_id),
+beaten(rule, by_rule) AS (VALUES {beaten}),
+held AS (SELECT l.doc_id, r.* FROM lines l JOIN rules r ON regexp_matches(',' || l.ids || ',', r.pattern)),
 matched AS (
-  SELECT l.doc_id, string_agg(r.rule, ',' ORDER BY r.n) AS rules, string_agg(DISTINCT r.licence, ',' ORDER BY r.licence) AS licences
-  FROM lines l JOIN rules r ON regexp_matches(',' || l.ids || ',', r.pattern) GROUP BY l.doc_id)
+  SELECT doc_id, string_agg(rule, ',' ORDER BY n) AS rules, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
+  FROM held h WHERE NOT EXISTS (SELECT 1 FROM beaten b JOIN held o ON o.rule = b.by_rule WHERE b.rule = h.rule AND o.doc_id = h.doc_id) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(l.ids, '') AS sentence_ids, coalesce(m.rules, '') AS rules, coalesce(m.licences, '') AS licences
 FROM documents d LEFT JOIN lines l USING (doc_id) LEFT JOIN matched m USING (doc_id)"""
