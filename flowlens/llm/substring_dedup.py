@@ -1,14 +1,15 @@
 """Substring dedup by seed and extend.
 
 Seeds: every run of `length` words has one anchor, the least hash of its k-grams (winnowing). So two documents that
-share a run share its anchor, and documents are joined on anchors. Extend: an anchor's neighbourhood is all words of the
-runs that it stands for. Occurrences with one neighbourhood extend fully to both sides; they are a class, and only the
-least document of a class is compared further. Where an anchor has several classes, their extents differ somewhere, and
-the runs of each class's least document are matched one by one. What is left are the maximal repeats over the threshold;
-every word of one, but in the first document that has it, is removed.
-
-Classes and runs are grouped by 128 bits of hash, in aggregates that fold before they shuffle: copies in any number cost
-a row for each task. Only documents that share an anchor have their text moved.
+share a run share its anchor, and documents are joined on anchors. Extend: an anchor's neighbourhood is the anchor extended
+to both sides as far as the runs reach that it stands for. Occurrences with one neighbourhood extend fully to both sides;
+they are a class, and only the least document of a class is compared further. Where an anchor has several classes, their
+extents differ somewhere, and the runs of each class's least document are matched one by one. What is left are the maximal
+repeats over the threshold; every word of one, but in the first document that has it, is removed.
+
+Classes and runs are matched by 128 bits of hash, not word by word, in aggregates that fold before they shuffle: copies in
+any number cost a row for each task. Joins leave hot anchors where they are. Only documents that share an anchor have
+their text moved.
 """
 
 from __future__ import annotations
@@ -142,32 +143,48 @@ def _removed(touched: DataFrame, length: int) -> DataFrame:
     return touched.select("id", "text", "full", "single").mapInArrow(run, "id long, n_removed long, spans array<array<long>>, kept_text string")
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """left with the columns of right, a table with one row for each key: `seen` is how many of left's rows have it.
+
+    A key of more than a 2,000th of left's rows would be one task's: there are fewer than 2,000 of those, so they are
+    broadcast, and left's rows stay where they are. The others meet by a shuffle.
+    """
+    most = max(1000, rows // 2000)
+    hot, cold = right.filter(F.col("seen") > most).drop("seen"), right.filter(F.col("seen") <= most).drop("seen")
+    far = left.join(F.broadcast(hot), keys)
+    near = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return far.unionByName(near)
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The maximal repeats of at least `length` words that also start in a document with a smaller id.
 
     Returns the documents that have some: id, n_removed, spans (first and end word), kept_text (the other words, joined
     by one space); and all rows: id, n_words, sha (digest of all words joined by one space). Null and empty texts have
-    no words. Ids are to be unique; identical rows repeated are one document, a null id takes no part.
+    no words. Ids are to be unique; identical rows repeated are one document, an id with different texts is not provided
+    for, and a null id takes no part. A very long text is one row of a task. Columns of df other than the two named are
+    not read. An empty table gives empty results.
     """
     if not gram < length <= gram + 63:
         raise ValueError("length must be over gram, by 63 at most")
     ship(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seeds = materialize(_seeds(base, length, gram))
+    total = seeds.agg(F.count("*").alias("rows"), F.sum(F.size("anchors")).alias("anchors")).first()
+    rows, files = total["anchors"] or 0, files_for(8 * total["rows"])  # a document has some tens of anchors, of which a part is shared
     seed = seeds.filter("id is not null").select("id", F.inline("anchors"))
-    shared = seed.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    files = files_for(8 * seeds.count())  # a document has some tens of anchors, of which a part is shared
-    seed = materialize(seed.join(shared, "h", "left_semi"), files, gather=True)
-    classes = seed.groupBy("h", "n").agg(F.min("id").alias("least"))
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h", F.lit(True).alias("several"))
-    classes = materialize(classes.join(several, "h", "left"), files, gather=True)
-    found = seed.join(classes, ["h", "n"]).filter("id > least or several")
+    found = seed.groupBy("h").agg(F.count("*").alias("seen"), F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("n") != F.max("n")).alias("several"))
+    shared = materialize(found.filter("lo < hi").select("h", "seen", "several"), files, gather=True)
+    seed = materialize(joined(seed, shared, ["h"], rows), files, gather=True)
+    classes = materialize(seed.groupBy("h", "n").agg(F.count("*").alias("seen"), F.min("id").alias("least")), files, gather=True)
+    found = joined(seed, classes, ["h", "n"], rows).filter("id > least or several")
     full = F.when(F.col("id") > F.col("least"), F.col("pos"))
     probe = F.when(F.col("id") == F.col("least"), F.struct("h", "pos"))
     by_doc = found.groupBy("id").agg(F.collect_set(full).alias("full"), F.collect_set(probe).alias("probes"))
     touched = materialize(base.join(by_doc, "id"))
-    first = _runs(touched, length).groupBy("h", "w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "w", "lo")
-    single = _runs(touched, length).join(first, ["h", "w"]).filter("id > lo").groupBy("id").agg(F.collect_set("start").alias("single"))
+    runs = materialize(_runs(touched, length))
+    first = runs.groupBy("h", "w").agg(F.count("*").alias("seen"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "w", "seen", "lo")
+    single = joined(runs, materialize(first), ["h", "w"], runs.count()).filter("id > lo").groupBy("id").agg(F.collect_set("start").alias("single"))
     texts = touched.join(single, "id", "left").filter("size(full) > 0 or single is not null")
     return _removed(texts, length).dropDuplicates(["id"]), seeds.select("id", "n_words", "sha")
 
