@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions import network, templates
+from flowlens.session import ship
 
 FLOW_KEY, EDGE_KEY = ["src", "dst", "protocol", "template"], ["src", "dst", "protocol"]
 
@@ -41,29 +45,52 @@ def active_flows(observations: DataFrame, window: Column) -> DataFrame:
     return observations.select(window.alias("window"), *FLOW_KEY).distinct().groupBy("window").agg(F.count("*").alias("active_flows"))
 
 
+def _average(steps: DataFrame) -> DataFrame:
+    """The moving average of each edge: steps (EDGE_KEY, __place, avg) are taken in order of __place, the first as it is, each
+    further one by half; a null step is passed over. They stream by, so an edge of any number of flows is one number."""
+    ship(steps.sparkSession)
+    ordered = steps.repartition(*EDGE_KEY).sortWithinPartitions(*EDGE_KEY, "__place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = None, 0
+        shape = ["src", "dst", "protocol", "avg_latency_ns"]
+        kinds = [pa.string()] * 3 + [pa.int64()]
+        for batch in batches:
+            out = []
+            for src, dst, protocol, step in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (src, dst, protocol) != key:
+                    if key is not None:
+                        out.append((*key, value))
+                    key, value = (src, dst, protocol), step or 0
+                elif step is not None:
+                    value = (value + step) // 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], shape)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*key, value), kinds, strict=True)], shape)
+
+    return ordered.select(*EDGE_KEY, "avg").mapInArrow(run, "src string, dst string, protocol string, avg_latency_ns long")
+
+
 def merged_edges(flow_rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Edges (source, destination, protocol) with these flows merged in: counts add up, and the average latency moves half
     way to that of each flow that has one, in the order of window and template.
 
-    The average depends on that order, so a batch's flows of one edge are folded as a list; what came before is one
-    number in `base`. mean_latency_ns is the exact mean over the batch.
+    The average depends on that order, so it is folded in order, streaming; all else folds before it shuffles.
+    mean_latency_ns is the exact mean over the batch.
     """
-    timed = F.when((F.col("request_count") > 0) & (F.col("latency_sum_ns") > 0), F.struct("window", "template", F.expr("latency_sum_ns div request_count").alias("avg")))
     found = flow_rows.groupBy(*EDGE_KEY).agg(
         F.sum("request_count").alias("request_count"), F.sum("error_count").alias("error_count"), F.sum("pii_hit_count").alias("pii_hit_count"), F.max("latency_max_ns").alias("max_latency_ns"),
-        F.max("last_seen").alias("last_seen"), F.min_by(F.expr("if(request_count > 0, latency_sum_ns div request_count, 0)"), F.struct("window", "template")).alias("__first"),
-        F.min(F.struct("window", "template")).alias("__begin"), F.array_sort(F.collect_list(timed)).alias("__steps"), F.expr("sum(latency_sum_ns) div sum(request_count)").alias("mean_latency_ns"))
+        F.max("last_seen").alias("last_seen"), F.expr("sum(latency_sum_ns) div sum(request_count)").alias("mean_latency_ns"))
+    step = F.expr("if(request_count > 0 and latency_sum_ns > 0, latency_sum_ns div request_count, null)")
+    steps = flow_rows.select(*EDGE_KEY, F.struct(F.lit(1).alias("since"), "window", "template").alias("__place"), step.alias("avg"))
     if base is None:
-        rest = F.filter("__steps", lambda s: F.struct(s["window"].alias("window"), s["template"].alias("template")) != F.col("__begin"))
-        average = F.aggregate(rest, F.col("__first"), lambda a, s: F.call_function("div", a + s["avg"], F.lit(2).cast("long")))
-        return found.withColumn("avg_latency_ns", average).drop("__first", "__begin", "__steps")
-    old = base.select(*EDGE_KEY, *[F.col(c).alias(f"old_{c}") for c in ("request_count", "error_count", "pii_hit_count", "avg_latency_ns", "max_latency_ns", "last_seen")])
-    both = old.join(found, EDGE_KEY, "full")
-    begun = F.coalesce("old_avg_latency_ns", "__first")
-    steps = F.when(F.col("old_avg_latency_ns").isNotNull(), F.col("__steps")).otherwise(F.filter("__steps", lambda s: F.struct(s["window"].alias("window"), s["template"].alias("template")) != F.col("__begin")))
-    average = F.coalesce(F.aggregate(steps, begun, lambda a, s: F.call_function("div", a + s["avg"], F.lit(2).cast("long"))), begun)
+        return found.join(_average(steps), EDGE_KEY)
+    place = F.struct(F.lit(0).alias("since"), F.lit(None).cast(flow_rows.schema["window"].dataType).alias("window"), F.lit(None).cast("string").alias("template"))
+    averages = _average(steps.unionByName(base.select(*EDGE_KEY, place.alias("__place"), F.col("avg_latency_ns").alias("avg"))))
+    old = base.select(*EDGE_KEY, *[F.col(c).alias(f"old_{c}") for c in ("request_count", "error_count", "pii_hit_count", "max_latency_ns", "last_seen")])
     add = lambda c: (F.coalesce(F.col(f"old_{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c)
-    return both.select(*EDGE_KEY, add("request_count"), add("error_count"), add("pii_hit_count"), average.alias("avg_latency_ns"), F.greatest("old_max_latency_ns", "max_latency_ns").alias("max_latency_ns"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"))
+    return old.join(found, EDGE_KEY, "full").join(averages, EDGE_KEY).select(
+        *EDGE_KEY, add("request_count"), add("error_count"), add("pii_hit_count"), "avg_latency_ns", F.greatest("old_max_latency_ns", "max_latency_ns").alias("max_latency_ns"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"))
 
 
 def pruned(edges: DataFrame, now: int, most_age: int) -> DataFrame:

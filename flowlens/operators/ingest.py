@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import schema
+from flowlens.config import Settings
 from flowlens.functions import network
 from flowlens.session import ship
 
@@ -97,6 +98,19 @@ def head_only(events: DataFrame, key: str, size: str, most_bytes: int, order: li
     return events.withColumn("__so_far", so_far).filter(F.col("__so_far") <= most_bytes).drop("__so_far")
 
 
+def admitted(events: DataFrame, settings: Settings, order: list[str]) -> DataFrame:
+    """Events as the settings let them in: capture switched on, the processes of the filter, TCP and UDP with a payload (other
+    event types pass), the token bucket, and the sampling mode."""
+    rows = for_pids(captured(events, settings.capture_enabled), settings.pid_filter)
+    rows = rows.filter((F.col("event_type") != "TcPacket") | (F.col("ip_proto").isin(6, 17) & (F.col("payload_len") > 0)))
+    rows = with_session_key(rate_limited(rows, settings.max_events_per_sec, order))
+    if settings.sampling_mode == "connection_sample":
+        return connection_sample(rows, settings.sample_rate, F.col("session_key"))
+    if settings.sampling_mode == "head_only":
+        return head_only(rows, "session_key", "payload_len", settings.head_bytes, ["timestamp_ns", *order])
+    return rows
+
+
 def transport_context(events: DataFrame) -> DataFrame:
     """Where an event was seen; null for what is not known."""
     return events.withColumns({c: network.null_if_zero(F.col(c)) for c in ("src_addr", "dst_addr", "src_port", "dst_port", "pid")} | {"tls_library": network.tls_name(F.col("tls_library"))})
@@ -122,6 +136,12 @@ def decoded(records: DataFrame, record: str = "record") -> DataFrame:
     return out.filter("event_type is not null and direction is not null and tls_library is not null")
 
 
+def frame_counts(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """One row: all frames, and those of each IP version; what decode_frames drops as IPv6 is counted here."""
+    kind = F.hex(F.substring(F.col(frame), F.lit(13), F.lit(2)))
+    return frames.agg(F.count("*").alias("frames"), F.count_if(kind == "0800").alias("ipv4"), F.count_if(kind == "86DD").alias("ipv6"))
+
+
 def decode_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Ethernet frames to addresses, ports and payload: IPv4 with TCP or UDP, all else dropped (ip_version tells IPv6 apart before that)."""
     raw = F.col(frame)

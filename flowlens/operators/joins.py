@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
+
+from flowlens.session import ship
 
 
 def pair_next(rows: DataFrame, key: list[str], order: list[str], is_request: Column, keep: list[str]) -> DataFrame:
@@ -23,12 +29,19 @@ def pair_fifo(requests: DataFrame, responses: DataFrame, key: list[str], order:
 
 
 def pair_correlated(requests: DataFrame, responses: DataFrame, key: list[str], within: int, ts: str = "timestamp_ns") -> DataFrame:
-    """Every response with the request of its key (which has the correlation id) that came last before it, by `within` at most; responses without one stay."""
-    asked = requests.select(*key, F.col(ts).alias("request_ts"), F.struct(*[c for c in requests.columns if c not in key]).alias("request"))
-    answers = responses.withColumn("__id", F.struct(*responses.columns))
-    joined = answers.join(asked, key, "left").withColumn("__fits", (F.col("request_ts") <= F.col(ts)) & (F.col(ts) - F.col("request_ts") <= within))
-    best = joined.groupBy("__id").agg(F.max_by(F.when(F.col("__fits"), F.col("request")), F.when(F.col("__fits"), F.col("request_ts"))).alias("request"))
-    return best.select("__id.*", "request")
+    """Every response with the request of its key (which has the correlation id) that came last before it, by `within` at most;
+    responses without one stay, and equal ones stay apart. Of requests at one time the greatest struct counts.
+
+    Both sides are laid into buckets of `within`, a request also into the next one, and merged there in order of time. So
+    work is linear, and a busy key is spread over its buckets.
+    """
+    own = [c for c in requests.columns if c not in key]
+    bucket = F.floor(F.col(ts) / within)
+    asked = requests.select(*key, F.explode(F.array(bucket, bucket + 1)).alias("__bucket"), F.col(ts).alias("__at"), F.lit(0).alias("__kind"), F.struct(*own).alias("request"), F.lit(None).cast(responses.schema).alias("__response"))
+    answers = responses.select(*key, bucket.alias("__bucket"), F.col(ts).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(requests.select(F.struct(*own).alias("r")).schema["r"].dataType).alias("request"), F.struct(*responses.columns).alias("__response"))
+    over = Window.partitionBy(*key, "__bucket").orderBy("__at", "__kind", "request").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = asked.unionByName(answers).withColumn("__last", F.last(F.when(F.col("__kind") == 0, F.struct("__at", "request")), ignorenulls=True).over(over)).filter("__kind = 1")
+    return merged.select("__response.*", F.when(F.col("__at") - F.col("__last.__at") <= within, F.col("__last.request")).alias("request"))
 
 
 def validity(dns: DataFrame, ip: str = "ip", since: str = "inserted_at", ttl: str = "ttl") -> DataFrame:
@@ -51,6 +64,29 @@ def asof_domain(rows: DataFrame, dns: DataFrame, address: str, ts: str, bucket:
     return keyed.join(spans, match, "left").select(*rows.columns, "domain")
 
 
+def memoised(lookups: DataFrame, key: list[str], name: str, ttl: int, ts: str = "timestamp_ns", order: list[str] | None = None) -> DataFrame:
+    """lookups (of which `name` is what a key would be resolved to just then) with `memo`, the name that a memo gives: what was
+    resolved first, until it is ttl old; the next lookup resolves anew. Lookups of a key are taken in order of time and
+    stream by: one name is held, however many there are."""
+    ship(lookups.sparkSession)
+    rows = lookups.withColumn("__key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    ordered = rows.repartition("__key").sortWithinPartitions("__key", ts, *(order or []))
+    at = [ordered.columns.index(c) for c in ("__key", ts, name)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, since, held = None, 0, None
+        for batch in batches:
+            out = []
+            for k, t, value in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if k != now or t - since >= ttl:
+                    now, since, held = k, t, value
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, batch.column(at[2]).type)], [*batch.schema.names, "memo"])
+
+    shape = StructType([*ordered.schema.fields, StructField("memo", ordered.schema[name].dataType)])
+    return ordered.mapInArrow(run, shape).drop("__key")
+
+
 def addresses_of(dns: DataFrame, ip: str = "ip", since: str = "inserted_at") -> DataFrame:
     """The latest address of each domain."""
     return dns.groupBy("domain").agg(F.max_by(ip, F.struct(since, ip)).alias(ip))

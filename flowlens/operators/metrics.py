@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.schema import BACKPRESSURE_SHARE
 
-#: Counters by name with what they count, and the upper bounds of the parse-time histogram, in seconds.
+#: Counters by name, and the upper bounds of the parse-time histogram, in seconds.
 COUNTERS = {
-    "events_received": "Total events received", "events_dropped": "Total events dropped (all reasons)", "events_processed": "Total events processed",
-    "drops_rate_limit": "Events dropped due to rate limiting", "drops_channel_full": "Events dropped due to a full queue", "drops_parser_error": "Events dropped due to parser errors",
-    "pii_detections": "Total PII entities detected",
+    "events_received": "Captured events that reached the engine", "events_dropped": "Events given up, for whatever reason", "events_processed": "Events that went through to the end",
+    "drops_rate_limit": "Events over the token bucket's allowance", "drops_channel_full": "Events that a bounded queue had no place for", "drops_parser_error": "Events whose bytes could not be decoded",
+    "pii_detections": "Findings of personal data",
 }
-GAUGES = {"active_connections": "Currently tracked connections", "approx_pending": "Approximate pending events (received - processed)"}
+GAUGES = {"active_connections": "Connections with state at this moment", "approx_pending": "Events received and neither processed nor given up, about"}
 BOUNDS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1)
 REQUIRED, LEAST_EVENTS = ("http1", "mysql", "postgres", "redis"), 5
 
@@ -33,11 +33,11 @@ def with_pressure(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"approx_pending": pending, "backpressure": share > BACKPRESSURE_SHARE})
 
 
-def histogram(values: DataFrame, value: Column, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
-    """Cumulative counts: le (the bound, +Inf for all) and n."""
-    row = values.agg(*[F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("all"))
+def histogram(values: DataFrame, value: Column, bounds: tuple[float, ...] = BOUNDS, with_sum: bool = False) -> DataFrame:
+    """Cumulative counts: le (the bound, +Inf for all) and n; with_sum: the sum of the values too, in every row."""
+    row = values.agg(*[F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("all"), F.sum(value).alias("sum"))
     pairs = [F.struct(F.lit(repr(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)] + [F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n"))]
-    return row.select(F.inline(F.array(*pairs)))
+    return row.select(F.inline(F.array(*pairs)), *["sum"] * with_sum)
 
 
 def validation(messages: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:

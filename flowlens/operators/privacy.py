@@ -16,21 +16,20 @@ def with_entities(rows: DataFrame, text: str = "text", out: str = "entities", ca
 
 
 def findings(rows: DataFrame, keep: list[str], text: str = "text", categories: list[str] | None = None) -> DataFrame:
-    """A row for each finding: the columns of keep, its number in the text, and the finding. Texts without any are passed over before extraction."""
-    hits = rows.filter(pii.has_pii(F.col(text), categories))
-    return hits.select(*keep, F.posexplode(pii.entities(F.col(text), categories)).alias("entity_no", "e")).select(*keep, "entity_no", "e.*")
+    """A row for each finding: the columns of keep, its number in the text, and the finding."""
+    return rows.select(*keep, F.posexplode(pii.entities(F.col(text), categories)).alias("entity_no", "e")).select(*keep, "entity_no", "e.*")
 
 
 def counts(rows: DataFrame, by: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Texts and findings of each category."""
-    found = findings(rows.select(*[F.col(c).alias(f"by_{c}") for c in by], key, text), [*[f"by_{c}" for c in by], key], text)
-    return found.groupBy(*[F.col(f"by_{c}").alias(c) for c in by], "category").agg(F.countDistinct(key).alias("n_texts"), F.count("*").alias("n_entities"))
+    """Texts and findings of each category. Rows are counted on; places are not looked for, and one key's rows are one text."""
+    per_text = rows.select(*[F.col(c).alias(f"by_{c}") for c in by], F.col(key).alias("__key"), *[pii.occurrences(F.col(text), c).alias(f"n_{c}") for c in pii.PATTERNS])
+    each = per_text.select(*[f"by_{c}" for c in by], "__key", F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"n_{c}").alias("n")) for c in pii.PATTERNS]))).filter("n > 0")
+    return each.groupBy(*[F.col(f"by_{c}").alias(c) for c in by], "category").agg(F.countDistinct("__key").alias("n_texts"), F.sum("n").alias("n_entities"))
 
 
 def redacted(rows: DataFrame, text: str = "text", out: str = "redacted_text") -> DataFrame:
     """rows with the redacted text; where nothing is found, the text itself."""
-    shown = pii.redact(F.col(text), pii.entities(F.col(text)))
-    return rows.withColumn(out, F.when(pii.has_pii(F.col(text)), shown).otherwise(F.col(text)))
+    return rows.withColumn("__found", pii.entities(F.col(text))).withColumn(out, pii.redact(F.col(text), F.col("__found"))).drop("__found")
 
 
 def audit_rows(rows: DataFrame, report: str = "pii", ts: str = "timestamp_ns", service: Column | None = None) -> DataFrame:
@@ -40,6 +39,11 @@ def audit_rows(rows: DataFrame, report: str = "pii", ts: str = "timestamp_ns", s
         "timestamp_ns", "e.category", "e.source", "e.confidence", "action", "service_identity")
 
 
+def template_hashes(rows: DataFrame, text: str = "text", out: str = "template_hash") -> DataFrame:
+    """rows with a 64-bit hash of the text's template; only equality and spread matter, so it is Spark's own."""
+    return rows.withColumn(out, F.xxhash64(templates.text_template(F.col(text))))
+
+
 def inference_budget(rows: DataFrame, text: str, ts: str, budget: int, order: list[str], period: int = 1_000_000_000) -> DataFrame:
     """Rows that a model sees: in each period the first of each template, as many as the budget allows."""
     keyed = rows.withColumns({"__period": F.floor(F.col(ts) / period), "__template": templates.text_template(F.col(text))})

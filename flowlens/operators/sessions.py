@@ -91,6 +91,11 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap: Column | int, order
     return events.withColumn("__break", breaks).withColumn("session_no", F.sum("__break").over(over) + 1).drop("__break")
 
 
+def capacity_level(live: Column, capacity: int) -> Column:
+    """How full a table of sessions is: `ok`, `warning` from 80 % on, `critical` from 95 % on (shares of whole sessions)."""
+    return F.when(live >= capacity * 95 // 100, "critical").when(live >= capacity * 80 // 100, "warning").otherwise("ok")
+
+
 def evicted(sessions: DataFrame, capacity: int, last_seen: str = "last_seen", key: str = "session_key") -> DataFrame:
     """The sessions that give way where only `capacity` are kept: those seen last the longest ago."""
     kept = sessions.orderBy(F.desc(last_seen), F.desc(key)).limit(capacity)

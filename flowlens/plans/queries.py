@@ -104,9 +104,10 @@ def q_pii_pages(spark, sf):
     return privacy.counts(table(spark, sf, "pages"), [], "html", "page_id")
 
 
-@query(f"WITH c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), {entity_sql('c', 'id')} SELECT category, count(DISTINCT key) AS n_texts, count(*) AS n_entities FROM ent GROUP BY category")
+@query(f"WITH c AS (SELECT conv_id * 1000 + turn AS id, text || ' u' || conv_id || '@mail.example' AS text FROM conversations), {entity_sql('c', 'id')} SELECT category, count(DISTINCT key) AS n_texts, count(*) AS n_entities FROM ent GROUP BY category")
 def q_pii_conversations(spark, sf):
-    return privacy.counts(table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), [], "text", "id")
+    signed = F.concat("text", F.lit(" u"), F.col("conv_id").cast("string"), F.lit("@mail.example"))
+    return privacy.counts(table(spark, sf, "conversations").withColumns({"id": F.col("conv_id") * 1000 + F.col("turn"), "text": signed}), [], "text", "id")
 
 
 @query(f"WITH {entity_sql('documents', 'doc_id')} SELECT key * 1000 AS timestamp_ns, category, 'Regex' AS source, CAST(1.0 AS FLOAT) AS confidence, 'Redacted' AS action, 'unknown' AS service_identity FROM ent")

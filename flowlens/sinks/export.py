@@ -62,14 +62,26 @@ def finding_spans(audit: DataFrame, boot_offset_ns: int = 0) -> DataFrame:
                         F.array(_attribute("flowlens.pii.category", F.col("category")), _attribute("flowlens.pii.confidence", F.col("confidence").cast("double"))).alias("attributes"))
 
 
-def metrics_text(stats: DataFrame) -> DataFrame:
-    """One row of counters as lines of the text exposition format, in column `value`."""
+def metrics_text(stats: DataFrame, parse_times: DataFrame | None = None) -> DataFrame:
+    """One row of counters as lines of the text exposition format, in column `value`; with parse_times (le, n of
+    metrics.histogram, and the values' sum in every row), the histogram's lines before the end."""
     lines = []
     for kind, names in (("counter", COUNTERS), ("gauge", GAUGES)):
         for name, helped in names.items():
             shown = f"flowlens_{name}" + ("_total" if kind == "counter" else "")
             lines += [F.lit(f"# HELP flowlens_{name} {helped}."), F.lit(f"# TYPE flowlens_{name} {kind}"), F.concat(F.lit(shown + " "), F.col(name).cast("string"))]
-    return stats.select(F.explode(F.array(*lines, F.lit("# EOF"))).alias("value"))
+    end = F.lit("# EOF")
+    if parse_times is None:
+        return stats.select(F.explode(F.array(*lines, end)).alias("value"))
+    name = "flowlens_parse_duration_seconds"
+    bounds = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("le").try_cast("double"), F.lit(float("inf"))).alias("bound"), "le", "n")))  # a row for each bound
+    head = [F.lit(f"# HELP {name} Seconds that decoding an event took."), F.lit(f"# TYPE {name} histogram")]
+    buckets = parse_times.agg(bounds.alias("b"), F.max("n").alias("count"), F.max("sum").alias("sum"))
+    shown = F.transform("b", lambda x: F.concat(F.lit(name + '_bucket{le="'), x["le"], F.lit('"} '), x["n"].cast("string")))
+    tail = [F.concat(F.lit(f"{name}_sum "), F.col("sum").cast("string")), F.concat(F.lit(f"{name}_count "), F.col("count").cast("string"))]
+    first = stats.select(F.posexplode(F.array(*lines)).alias("no", "value"))
+    more = buckets.select(F.posexplode(F.concat(F.array(*head), shown, F.array(*tail, end))).alias("no", "value"))
+    return first.withColumn("part", F.lit(0)).unionByName(more.withColumn("part", F.lit(1))).orderBy("part", "no").select("value")
 
 
 def health(stats: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from flowlens import schema
@@ -129,28 +129,52 @@ class CaptureReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
-class CaptureStreamReader(SimpleDataSourceStreamReader):
-    """Follows one growing file: the offset is the number of records read."""
+class CaptureStreamReader(DataSourceStreamReader):
+    """Follows all files of a folder, new ones and growing ones. The offset is the number of records read of each file; a
+    batch takes recordsPerBatch at most, in the order of the files' names, and its parts are read by the executors.
 
-    def __init__(self, options: dict):
-        self.path, self.most = _files(options["path"])[0], int(options.get("recordsPerBatch", 10_000))
+    Only file sizes are looked at on the driver. A file whose header is not there yet waits for a later batch. Parts of a
+    batch come in no order: sort by timestamp_ns and seq inside a key. seq counts the records of a file.
+    """
+
+    def __init__(self, shape: StructType, options: dict):
+        self.reader = CaptureReader(shape, options)
+        self.path, self.most = options["path"], int(options.get("recordsPerBatch", 1_000_000))
+        self.given: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        return {"record": 0}
+        return {}
 
-    def _rows(self, first: int, last: int) -> list[tuple]:
-        with open(self.path, "rb") as f:
-            f.seek(HEADER.size + first * STRIDE)
-            rows = read_records(f.read((last - first) * STRIDE), first)
-        return [tuple(r[k] for k in schema.DATA_EVENT.names) for r in rows]
+    def latestOffset(self) -> dict:
+        left, out = self.most, dict(self.given)
+        for file in _files(self.path):
+            name = os.path.basename(file)
+            there = max(0, os.path.getsize(file) - HEADER.size) // STRIDE
+            take = min(left, there - out.get(name, 0))
+            if take > 0:
+                out[name] = out.get(name, 0) + take
+                left -= take
+        self.given = out
+        return out
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        there = max(0, (os.path.getsize(self.path) - HEADER.size) // STRIDE)
-        last = min(there, start["record"] + self.most)
-        return iter(self._rows(start["record"], last)), {"record": last}
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        folder = _local(self.path)
+        where = folder if os.path.isdir(folder) else os.path.dirname(folder)
+        out, size = [], self.reader.size
+        for name in sorted(end):
+            file, first = os.path.join(where, name), start.get(name, 0)
+            if end[name] > first:
+                with open(file, "rb") as f:
+                    read_header(f.read(HEADER.size))
+                out += [Part(file, i, min(size, end[name] - i)) for i in range(first, end[name], size)]
+        self.given = {name: max(n, self.given.get(name, 0)) for name, n in (self.given | end).items()}
+        return out
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(start["record"], end["record"]))
+    def commit(self, end: dict) -> None:
+        pass
 
 
 @dataclass
@@ -208,8 +232,8 @@ class CaptureSource(DataSource):
     def reader(self, schema: StructType) -> CaptureReader:
         return CaptureReader(schema, self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> CaptureStreamReader:
-        return CaptureStreamReader(self.options)
+    def streamReader(self, schema: StructType) -> CaptureStreamReader:
+        return CaptureStreamReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(self.options, overwrite)

@@ -22,38 +22,81 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class SessionProcessor(StatefulProcessor):
-    """A SessionRunner for each key, kept as bytes between batches. Rows of a batch are put in order first; the state of a
-    key that has been silent for long is dropped by the store."""
+    """A SessionRunner for each key, kept as bytes between batches; with it the events that the watermark has not passed.
 
-    def __init__(self, idle_ns: int, expire: bool):
-        self.idle_ns, self.expire = idle_ns, expire
+    held: events wait until the watermark has passed them, so they are parsed in order of time over all batches; a timer
+    comes back for those that still wait, and one that finds the key silent for long drops its state. Without it, the rows
+    of each batch are put in order, and silent keys are dropped by the store.
+    """
+
+    def __init__(self, idle_ns: int, expire: bool, held: bool = False):
+        self.idle_ns, self.expire, self.held = idle_ns, expire, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("runner", "bytes binary", ttlDurationMs=2 * self.idle_ns // 1_000_000 if self.expire else None)
+        self.handle = handle
+        self.state = handle.getValueState("runner", "bytes binary", ttlDurationMs=2 * self.idle_ns // 1_000_000 if self.expire and not self.held else None)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from flowlens.operators.sessions import SessionRunner
+    def _parsed(self, runner, events: list[dict]) -> Iterator[pd.DataFrame]:
         from flowlens.schema import SESSION_ROW
 
+        yield pd.DataFrame([row for event in events for row in runner.feed(event)], columns=SESSION_ROW.names)
+
+    def _advance(self, runner, waiting: list[dict], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        waiting.sort(key=lambda e: (e["timestamp_ns"], e["seq"]))
+        ready = [e for e in waiting if e["timestamp_ns"] < watermark_ms * 1_000_000]
+        rest = waiting[len(ready):]
+        out = list(self._parsed(runner, ready))
+        self.state.update((pickle.dumps((runner, rest)),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        due = (rest[0]["timestamp_ns"] if rest else runner.last + 2 * self.idle_ns) // 1_000_000 + 1
+        self.handle.registerTimer(max(due, watermark_ms + 1))
+        yield from out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from flowlens.operators.sessions import INPUT, SessionRunner
+
+        kept = self.state.get()
+        runner, waiting = pickle.loads(kept[0]) if kept else (SessionRunner(self.idle_ns), [])
+        events = pd.concat(list(rows))[INPUT].to_dict("records")
+        if self.held:
+            yield from self._advance(runner, [*waiting, *events], timerValues.getCurrentWatermarkInMs())
+            return
+        events.sort(key=lambda e: (e["timestamp_ns"], e["seq"]))
+        out = list(self._parsed(runner, events))
+        self.state.update((pickle.dumps((runner, [])),))
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         kept = self.state.get()
-        runner = pickle.loads(kept[0]) if kept else SessionRunner(self.idle_ns)
-        events = pd.concat(list(rows)).sort_values(["timestamp_ns", "seq"]).to_dict("records")
-        out = [row for event in events for row in runner.feed(event)]
-        self.state.update((pickle.dumps(runner),))
-        yield pd.DataFrame(out, columns=SESSION_ROW.names)
+        if not kept:
+            return
+        runner, waiting = pickle.loads(kept[0])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not waiting and runner.last + 2 * self.idle_ns < watermark * 1_000_000:
+            self.state.clear()
+            return
+        yield from self._advance(runner, waiting, watermark)
 
     def close(self) -> None:
         pass
 
 
-def parse_session_stream(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000, expire: bool = True) -> DataFrame:
+def parse_session_stream(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000, expire: bool = True, late: str | None = None) -> DataFrame:
     """parse_sessions over a stream. Needs the RocksDB state store provider.
 
+    late: how late an event may come ("10 seconds"). Events then wait for the watermark and are parsed in order of time over
+    all batches and files; what comes later than that is dropped, and what the watermark never passes waits on. Without it,
+    events are put in order inside a batch only, for sources that give them in order.
+
     expire drops silent keys by processing time. Spark then runs batches for the clock's sake without end, so a stream that
     is to stop when its input does (trigger availableNow) takes expire=False.
     """
     ship(events.sparkSession)
-    processor = SessionProcessor(idle_ns, expire)
+    processor = SessionProcessor(idle_ns, expire, late is not None)
+    if late is not None:
+        timed = events.select(*INPUT, F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000)).alias("event_time")).withWatermark("event_time", late)
+        return timed.groupBy("session_key").transformWithStateInPandas(processor, schema.SESSION_ROW, "append", "eventTime")
     return events.select(*INPUT).groupBy("session_key").transformWithStateInPandas(processor, schema.SESSION_ROW, "append", "processingTime" if expire else "none")
 
 
@@ -63,19 +106,46 @@ def flow_stream(observations: DataFrame, event_time: str = "event_time", window:
 
 
 class EdgeTable:
-    """Edges that every batch of flows is merged into: written beside the last version, which is then replaced."""
+    """Edges that every batch of flows is merged into. A batch is a version beside the last; a version counts once it is
+    written whole, so a query that starts again goes on from the last whole one. Only the last KEPT versions stay."""
+
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.version = -1
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _store(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """The whole versions, in order."""
+        jvm, root, store = self._store()
+        if not store.exists(root):
+            return []
+        names = [str(x.getPath().getName()) for x in store.listStatus(root)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version >= 0 else None
+        """The edges as of the last whole version; None before the first."""
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def upsert(self, flow_rows: DataFrame, batch: int) -> None:
-        """For foreachBatch. A batch that comes again after a failure overwrites what it wrote before."""
-        if batch <= self.version:
+        """For foreachBatch. A batch that comes again after it was written whole changes nothing."""
+        found = self.versions()
+        if found and batch <= found[-1]:
             return
-        flow_rows = flow_rows.withColumn("window", F.unix_seconds("window.start")) if dict(flow_rows.dtypes)["window"].startswith("struct") else flow_rows
-        graph.merged_edges(flow_rows, self.read()).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.version = batch
+        if dict(flow_rows.dtypes)["window"].startswith("struct"):
+            flow_rows = flow_rows.withColumn("window", F.unix_seconds("window.start"))
+        base = self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+        graph.merged_edges(flow_rows, base).drop("mean_latency_ns").write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        jvm, _, store = self._store()
+        for old in [*found, batch][:-self.KEPT]:
+            store.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+
+
+def edge_stream(flow_rows: DataFrame, table: EdgeTable, checkpoint: str, **trigger):
+    """Starts a query that merges every batch of final flows (append mode) into the table."""
+    return flow_rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(table.upsert).trigger(**trigger).start()

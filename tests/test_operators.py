@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens import config
-from flowlens.functions import network, pii, templates, urls
+from flowlens import config, schema
+from flowlens.functions import network, pii, procfs, templates, urls
 from flowlens.operators import graph, ingest, joins, privacy, sessions
 from flowlens.plans import fixtures
 from flowlens.sinks import export
@@ -181,3 +181,65 @@ def test_settings():
     for bad in ("max_worker_count = 0", "worker_channel_capacity = 0", "sample_rate = 1.5", "= x"):
         with pytest.raises(ValueError):
             config.parse(bad)
+
+
+def test_correlation_keeps_equal_responses_and_takes_the_last_request(spark):
+    asked = spark.createDataFrame([(1, 10, "a"), (1, 95, "b"), (1, 100, "c"), (1, 100, "d"), (2, 5, "e")], "k long, timestamp_ns long, name string")
+    answers = spark.createDataFrame([(1, 99, "x"), (1, 99, "x"), (1, 100, "y"), (1, 9, "z"), (1, 300, "w"), (2, 105, "v"), (3, 1, "u"), (1, 110, "t")], "k long, timestamp_ns long, said string")
+    out = sorted((r["k"], r["timestamp_ns"], r["said"], r["request"] and r["request"]["name"]) for r in joins.pair_correlated(asked, answers, ["k"], 100).collect())
+    assert out == [(1, 9, "z", None), (1, 99, "x", "b"), (1, 99, "x", "b"), (1, 100, "y", "d"), (1, 110, "t", "d"), (1, 300, "w", None), (2, 105, "v", "e"), (3, 1, "u", None)]
+
+
+def test_edge_table_goes_on_after_a_restart(spark, tmp_path):
+    from flowlens.streaming.pipeline import EdgeTable
+
+    shape = "window long, src string, dst string, protocol string, template string, request_count long, error_count long, pii_hit_count long, latency_sum_ns long, latency_max_ns long, last_seen long"
+    batch = lambda w, total: spark.createDataFrame([(w, "a", "b", "p", "t", 2, 0, 0, total, total, w)], shape)
+    path = f"file://{tmp_path}/edges"
+    assert EdgeTable(spark, path).read() is None
+    for number, total in enumerate((20, 60, 100)):
+        EdgeTable(spark, path).upsert(batch(number, total), number)
+    table = EdgeTable(spark, path)
+    table.upsert(batch(9, 1000), 1)  # an old batch again
+    row = table.read().first()
+    assert (row["request_count"], row["avg_latency_ns"], row["max_latency_ns"]) == (6, ((10 + 30) // 2 + 50) // 2, 100)
+    assert table.versions() == [1, 2]
+    (tmp_path / "edges" / "v7").mkdir()  # a version that was never finished
+    assert EdgeTable(spark, path).versions() == [1, 2]
+
+
+def test_capture_stream_takes_new_and_growing_files(spark, tmp_path):
+    events = [r.asDict() for r in fixtures.packets(spark, "/root/testdata/sf0.001", "redis").limit(9).collect()]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    reader = capture.CaptureStreamReader(schema.DATA_EVENT, {"path": str(folder), "recordsPerBatch": "4", "recordsPerPartition": "3"})
+    assert reader.latestOffset() == {}
+    (folder / "a.cap").write_bytes(capture.capture_bytes(events[:3]))
+    (folder / "b.cap").write_bytes(capture.capture_bytes(events[3:6]))
+    first = reader.latestOffset()
+    assert first == {"a.cap": 3, "b.cap": 1}
+    with open(folder / "a.cap", "ab") as f:
+        f.write(capture.record_bytes(events[6]) + capture.record_bytes(events[7])[:50])  # the last record is not whole yet
+    again = capture.CaptureStreamReader(schema.DATA_EVENT, {"path": str(folder), "recordsPerBatch": "100", "recordsPerPartition": "3"})
+    second = again.latestOffset()
+    assert second == {"a.cap": 4, "b.cap": 3}
+    rows = lambda start, end: [r for p in again.partitions(start, end) for b in again.read(p) for r in b.to_pylist()]
+    assert [r["timestamp_ns"] for r in rows({}, first)] == [e["timestamp_ns"] for e in events[:4]]
+    assert [(r["seq"], r["timestamp_ns"]) for r in rows(first, second)] == [(3, events[6]["timestamp_ns"]), (1, events[4]["timestamp_ns"]), (2, events[5]["timestamp_ns"])]
+
+
+def test_host_texts(spark):
+    maps = "7f00-7f10 r-xp 0 08:01 1 /usr/lib/libssl.so.3\n7f20-7f30 r-xp 0 08:01 1 /usr/lib/libssl.so.3\n1-2 rw-p 0 0 2 /x\nbad"
+    assert [tuple(r) for r in one(spark, maps, procfs.mapped_files)] == [("/usr/lib/libssl.so.3", 0x7F00)] and one(spark, None, procfs.mapped_files) == []
+    assert one(spark, "Linux version 5.15.0-91-generic (x)", procfs.kernel_version).asDict() == {"major": 5, "minor": 15, "patch": 0} and one(spark, "none", procfs.kernel_version) is None
+    assert [one(spark, v, procfs.register_abi) for v in ("go1.17", "go1.16.4", "go1.21.0", "x")] == [True, False, True, False]
+    assert one(spark, "Name:\tx\nCapEff:\t000001ffffffffff\n", procfs.effective_capabilities) == 0x1FFFFFFFFFF and one(spark, "x", procfs.effective_capabilities) is None
+
+
+def test_scores_to_labels(spark):
+    rows = spark.createDataFrame([([[0.0, 9.0, 0.0], [1000.0, 1000.0, 0.0]],)], "l array<array<double>>")
+    out = rows.select(pii.token_labels(F.col("l"), ("O", "B-PER", "I-PER")).alias("t")).first()["t"]
+    assert [x["label"] for x in out] == ["B-PER", "O"] and abs(out[0]["confidence"] - 1 / (1 + 2 * 2.718281828**-9)) < 1e-6 and abs(out[1]["confidence"] - 0.5) < 1e-6
+    offsets = spark.createDataFrame([([(0, 3), (4, 7)],)], "o array<struct<start: int, end: int>>")
+    pick = lambda a, b: offsets.select(pii.token_offsets(F.col("o"), F.lit(a), F.lit(b)).alias("x")).first()["x"]
+    assert tuple(pick(0, 2)) == (0, 7) and pick(1, 1) is None and pick(0, 3) is None

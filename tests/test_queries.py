@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from flowlens.plans import queries as plans
+from flowlens.plans import host_queries, queries as plans
+
+assert host_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
