@@ -115,6 +115,28 @@ def c_string(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), head).otherwise(F.lit("<invalid>"))
 
 
+def length_encoded(raw: Column) -> Column:
+    """A length-encoded integer of the MySQL protocol at the start of raw: a first byte up to 0xFB stands for itself, above it
+    tells how many bytes follow, the least first. Null if bytes are missing or the first is no length."""
+    digits = F.hex(raw)
+    first = F.conv(F.substring(digits, 1, 2), 16, 10).cast("long")
+
+    def little(size: int) -> Column:
+        turned = F.concat(*[F.substring(digits, 3 + 2 * i, 2) for i in range(size - 1, -1, -1)])
+        return F.when(F.octet_length(raw) > size, F.conv(turned, 16, -10).cast("long"))
+
+    return F.when(first <= 0xFB, first).when(first == 0xFC, little(2)).when(first == 0xFD, little(3)).when(first == 0xFE, little(8))
+
+
+def capped_text(raw: Column, most: int) -> Column:
+    """The first `most` bytes as text, what is no UTF-8 shown by a mark; a character that the cut parts is left out."""
+    text = F.make_valid_utf8(F.substring(raw, F.lit(1), F.lit(most)).cast("string"))
+    whole = F.make_valid_utf8(raw.cast("string"))
+    # a cut inside a character leaves one mark at the end that the whole text has not at that place
+    cut = (F.octet_length(raw) > most) & text.endswith("\ufffd") & ~F.substring(whole, 1, F.length(text)).endswith("\ufffd")
+    return F.when(cut, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def payload_slice(payload: Column, length: Column) -> Column:
     """The payload's bytes that count: its stated length, at most the record's."""
     return F.substring(payload, F.lit(1), F.least(length, F.lit(schema.MAX_PAYLOAD)).cast("int"))

@@ -76,6 +76,23 @@ def q_settings(spark, sf):
     return ingest.admitted(rows, settings, ["seq"]).select("event_id")
 
 
+@query(f"WITH {_TIMED} SELECT event_id, CASE k % 4 WHEN 0 THEN k % 252 WHEN 1 THEN event_id % 65536 WHEN 2 THEN event_id * 7 % 16777216 ELSE event_id * 1000003 END AS value FROM t WHERE k % 5 <> 4")
+def q_length_encoded(spark, sf):
+    """Integers as the MySQL protocol writes them; where k % 5 is 4, the last byte is missing."""
+    k, e = F.col("k"), F.col("event_id")
+    little = lambda value, size: F.concat(*[_hex(F.shiftright(value, 8 * i).bitwiseAND(F.lit(255)), 2) for i in range(size)])
+    shown = F.when(k % 4 == 0, _hex(k % 252, 2)).when(k % 4 == 1, F.concat(F.lit("FC"), little(e % 65536, 2))).when(k % 4 == 2, F.concat(F.lit("FD"), little(e * 7 % 16777216, 3))).otherwise(F.concat(F.lit("FE"), little(e * 1000003, 8)))
+    cut = F.when(k % 5 == 4, F.expr("left(shown, length(shown) - 2)")).otherwise(F.col("shown"))
+    rows = fixtures.base_events(spark, sf).withColumn("shown", shown).select("event_id", network.length_encoded(F.unhex(cut)).alias("value"))
+    return rows.filter("value is not null")
+
+
+@query("SELECT doc_id, (SELECT md5(substr(text, 1, max(k))) FROM range(0, 102) r(k) WHERE strlen(substr(text, 1, k)) <= 101) AS digest FROM documents WHERE text IS NOT NULL")
+def q_capped_text(spark, sf):
+    rows = table(spark, sf, "documents").filter("text is not null")
+    return rows.select("doc_id", F.md5(network.capped_text(F.col("text").cast("binary"), 101)).alias("digest"))
+
+
 # ---- processes, TLS calls, libraries ----------------------------------------------------------------------------
 
 @query("SELECT CASE event_type WHEN 'click' THEN 'SockConnect' WHEN 'view' THEN 'SockAccept' ELSE 'SockClose' END AS event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -243,3 +243,28 @@ def test_scores_to_labels(spark):
     offsets = spark.createDataFrame([([(0, 3), (4, 7)],)], "o array<struct<start: int, end: int>>")
     pick = lambda a, b: offsets.select(pii.token_offsets(F.col("o"), F.lit(a), F.lit(b)).alias("x")).first()["x"]
     assert tuple(pick(0, 2)) == (0, 7) and pick(1, 1) is None and pick(0, 3) is None
+
+
+def test_length_encoded_and_capped_text(spark):
+    from flowlens.codecs.sql import length_encoded
+
+    raws = [b"", b"\x05", b"\xfb", b"\xfc\x01\x02", b"\xfc\x01", b"\xfd\x01\x02\x03", b"\xfe" + bytes(range(8)), b"\xff"]
+    rows = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raws)], "i int, r binary").select("i", network.length_encoded(F.col("r")).alias("v")).collect()
+    assert [r["v"] for r in sorted(rows)] == [length_encoded(r) for r in raws]
+    texts = ["é日x".encode(), b"ab\xff\xfe", b"\xffabc", "aé".encode(), b""]
+    rows = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(texts)], "i int, r binary").select("i", network.capped_text(F.col("r"), 4).alias("v")).collect()
+    assert [r["v"] for r in sorted(rows)] == ["é", "ab\ufffd\ufffd", "\ufffdabc", "aé", ""]
+
+
+def test_the_engine_as_a_job(spark, tmp_path):
+    from flowlens import __main__ as job
+
+    capture.register(spark)
+    rows = fixtures.packets(spark, "/root/testdata/sf0.001", "redis").filter("socket_cookie < 20")
+    rows.write.format("capture").mode("append").option("path", str(tmp_path / "in")).save()
+    (tmp_path / "s.toml").write_text("max_events_per_sec = 0\n[pii]\nredact = true\n")
+    base = ["--input", str(tmp_path / "in"), "--config", str(tmp_path / "s.toml"), "--json-export", str(tmp_path / "out"), "--pii-audit-log", str(tmp_path / "audit")]
+    assert job.run(spark, job.arguments([*base, "--smoke-test"])) is None and not (tmp_path / "out").exists()
+    job.run(spark, job.arguments(base))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 20 and {x["method"] for x in lines} == {"GET"}
