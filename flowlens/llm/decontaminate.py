@@ -3,20 +3,27 @@
 An item that occurs in a text with at most e edits has, of any e + 1 pieces it is cut into, at least one that occurs
 unchanged. So the pieces of all items are found at once by an automaton, and around each hit the item is verified by
 Myers' bit-parallel edit distance, with the ends of the text free.
+
+The benchmark is cut into blocks of bounded size. Each is broadcast on its own, and a worker has one automaton at a time:
+it gathers texts up to CHUNK_CHARS and takes them through block after block. Verifying costs a step for each character
+around a hit, of integers as long as the item.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.session import ship
 
 #: Edits allowed: this share of an item's characters; pieces are then about 15 characters long.
 ERROR_RATE = 0.06
+#: Texts that a worker holds while it goes through several blocks of items.
+CHUNK_CHARS = 32_000_000
 
 
 def normalise(text: str) -> str:
@@ -115,23 +122,6 @@ class Matcher:
         return sorted(out)
 
 
-def find_items(df: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """A row for each row of df and item that occurs in it: id, item_id, distance, end_pos (in the normalised text), budget.
-    Null and empty texts, and empty items, match nothing. A repeated row is reported each time."""
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                rows = batch.slice(i, 512)
-                found = [(doc, *hit) for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if text for hit in matcher.find(text)]
-                columns = list(zip(*found, strict=True)) if found else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], ["id", "item_id", "distance", "end_pos", "budget"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, distance int, end_pos int, budget int")
-
-
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = 8_000_000) -> Iterator[list[tuple[int, str]]]:
     """The benchmark as blocks of at most block_chars characters (an item may be longer, alone), one held at a time."""
     block: list[tuple[int, str]] = []
@@ -146,25 +136,69 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
+def ship_items(spark: SparkSession, blocks: Iterable[list[tuple[int, str]]]) -> list[Broadcast]:
+    """The blocks as broadcasts; the driver keeps each as a file, and one in memory."""
+    return [spark.sparkContext.broadcast(block) for block in blocks]
+
+
+_latest: list = [None, None, None]
+
+
+def _matcher(block: Broadcast, rate: float) -> Matcher:
+    """The automaton of a block; a worker keeps the one it used last."""
+    if _latest[0] is not block or _latest[2] != rate:
+        _latest[:] = block, Matcher(block.value, rate), rate
+    return _latest[1]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text: int, blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches, gathered to chunks where each chunk goes through several blocks."""
+    chunk, held = [], 0
+    for batch in batches:
+        chunk.append(batch)
+        held += batch.column(text).nbytes
+        if blocks < 2 or held >= CHUNK_CHARS:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def find_items(df: DataFrame, items: list[Broadcast], id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """A row for each row of df and item that occurs in it: id, item_id, distance, end_pos (in the normalised text), budget.
+    Of several occurrences the nearest counts, of equally near ones the first. Null and empty texts, and empty items, match
+    nothing; a very long text is searched whole. A repeated row is reported each time."""
+    ship(df.sparkSession)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, 1, len(items)):
+            for block in items:
+                matcher = _matcher(block, rate)
+                for batch in chunk:
+                    found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in matcher.find(text)]
+                    columns = list(zip(*found, strict=True)) if found else [()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "distance", "end_pos", "budget"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, distance int, end_pos int, budget int")
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = 8_000_000) -> DataFrame:
-    """All rows of df against all benchmark items, in blocks of items: each block is one pass over df."""
-    found = None
-    for block in item_blocks(benchmark, block_chars=block_chars):
-        part = find_items(df, block, id_col, text_col, rate)
-        found = part if found is None else found.unionByName(part)
-    return find_items(df, [], id_col, text_col, rate) if found is None else found
+    """All rows of df against all benchmark items, in one pass over df (see find_items)."""
+    return find_items(df, ship_items(df.sparkSession, item_blocks(benchmark, block_chars=block_chars)), id_col, text_col, rate)
 
 
-def without_items(df: DataFrame, items: list[tuple[int, str]], text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+def without_items(df: DataFrame, items: list[Broadcast], text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """The rows of df whose text has none of the items, with all columns."""
     ship(df.sparkSession)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
-        for batch in batches:
-            clean = [not (text and matcher.find(text)) for text in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for chunk in _chunks(batches, place, len(items)):
+            for block in items:
+                matcher = _matcher(block, rate)
+                chunk = [batch.filter(pa.array([not (text and matcher.find(text)) for text in batch.column(place).to_pylist()], pa.bool_())) for batch in chunk]
+            yield from chunk
 
     return df.mapInArrow(run, df.schema)
 
@@ -172,6 +206,4 @@ def without_items(df: DataFrame, items: list[tuple[int, str]], text_col: str = "
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = 8_000_000) -> DataFrame:
     """df without the rows that have a benchmark item in their text; a row is judged by its own text, so there is no join.
     Rows with null or empty texts stay, as does everything where the benchmark is empty."""
-    for block in item_blocks(benchmark, block_chars=block_chars):
-        df = without_items(df, block, text_col, rate)
-    return df
+    return without_items(df, ship_items(df.sparkSession, item_blocks(benchmark, block_chars=block_chars)), text_col, rate)
