@@ -26,14 +26,18 @@ DEPTHS = (4, 5, 6, 8, 10, 12)
 #: A leaf has at most so many documents; its pairs are compared by their sketches, in memory.
 MOST = 1024
 #: Bits of a sketch: HASHES orders of a set, of each the least value in every one of BINS bins.
-HASHES, BINS = 16, 128
+HASHES, BINS = 48, 128
 BITS = HASHES * BINS
-#: The sketches' estimate may be this much below the threshold: over 5 standard deviations at a similarity of 0.75.
-MARGIN = 0.075
+#: The sketches' estimate may be this much off the threshold: over 5 standard deviations at a similarity of 0.75.
+MARGIN = 0.045
 #: A document is covered when a pair at the threshold is missed with probability exp(-COVER) = 6e-6.
 COVER = 12.0
 
 
+#: No leaf's number.
+NOWHERE = np.int64(-(1 << 63))
+
+
 def permutations(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n permutations of 32-bit numbers: x to x * factor + term."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -180,21 +184,68 @@ def _block_pairs(rows: DataFrame, size: int) -> list[DataFrame]:
     return [x.select("id", "c", F.xxhash64("h", "i", "j").alias("leaf"), "role") for x in (few, many)]
 
 
+def spanning(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges x, y between nodes 0..n-1 those of a forest of greatest weight, as their numbers, and the tree of each node:
+    in each round every tree takes its heaviest edge to another."""
+    tree, taken = np.arange(n), []
+    left = np.argsort(weight, kind="stable")
+    while True:
+        a, b = tree[x[left]], tree[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return np.concatenate([np.zeros(0, np.int64), *taken]), tree
+        best = np.full(n, -1)
+        for end in (a, b):  # the last one written is the heaviest; of equal ones, both ends see the same
+            later = np.full(n, -1)
+            later[end] = np.arange(len(left))
+            best = np.maximum(best, later)
+        pick = np.unique(best[best >= 0])
+        taken.append(left[pick])
+        a, b = a[pick], b[pick]
+        label = np.arange(n)
+        while (label[a] != label[b]).any():
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+        tree = label[tree]
+
+
 def compared(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates of the leaves: a < b of different components whose sketches are nearly similar enough, with `agree`."""
+    """Candidates of the leaves: a < b of different components whose sketches are nearly similar enough, with `agree`.
+
+    A pair that shares several leaves is looked at in the one of least number. Where sketches leave no doubt, a forest of such pairs that spans them is enough; pairs in doubt are given unless both lie
+    in one tree of it. So a group that is still in many components costs a pair for each document, not all pairs.
+    """
+    threshold = num / den
 
-    def pairs(leaf: np.ndarray, role: np.ndarray, ids: np.ndarray, c: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(leaf: np.ndarray, role: np.ndarray, ids: np.ndarray, c: np.ndarray, n: np.ndarray, bits: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]])))
+        found = []
         for lag in range(1, int(sizes.max(initial=1))):
             x = np.flatnonzero((leaf[lag:] == leaf[:-lag]) & (c[lag:] != c[:-lag]))
             y = x + lag
             fit = ((role[x] == 0) | (role[x] != role[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
             x, y = x[fit], y[fit]
             likeness = similar(bits[x], bits[y])
-            good = likeness >= num / den - MARGIN
-            if good.any():
-                x, y = ids[x[good]], ids[y[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((likeness[good] * 1000).astype(np.int32))], ["a", "b", "agree"])
+            good = likeness >= threshold - MARGIN
+            x, y, likeness = x[good], y[good], likeness[good]
+            met = np.zeros(len(x), bool)  # in another leaf, of a lesser number
+            for tree in range(before.shape[1]):
+                one = before[x, tree]
+                met |= (one != NOWHERE) & (one < leaf[x]) & (before[y] == one[:, None]).any(1)
+            found.append((x[~met], y[~met], likeness[~met]))
+        if not found:
+            return
+        x, y, likeness = (np.concatenate(f) for f in zip(*found, strict=True))
+        names, node = np.unique(c, return_inverse=True)
+        sure = np.flatnonzero(likeness >= threshold + MARGIN)
+        taken, tree = spanning(node[x[sure]], node[y[sure]], likeness[sure], len(names))
+        doubt = likeness < threshold + MARGIN
+        doubt[doubt] = tree[node[x[doubt]]] != tree[node[y[doubt]]]
+        keep = np.concatenate([sure[taken], np.flatnonzero(doubt)])
+        if len(keep):
+            x, y = ids[x[keep]], ids[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((likeness[keep] * 1000).astype(np.int32))], ["a", "b", "agree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -203,6 +254,12 @@ def compared(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 continue
             got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             got.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            others = batch.column(6)
+            inside = np.diff(others.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), inside)
+            wide = np.full((batch.num_rows, TREES), NOWHERE)
+            wide[row, np.arange(len(row)) - np.repeat(np.cumsum(inside) - inside, inside)] = others.flatten().to_numpy()
+            got.append(wide)
             held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last leaf may go on
             if cut:
@@ -211,7 +268,9 @@ def compared(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         if held is not None:
             yield from pairs(*held)
 
-    rows = leaves.join(sets.select("id", "n", "sketch"), "id").select("leaf", "role", "id", "c", "n", "sketch")
+    own = leaves.filter("role = 0").groupBy("id").agg(F.collect_set("leaf").alias("leaves"))  # one for each tree at most
+    known = sets.select("id", "n", "sketch").join(own, "id", "left")
+    rows = leaves.join(known, "id").select("leaf", "role", "id", "c", "n", "sketch", F.coalesce("leaves", F.array().cast("array<bigint>")).alias("leaves"))
     return rows.repartition("leaf").sortWithinPartitions("leaf", "role", "id").mapInArrow(run, "a long, b long, agree int").distinct()
 
 

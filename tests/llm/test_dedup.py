@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.llm import components, exact_dedup, near_dedup, substring_dedup
+from flowlens.llm import components, exact_dedup, forest, near_dedup, substring_dedup
 from flowlens.llm.textnp import buffers, word_spans
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long"
@@ -144,6 +144,74 @@ def test_every_pair_of_a_crowded_region(spark):
     assert out == {i: i - i % 2 for i, _ in docs}
 
 
+def slotted(n, planted):
+    """n pages of one template with 80 slots of two variants, about 0.63 alike, and copies of some with 16 slots changed."""
+    rng = random.Random(4)
+    template = [f"t{i}x{rng.randrange(1 << 30)}" for i in range(900)]
+    slots = rng.sample(range(0, 900, 11), 80)
+    choices = [[rng.randrange(2) for _ in slots] for _ in range(n)]
+    origin = {}
+    for j in range(planted):
+        origin[n + j] = rng.randrange(n)
+        choices.append([c ^ (k in changed) for changed in [set(rng.sample(range(80), 16))] for k, c in enumerate(choices[origin[n + j]])])
+    docs = []
+    for i, choice in enumerate(choices):
+        words = list(template)
+        for at, c in zip(slots, choice, strict=True):
+            words[at] = f"{'ab'[c]}{at}"
+        docs.append((i, " ".join(words)))
+    rng.shuffle(docs)
+    return docs, origin
+
+
+@pytest.mark.parametrize("leaf", [1024, 64])
+def test_links_of_a_family_with_few_variants(spark, leaf):
+    docs, _ = slotted(380, 60)
+    sets = {i: shingles(t) for i, t in docs}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components_of(len(docs), links)
+    out = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, docs), leaf=leaf).collect()}
+    assert sum(out[i] == out[j] for i, j in links) >= 0.98 * len(links) and all(want[i] == want[c] for i, c in out.items())
+
+
+def test_regions_adapt_and_blocks_meet(spark):
+    """Every two rows of different components that share a prefix of the least depth share a leaf, unless deeper values part them."""
+    rng = random.Random(1)
+    rows = [(i, i % 3 if i < 40 else 0, 7, *[7 if i < 70 else rng.randrange(2) + d for d in forest.DEPTHS[1:]]) for i in range(100)]
+    shape = "id long, c long, " + ", ".join(f"h{d} long" for d in forest.DEPTHS)
+    leaves, opened = forest.regions(spark.createDataFrame(rows, shape), most=12)
+    inside = {}
+    for r in leaves.collect():
+        inside.setdefault(r["leaf"], []).append((r["id"], r["role"]))
+    assert max(map(len, inside.values())) <= 70
+    depths = [(r["id"], r["depth"]) for r in opened.collect()]
+    assert {i for i, d in depths if d == 4} == set(range(100)) and {i for i, d in depths if d == 10} == set(range(70)) and forest.DEPTHS[-1] not in {d for _, d in depths}
+    cover = {r["id"]: r["cover"] for r in forest.short_of_cover(opened, None, 0.75).collect()}
+    assert set(cover) <= set(range(100)) and cover[0] < forest.COVER
+    met = {frozenset((x, y)) for m in inside.values() for x, a in m for y, b in m if x != y and (a == 0 or a != b)}
+    part = {r[0]: r[1] for r in rows}
+    assert all(frozenset((x, y)) in met for x in range(70) for y in range(x) if part[x] != part[y])
+
+
+def test_spanning_forests():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (5, 3), (60, 40), (60, 400)):
+        x, y, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m) / 5
+        taken, tree = forest.spanning(x, y, w, n)
+        want = components_of(n, list(zip(x.tolist(), y.tolist(), strict=True)))
+        assert len({(a, b) for a, b in zip(tree.tolist(), want, strict=True)}) == len(set(want)) == len(set(tree.tolist()))
+        assert components_of(n, [(int(x[i]), int(y[i])) for i in taken]) == want and len(taken) == n - len(set(want))
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    for n, share in ((3, 1.0), (40, 0.75), (900, 0.63), (900, 0.75), (20_000, 0.9)):
+        both = int(round(2 * n * share / (1 + share)))
+        common, x, y = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, n - both))
+        words = [forest.sketch(np.sort(np.concatenate([common, z]))).view(np.uint64)[None] for z in (x, y)]
+        assert abs(forest.similar(*words)[0] - both / (2 * n - both)) < forest.MARGIN
+
+
 def test_a_hub_whose_copies_are_apart_from_one_another(spark):
     """Every copy is linked with the original only; all are one component."""
     rng = random.Random(5)
@@ -210,15 +278,16 @@ def test_a_region_over_several_partitions(spark, batch):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        out = near_dedup.neighbours(spark.createDataFrame(rows, "id long, key binary")).collect()
+        found, crowded = (x.collect() for x in near_dedup.neighbours(spark.createDataFrame(rows, "id long, key binary")))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    pairs = {(r["a"], r["b"]) for r in out if not r["crowded"]}
+    pairs = {(r["a"], r["b"]) for r in found}
     regions = {}
-    for r in out:
-        if r["crowded"]:
-            regions.setdefault(r["b"], set()).add(r["a"])
+    for r in crowded:
+        regions.setdefault(r["b"], set()).add(r["a"])
+    parent = components_of(max(i for i, _ in rows) + 1, pairs)
+    assert len({parent[i] for i, _ in rows}) == 3  # the parts of a region are candidates by their least ids
     for x, _ in rows:
         for y, _ in rows:
             if x < y and x // 10 == y // 10:

@@ -22,7 +22,15 @@ def test_shards_are_even_and_slots_gapless(spark):
     for r in rows:
         size[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in rows)
+    leaf = sum(size.values()) / 16
+    assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= max(2 * max(r["size"] for r in rows), 0.1 * leaf)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    group, where = Counter(), defaultdict(set)
+    for r in rows:
+        group[texts[r["doc_id"]]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(t) > 1 for t in where.values()) == 0 or max(group.values()) > leaf * sharding.GROUP_SHARE
+    assert all(len(where[t]) == 1 for t, n in group.items() if n <= leaf * sharding.GROUP_SHARE)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
@@ -53,24 +61,33 @@ def test_shards_against_a_plain_tree(spark):
 
 
 def test_shards_of_hard_tables(spark):
-    same = spark.createDataFrame([(i, "x" * 10, None, "s") for i in range(400)], "doc_id long, text string, lang string, source string")
-    assert max(Counter(r["shard"] for r in sharding.document_shards(same).collect()).values()) <= 27
+    same = spark.createDataFrame([(i, "x" * 10, None, "s") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    assert max(Counter(r["shard"] for r in sharding.document_shards(same).collect()).values()) <= 1.15 * 250
+    long = spark.createDataFrame([(i, "x" * (1 if i else 500_000) + str(i), "a", "s") for i in range(40)], same.schema)
+    assert len({r["shard"] for r in sharding.document_shards(long, 4).collect() if r["doc_id"] == 0}) == 1
+    assert len({r["shard"] for r in sharding.document_shards(same, None, 1100).collect()}) >= 38
     empty = sharding.document_shards(same.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     odd = spark.createDataFrame([(None, None, None, None), (1, "", "a", None)], same.schema)
     assert sorted(r["size"] for r in sharding.document_shards(odd).collect()) == [1, 1]
     with pytest.raises(ValueError):
         sharding.kd_shards(same.withColumn("shard", F.lit(1)), F.lit(1), {"a": F.col("doc_id")}, "doc_id")
-    assert {r["shard"] for r in sharding.kd_shards(same, F.lit(10), {"a": F.col("doc_id")}, "doc_id", None, 500).collect()} == set(range(8))
+    assert {r["shard"] for r in sharding.kd_shards(same, F.lit(10), {"a": F.col("doc_id")}, "doc_id", None, 5000).collect()} == set(range(8))
 
 
-def test_exponents():
-    tokens = [1000, 100, 10]
-    a = mixing.bisect_alpha(tokens, max_repeats=4)
-    assert abs((1000 / 10) ** (1 - a) - 4) < 1e-6 and mixing.bisect_alpha(tokens, max_repeats=1000) == 0 and mixing.bisect_alpha([], 2) == 1
-    e = mixing.bisect_alpha(tokens, target_entropy=1.0)
-    w = np.array([t**e for t in tokens]) / sum(t**e for t in tokens)
+def test_exponents(spark):
+    tokens = [1000, 100, 10, 0]
+    totals = spark.createDataFrame([(f"s{i}", t, 1) for i, t in enumerate(tokens)], "source string, total long, n long")
+    assert abs(100 ** (1 - mixing.bisect(lambda a: 100 ** (1 - a) <= 4)) - 4) < 1e-6 and mixing.bisect(lambda a: True) == 0
+    plan = {r["source"]: r for r in mixing.mix_plan(totals, max_repeats=4).collect()}
+    assert [plan[f"s{i}"]["budget"] for i in range(4)] == [1000, 200, 40, 0]
+    e = mixing.entropy_alpha(totals, 1.0)
+    w = np.array([t**e for t in tokens if t]) / sum(t**e for t in tokens if t)
     assert abs(-(w * np.log2(w)).sum() - 1.0) < 1e-6
+    for wrong in ({"target_entropy": 1.7}, {"target_entropy": 0.1}, {"max_repeats": None}, {"max_repeats": 0.5}):
+        with pytest.raises(ValueError):
+            mixing.mix_plan(totals, **wrong)
+    assert mixing.mix_plan(totals.filter("total = 0")).first()["budget"] == 0
 
 
 def test_mix_follows_the_budgets(spark):
@@ -89,19 +106,22 @@ def test_mix_follows_the_budgets(spark):
     for r in got:
         assert r["n_tokens"] == count[r["key"]] and r["source"] == source[r["key"]]
         by[r["source"], r["epoch"]].append(r)
-    for s, budget in plan["budget"].items():
+    plan = {r["source"]: r for r in plan.collect()}
+    for s, budget in ((s, r["budget"]) for s, r in plan.items()):
         assert budget <= 3.01 * total[s] and budget >= total[s]
         before = 0
         for epoch in range(-(-budget // total[s])):
             part = sorted(by[s, epoch], key=lambda r: r["position"])
             assert len({r["key"] for r in part}) == len(part)
             for r in part:
-                assert r["block"] == before // plan["share"][s] and (epoch == 0 or before < budget)
+                assert r["block"] == before // plan[s]["share"] and (epoch == 0 or before < budget)
                 before += r["n_tokens"]
         assert before >= budget
     mixed = mixing.realised(df, block_tokens=500)
     assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} == set(count)
     assert mixing.realised(df.limit(0)).count() == 0
+    odd = df.limit(3).withColumns({"key": F.lit("k"), "place": F.lit(1), "doc_id": F.when(F.col("doc_id") > 0, F.col("doc_id"))})
+    assert mixing.realised(odd).columns == odd.columns and mixing.realised(odd).count() >= 3
 
 
 def test_best_fit_decreasing_against_a_scan():

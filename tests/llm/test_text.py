@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from flowlens.llm import decontaminate, html_text, language, licenses
+from flowlens.llm import decontaminate, html_text, language, licenses, textnp
 
 SHAPE = "doc_id long, text string, lang string, item_id long"
 
@@ -76,10 +76,42 @@ NOTICES = {
     "bsd3-text": 'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT',
     "mpl2-header": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "cc-by-text": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "bsd2-text": 'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT',
+    "lgpl21-header": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.\n\nYou should have received a copy of the GNU Lesser General Public\nLicense along with this library; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA",
+    "lgpl3-program": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU Lesser General Public License for more details.",
+    "agpl3-header": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU Affero General Public License for more details.\n\nYou should have received a copy of the GNU Affero General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.",
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.',
+    "cc-by-sa-text": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-text": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "gpl3-text": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    "agpl3-text": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007",
+    "mpl2-text": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions",
     "cc0-text": "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. This software is distributed without any warranty.",
 }
 
 
+#: What each notice says, written down apart from the rules.
+LICENCE_OF = {
+    "apache": "Apache-2.0", "mit": "MIT", "gpl3-header": "GPL-3.0-or-later", "gpl2-header": "GPL-2.0-or-later", "gpl2-only": "GPL-2.0-only", "gpl3-text": "GPL-3.0-only", "bsd3": "BSD-3-Clause", "bsd2": "BSD-2-Clause",
+    "lgpl21": "LGPL-2.1-or-later", "lgpl3": "LGPL-3.0-or-later", "agpl3-header": "AGPL-3.0-or-later", "agpl3-text": "AGPL-3.0-only", "isc": "ISC", "mpl2": "MPL-2.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-text": "CC-BY-4.0", "cc0": "CC0-1.0"}
+
+
+def test_notices_give_exactly_their_licence(spark):
+    want = [next(v for k, v in LICENCE_OF.items() if name.startswith(k)) for name in NOTICES]
+    unwrapped = ["\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for t in NOTICES.values()]
+    spdx = [f"// SPDX-License-Identifier: {x}\nint x;" for x in ("MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-3-Clause")]
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan_licences(docs(spark, [*NOTICES.values(), *unwrapped, *spdx])).collect()}
+    assert [out[i] for i in range(len(out))] == [[x] for x in [*want, *want, "MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-3-Clause"]]
+
+
+def test_very_long_text_and_extra_columns(spark):
+    filler = "No licence here, only words that say so. " * 50_000
+    table = spark.createDataFrame([(1, filler + "\nReleased under the MIT License.\n" + filler, "a", 3)], "doc_id long, text string, rules string, licences long")
+    row = licenses.scan_licences(table).first()
+    assert row["licences"] == ["MIT"] and row["rules"] == ["mit-released"]
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 def test_wrapped_notices(spark, mark):
     texts = ["int x;\n\n" + "\n".join((mark + line).rstrip() for line in t.split("\n")) + "\n\nint y;" for t in NOTICES.values()]
@@ -129,6 +161,86 @@ def test_language_edge_cases(spark):
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 5]
 
 
+def test_predictions_against_plain_counts(spark):
+    """The query's own result: prototypes and cosines from a dictionary of trigrams, on one small table."""
+    rng = random.Random(3)
+    alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "xyzé日 "}
+    rows = [(i, "".join(rng.choices(alphabets[lang], k=rng.randint(0, 200))), lang) for i, lang in enumerate(rng.choices(sorted(alphabets), k=120))] + [(900, None, "aa"), (901, "1 2", None), (902, "abc", None)]
+    import zlib
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+
+    def vector(text):
+        letters = [0]
+        for c in text or "":
+            code = ord(c.lower()) if c.isalpha() else 0
+            if code or letters[-1]:
+                letters.append(code)
+        letters += [0] * (letters[-1] != 0)
+        out = np.zeros(language.DIM)
+        for i in range(len(letters) - 2):
+            v = np.ones(language.DIM)
+            for place, c in enumerate(letters[i:i + 3]):
+                v *= np.roll(language._letter_vector(c, language.DIM).astype(float), 2 - place)
+            out += v
+        return out
+
+    sums = {}
+    for i, text, lang in rows:
+        if not held[i] and lang and text:
+            sums[lang] = sums.get(lang, 0) + vector(text)
+    table = spark.createDataFrame([(i, t, lang, "x", 1) for i, t, lang in rows], "doc_id long, text string, lang string, lang_pred string, score long")
+    out = {r["doc_id"]: r for r in language.document_languages(table).collect()}
+    assert len(out) == len(rows)
+    for i, text, _ in rows:
+        v = vector(text)
+        norm = np.linalg.norm(v)
+        if not norm:
+            assert out[i]["lang_pred"] == "und" and out[i]["score"] == 0
+            continue
+        cosine = {k: v @ s / norm / np.linalg.norm(s) for k, s in sums.items()}
+        best = max(cosine, key=cosine.get)
+        assert out[i]["held_out"] == held[i] and abs(out[i]["score"] - max(0, cosine[best])) < 1e-4 and cosine[out[i]["lang_pred"]] > cosine[best] - 1e-4
+    kept = language.identified(table)
+    assert kept.columns == table.columns and kept.filter("lang is null").count() == 0
+
+
+def test_text_far_from_every_language_is_rejected(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    junk = ["".join(rng.choices("qwxzjkvQ", k=300)) for _ in range(5)] + [" ".join("".join(rng.choices("ЖЩЪЫЭЮ", k=5)) for _ in range(60)) for _ in range(5)]
+    table = docs_.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs_.schema))
+    kept = {r["doc_id"] for r in language.identified(table).collect()}
+    clean = {r["doc_id"] for r in docs_.collect() if sum(c.isalpha() for c in r["text"] or "") > 20 and r["lang"]}
+    assert not kept & set(range(-10, 0)) and clean <= kept
+
+
+def test_long_texts_go_through_slices():
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijé日  .,", k=60_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.array([0, len(data)])
+    want = language.text_vectors(data, at, 64)
+    for size in (1, 997, 4096):
+        whole, language.SLICE = language.SLICE, size
+        try:
+            got = language.text_vectors(data[:3000] if size == 1 else data, np.array([0, 3000]) if size == 1 else at, 64)
+        finally:
+            language.SLICE = whole
+        assert np.array_equal(got, language.text_vectors(data[:3000], np.array([0, 3000]), 64) if size == 1 else want)
+    words = "é日 " * 5 + "w" * 300 + " a\tb " + "".join(rng.choices("ab \n", k=5000))
+    raw = np.frombuffer(words.encode(), np.uint8)
+    spans = textnp.word_spans(raw, np.array([0, 7, 7, 400, len(raw)]))
+    hashes = textnp.word_hashes(raw, *spans[:2])
+    for size in (16, 64, 1000):
+        whole, textnp.SLICE = textnp.SLICE, size
+        try:
+            again = textnp.word_spans(raw, np.array([0, 7, 7, 400, len(raw)]))
+            assert all(np.array_equal(a, b) for a, b in zip(spans, again, strict=True)) and np.array_equal(hashes, textnp.word_hashes(raw, *again[:2]))
+        finally:
+            textnp.SLICE = whole
+
+
 ARTICLE = ["A heading &amp; more", "First <b>bold</b>word paragraph\n with   space.", "Be.", "A <a href='/x'>link</a> line<br>broken", "Last one &lt;here&gt;&nbsp;now"]
 WANT = "A heading & more First boldword paragraph with space. Be. A link line broken Last one <here> now"
 AROUND = (
@@ -187,6 +299,68 @@ def test_attributes_that_drop(attributes):
     assert html_text.main_text(f"<article><p>One</p><div {attributes}>two</div><p>three</p></article>") == "One three"
 
 
+@pytest.mark.parametrize("inner,want", [
+    ("<svg class='i'/>", ""), ("<svg class='i'><text>no</text></svg>", ""), ("<iframe src=x><p>two</p>", "two "),
+    ("<p title='a hidden gem'>two</p>", "two "), ("<p data-x='hidden'>two</p>", "two "), ("<a href='/p?id=comments'>two</a>", "two "),
+    ("<div class='market-share'>two</div>", "two "), ("<div class='share-buttons'>two</div>", ""), ("<div class='x-sidebar'>two</div>", ""), ("<div class='col related posts'>two</div>", ""),
+    ("<div class='ad'>two</div>", ""), ("<article><h2>two</h2></article>", "two ")])
+def test_elements_inside_an_article(inner, want):
+    assert html_text.main_text(f"<body><article><p>{LONG.format(1)}</p>{inner}<p>{LONG.format(2)}</p></article><footer>x</footer></body>") == f"{LONG.format(1)} {want}{LONG.format(2)}"
+
+
+def test_paragraphs_around_empty_containers():
+    page = f"<body><div><p>{LONG.format(1) * 3}</p><div></div><div></div><div></div><p>{LONG.format(2) * 3}</p></div><div></div><div></div><div>Short</div><footer>x</footer></body>"
+    assert html_text.main_text(page) == f"{LONG.format(1) * 3} {LONG.format(2) * 3}"
+
+
+def test_the_density_overrules_a_mark_that_holds_little():
+    page = f"<body><article><p>A teaser.</p></article><div>{''.join(f'<p>{LONG.format(i)}</p>' for i in range(5))}</div></body>"
+    assert html_text.main_text(page) == " ".join(LONG.format(i) for i in range(5))
+    page = f"<body><article>{LONG.format(1)}</article><div></div><article>{LONG.format(2)}</article><article>Short</article></body>"
+    assert html_text.main_text(page) == f"{LONG.format(1)} {LONG.format(2)}"
+
+
+def test_threshold_depends_on_the_page():
+    weight = np.array([3, 0, 0, 0, 400, 300, 0, 200, 0, 0, 0, 5, 0, 0, 0, 0, 350.0])
+    assert [x[:2] for x in html_text.stretches(weight)] == [(2, 8), (14, 17)]
+    assert [x[:2] for x in html_text.stretches(weight[:1])] == [(0, 1)] and html_text.stretches(np.zeros(4)) == []
+
+
+def generated_page(seed):
+    """A page without <article> or <main>, and its main text: blocks of any length, each page in its own layout, between
+    menus, adverts, notices, side columns and comments."""
+    rng = random.Random(seed)
+
+    def words(low, high):
+        return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
+
+    def menu():
+        return "<ul>" + "".join(f"<li><a href='/{i}'>{words(1, 2)}</a></li>" for i in range(rng.randint(3, 8))) + "</ul>"
+
+    def block(text, depth):
+        kind = rng.choice(["p", "p", "p", "li", "td", "section", "quote"])
+        text = f"{text[:len(text) // 2].rstrip()}&nbsp;<b>{text[len(text) // 2:].lstrip()}</b>"
+        return {"p": f"<p>{text}</p>", "li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>", "section": f"<section><div><div><p>{text}</p></div></div></section>", "quote": f"<blockquote>{text}</blockquote>"}[kind]
+
+    def advert():
+        name = rng.choice(["ad", "advert-box", "cookie-notice", "newsletter signup", "social-share", "related-posts"])
+        return f"<div class='{name}'><p>{words(5, 40)}</p></div>" if rng.random() < 0.3 else ""
+
+    texts = [words(3, 8)] + [words(*rng.choice([(2, 5), (30, 90), (30, 90)])) + "." for _ in range(rng.randint(3, 12))]
+    texts[1] = words(30, 60)
+    body = f"<h1>{texts[0]}</h1>" + "".join(advert() + block(t, 0) for t in texts[1:])
+    for _ in range(rng.randint(0, 3)):
+        body = f"<div class='{rng.choice(['c', 'content', 'text market-share'])}'>{body}</div>"
+    side = rng.choice(["<div id=sidebar>{}</div>", "<aside>{}</aside>", "<div class='comments'>{}</div>"]).format(f"<p>{words(20, 60)}</p>")
+    page = f"<body><header><h2>{words(1, 3)}</h2></header><nav>{menu()}</nav><div>{menu()}</div>{'<div><div>' * 2}{body}{'</div></div>' * 2}{side}<form><input><label>{words(2, 9)}</label></form><footer>{words(3, 20)}</footer></body>"
+    return page, " ".join(" ".join(" ".join((t[:len(t) // 2].rstrip(), t[len(t) // 2:].lstrip())).split()) if i else t for i, t in enumerate(texts))
+
+
+def test_generated_pages_without_marks():
+    wrong = [seed for seed in range(400) if html_text.main_text(generated_page(seed)[0]) != generated_page(seed)[1]]
+    assert not wrong
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Only.</article>"), (2, None, None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (5, "u", "plain text"), (6, "u", "<article><p>cut of"), (7, "u", "<a <b < c & d"), (1, "u", "<article><p>Only.</article>")], "page_id long, url string, html string")
     out = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect())
