@@ -22,6 +22,8 @@ from flowlens.session import ship
 #: Fixed value: how the byte-level BPE vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A session may name another vocabulary file here.
+VOCABULARY_SETTING = "spark.flowlens.vocabulary"
 ROW = 2048
 WINDOW_TOKENS = 4 << 20
 _MOST_VOCABULARY_BYTES = 64 << 20
@@ -89,18 +91,20 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return rows
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, vocabulary: str = VOCABULARY, window_tokens: int = WINDOW_TOKENS, pad_id: int | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS, pad_id: int | None = None) -> DataFrame:
     """df's texts as packed rows: pack_id, ids (row ids as bytes), id_bytes (2 or 4), n_tokens, cu_seqlens (0 and the end
     of each segment), positions (2 or 4 bytes each as ids; 0 where a segment begins, padding 0), doc_ids and starts (of
     each segment: its document, and where in the document's tokens it begins).
 
     Joined by document and start, the segments are all tokens of all documents. Null and empty texts have no tokens and no
     segment. Padding is pad_id, else the first id beyond the vocabulary. Repeated rows are each packed. The vocabulary
-    file is read on the driver and broadcast, its size being checked. pack_id is unique, not gapless.
+    file (else the one that the session's VOCABULARY_SETTING names, else VOCABULARY) is read on the driver and broadcast,
+    its size being checked. A very long text is encoded whole, 4 bytes a token, and split into full rows. pack_id is unique,
+    not gapless; it and the rows depend on how df is partitioned, the segments do not. Equal lengths keep their order.
     """
     spark = df.sparkSession
     ship(spark)
-    with open(vocabulary, "rb") as file:
+    with open(vocabulary or spark.conf.get(VOCABULARY_SETTING, VOCABULARY), "rb") as file:
         raw = file.read(_MOST_VOCABULARY_BYTES + 1)
     if len(raw) > _MOST_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to broadcast")
@@ -110,7 +114,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps = np.arange(row, dtype=id_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(shipped.value).encode_ordinary
+        encode = encoding(shipped.value).encode_to_numpy
         task, made = TaskContext.get().partitionId(), 0
         segments: list[tuple[int, int, np.ndarray]] = []
         held = 0
@@ -140,7 +144,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                     if not text:
                         continue
-                    tokens = np.array(encode(text), id_kind)
+                    tokens = encode(text, disallowed_special=()).astype(id_kind)
                     for start in range(0, len(tokens), row):
                         segments.append((doc, start, tokens[start:start + row]))
                         held += len(segments[-1][2])
