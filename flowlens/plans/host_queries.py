@@ -7,16 +7,18 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens import config
+from flowlens import config, schema
 from flowlens.functions import network, pii, procfs, templates
 from flowlens.operators import graph, host, ingest, joins, metrics, privacy, sessions
 from flowlens.plans import fixtures
 from flowlens.plans.fixtures import HOUR_NS, L7_SQL
-from flowlens.plans.queries import _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query
+from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query
 from flowlens.session import materialize, shared_dir, table
 from flowlens.sinks import export
 from flowlens.sources import capture
-from flowlens.streaming.pipeline import EdgeTable, edge_stream, flow_stream, parse_session_stream
+from flowlens.streaming import folds
+from flowlens.streaming.held import use_keyed_state
+from flowlens.streaming.pipeline import EdgeTable, edge_stream, flow_stream
 
 _TIMED = "t AS (SELECT event_id, user_id, event_type, epoch_us(ts) * 1000 AS tick, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
@@ -325,7 +327,107 @@ def q_stream_sessions_ordered(spark, sf):
     rows.filter("direction = 'Egress'").coalesce(1).write.parquet(f"{path}/in/part=1")
     end.coalesce(1).write.parquet(f"{path}/in/part=2")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return _drained(parse_session_stream(stream, expire=False, late="1 hour", idle_ns=10**15), "append").filter("session_key >= 0").select("session_key", "method", "path", "payload_text")
+    use_keyed_state(spark)
+    return _drained(folds.parse_session_stream(stream, late="1 hour", idle_ns=10**15), "append").filter("session_key >= 0").select("session_key", "method", "path", "payload_text")
+
+
+_LATE = "3 days"
+
+
+def _disordered(rows: DataFrame, ts: str, number: str, unit_ns: int = 1, slices: int = 4) -> DataFrame:
+    """rows as a stream that is out of order by up to two days: a batch for each slice of time, but rows come into the next one
+    by chance. A last row, far ahead, lets the watermark pass all others; it has the number -1."""
+    spark, day = rows.sparkSession, 24 * HOUR_NS // unit_ns
+    stored = materialize(rows)
+    first, last = stored.agg(F.min(ts), F.max(ts)).first()
+    first, last = first or 0, last or 0
+    path = f"{shared_dir(spark)}/disordered-{uuid.uuid4().hex}"
+    width = max(1, (last + 2 * day - first) // slices + 1)
+    place = F.floor((F.col(ts) - first + F.pmod(F.xxhash64(number), F.lit(2 * day))) / width)
+    for i in range(slices):
+        stored.filter(place == i).coalesce(1).write.parquet(f"{path}/in/part={i}")
+    ahead = spark.range(1).select(*[F.lit({ts: last + 400 * day, number: -1}.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    ahead.coalesce(1).write.parquet(f"{path}/in/part={slices}")
+    use_keyed_state(spark)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query(ORACLES["q_pair_correlated"])
+def q_stream_correlated(spark, sf):
+    rows = fixtures.base_events(spark, sf).select((F.col("user_id") % 40).alias("corr"), "event_id", "event_type", "timestamp_ns")
+    stream = _disordered(rows, "timestamp_ns", "event_id")
+    kind = lambda k: stream.filter(F.col("event_type") == k).drop("event_type")
+    last = stream.filter("event_id = -1").drop("event_type")
+    found = folds.pair_correlated_stream(kind("purchase").unionByName(last), kind("error"), ["corr"], 10 * HOUR_NS, _LATE)
+    return _drained(found, "append").filter("outcome != 'no response'").select(F.col("event_id").alias("response_id"), F.col("request.event_id").alias("request_id"))
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS corr, event_id, event_type, epoch_us(ts) * 1000 AS t FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY corr ORDER BY t, event_id) AS following FROM e WHERE event_type = 'purchase')
+SELECT event_id AS request_id FROM n WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.event_type = 'error' AND r.corr = n.corr AND r.t >= n.t AND r.t - n.t <= 36000000000000 AND (n.following IS NULL OR r.t < n.following))""")
+def q_stream_unanswered(spark, sf):
+    """The requests that no response came for before their time was up or the next one came."""
+    rows = fixtures.base_events(spark, sf).select((F.col("user_id") % 40).alias("corr"), "event_id", "event_type", "timestamp_ns")
+    stream = _disordered(rows, "timestamp_ns", "event_id")
+    kind = lambda k: stream.filter(F.col("event_type") == k).drop("event_type")
+    last = stream.filter("event_id = -1").drop("event_type")
+    found = folds.pair_correlated_stream(kind("purchase"), kind("error").unionByName(last), ["corr"], 10 * HOUR_NS, _LATE)
+    return _drained(found, "append").filter("outcome = 'no response'").select(F.col("request.event_id").alias("request_id"))
+
+
+def _named(spark, sf) -> DataFrame:
+    """Events and answers for addresses in one stream: kind, number, at (seconds), ip, domain, ttl."""
+    none = lambda kind: F.lit(None).cast(kind)
+    c = F.col("c_custkey")
+    answers = table(spark, sf, "customer").select(F.lit(0).alias("kind"), c.alias("number"), (1704067200 + c * 1700).alias("at"), (c % 150).alias("ip"), F.lower("c_name").alias("domain"), (3600 + c % 7 * 20000).alias("ttl"))
+    events = fixtures.base_events(spark, sf).select(F.lit(1).alias("kind"), F.col("event_id").alias("number"), F.floor(F.col("timestamp_ns") / 1_000_000_000).alias("at"), F.col("user_id").alias("ip"), none("string").alias("domain"), none("long").alias("ttl"))
+    return events.unionByName(answers)
+
+
+@query(ORACLES["q_identity_asof"])
+def q_stream_names(spark, sf):
+    stream = _disordered(_named(spark, sf), "at", "number", 1_000_000_000)
+    dns = stream.filter("kind = 0").select("ip", "domain", F.col("at").alias("inserted_at"), "ttl")
+    rows = stream.filter("kind = 1 or number = -1").select(F.col("number").alias("event_id"), F.col("ip").alias("user_id"), "at")
+    found = folds.asof_domain_stream(rows, dns, "user_id", "at", _LATE, unit_ns=1_000_000_000)
+    return _drained(found, "append").filter("event_id >= 0").select("event_id", network.identity_name(F.col("domain"), F.col("user_id"), F.lit(443)).alias("name"))
+
+
+@query("SELECT lower(c_name) AS domain, c_custkey % 150 AS address, (1704067200 + c_custkey * 1700) * 1000000000 AS since FROM customer UNION ALL SELECT lower(c_name), NULL, (1704067200 + c_custkey * 1700 + 3600 + c_custkey % 7 * 20000) * 1000000000 FROM customer")
+def q_stream_addresses(spark, sf):
+    """Each name's address, and when it has none any more; all of them have run out by the last row."""
+    stream = _disordered(_named(spark, sf).filter("kind = 0"), "at", "number", 1_000_000_000)
+    dns = stream.select(F.coalesce("domain", F.lit("")).alias("domain"), "ip", F.col("at").alias("inserted_at"), F.coalesce("ttl", F.lit(0)).alias("ttl"))
+    return _drained(folds.address_stream(dns, _LATE, unit_ns=1_000_000_000), "append").filter("domain != ''").select("domain", "address", "since")
+
+
+@query(ORACLES["q_rate_limit"])
+def q_stream_rate_limit(spark, sf):
+    rows = fixtures.base_events(spark, sf).select("event_id", "timestamp_ns")
+    found = folds.rate_limited_stream(_disordered(rows, "timestamp_ns", "event_id"), 120, _LATE, order=["event_id"], tick_ns=HOUR_NS)
+    return _drained(found, "append").filter("event_id >= 0").select("event_id")
+
+
+@query(ORACLES["q_sampler_budget"])
+def q_stream_budget(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", ((F.col("conv_id") * 7 + F.col("turn") + 10) * 100_000_000).alias("ts"))  # a period later: the watermark begins at 0
+    found = folds.inference_budget_stream(_disordered(rows, "ts", "conv_id"), "text", "ts", 3, _LATE, ["conv_id", "turn"])
+    return _drained(found, "append").filter("conv_id >= 0").select("conv_id", "turn")
+
+
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, user_id, epoch_us(ts) * 1000 AS t FROM events),
+f(i, live, gone) AS (SELECT 0::BIGINT, MAP {}::MAP(BIGINT, BIGINT), NULL::BIGINT UNION ALL
+  SELECT e.i, map_concat(map_from_entries(list_filter(map_entries(live), lambda x: x.key IS DISTINCT FROM v.gone)), MAP {e.user_id: e.t}), v.gone
+  FROM f JOIN e ON e.i = f.i + 1, LATERAL (SELECT CASE WHEN map_contains(live, e.user_id) OR cardinality(live) < 20 THEN NULL ELSE list_sort(list_transform(map_entries(live), lambda x: {'t': x.value, 'k': x.key::VARCHAR, 'n': x.key}))[1].n END AS gone) v)
+SELECT gone AS session_key, count(*) AS n FROM f WHERE gone IS NOT NULL GROUP BY gone""")
+def q_stream_evicted(spark, sf):
+    """How often each session had to give way in a table of 20: the one silent for the longest."""
+    kinds = {f.name: f.dataType for f in schema.DATA_EVENT}
+    blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ("payload", "src_addr", "dst_addr", "src_port", "dst_port", "pid", "tls_library", "direction")]
+    rows = fixtures.base_events(spark, sf).select(F.col("user_id").alias("session_key"), "timestamp_ns", F.col("event_id").alias("seq"), F.lit("TcPacket").alias("event_type"), *blank)
+    stream = _disordered(rows, "timestamp_ns", "seq").withColumn("session_key", F.coalesce("session_key", "seq"))
+    found = folds.parse_session_stream(stream, late=_LATE, idle_ns=10**18, capacity=20, buckets=1)
+    return _drained(found, "append").filter("error = 'evicted'").groupBy("session_key").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_FLOWS} SELECT {_EDGE_COLUMNS.replace(', mean_latency_ns', '')} FROM edges")

@@ -16,7 +16,9 @@ from flowlens.plans.fixtures import HOUR_NS, L7_SQL
 from flowlens.session import materialize, shared_dir, table
 from flowlens.sinks import export
 from flowlens.sources import capture
-from flowlens.streaming.pipeline import flow_stream, parse_session_stream
+from flowlens.streaming import folds
+from flowlens.streaming.held import use_keyed_state
+from flowlens.streaming.pipeline import flow_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -676,8 +678,8 @@ def q_stream_flows(spark, sf):
 
 @query(f"WITH {_BASE} SELECT event_id AS session_key, 'redis' AS protocol, 'ingress' AS direction, 'GET' AS method, 'user:' || n AS path, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS status, CASE WHEN k % 7 = 0 THEN 'ERR no ' || k ELSE 'v' || k END AS payload_text FROM base")
 def q_stream_sessions(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _drained(parse_session_stream(ingest.with_session_key(_as_stream(fixtures.packets(spark, sf, "redis"))), expire=False), "append").select(*_PARSED)
+    use_keyed_state(spark)
+    return _drained(folds.parse_session_stream(ingest.with_session_key(_as_stream(fixtures.packets(spark, sf, "redis")))), "append").select(*_PARSED)
 
 
 # ---- extensions: what the engine adds to the reference's aggregates ---------------------------------------------

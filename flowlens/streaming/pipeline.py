@@ -1,104 +1,10 @@
-"""The same computations over streams: sessions with keyed state, flows with windows and a watermark, edges by batch."""
+"""Flows over streams, with windows and a watermark, and edges by batch. What needs the order of events is in `folds`."""
 
 from __future__ import annotations
 
-import pickle
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowlens import schema
 from flowlens.operators import graph
-from flowlens.operators.sessions import INPUT
-from flowlens.session import ship
-
-# Spark also unpickles a processor in a driver-side worker, which has no shipped packages: the class goes by value, and
-# what it needs is imported where its rows are handled
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class SessionProcessor(StatefulProcessor):
-    """A SessionRunner for each key, kept as bytes between batches; with it the events that the watermark has not passed.
-
-    held: events wait until the watermark has passed them, so they are parsed in order of time over all batches; a timer
-    comes back for those that still wait, and one that finds the key silent for long drops its state. Without it, the rows
-    of each batch are put in order, and silent keys are dropped by the store.
-    """
-
-    def __init__(self, idle_ns: int, expire: bool, held: bool = False):
-        self.idle_ns, self.expire, self.held = idle_ns, expire, held
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("runner", "bytes binary", ttlDurationMs=2 * self.idle_ns // 1_000_000 if self.expire and not self.held else None)
-
-    def _parsed(self, runner, events: list[dict]) -> Iterator[pd.DataFrame]:
-        from flowlens.schema import SESSION_ROW
-
-        yield pd.DataFrame([row for event in events for row in runner.feed(event)], columns=SESSION_ROW.names)
-
-    def _advance(self, runner, waiting: list[dict], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        waiting.sort(key=lambda e: (e["timestamp_ns"], e["seq"]))
-        ready = [e for e in waiting if e["timestamp_ns"] < watermark_ms * 1_000_000]
-        rest = waiting[len(ready):]
-        out = list(self._parsed(runner, ready))
-        self.state.update((pickle.dumps((runner, rest)),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        due = (rest[0]["timestamp_ns"] if rest else runner.last + 2 * self.idle_ns) // 1_000_000 + 1
-        self.handle.registerTimer(max(due, watermark_ms + 1))
-        yield from out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from flowlens.operators.sessions import INPUT, SessionRunner
-
-        kept = self.state.get()
-        runner, waiting = pickle.loads(kept[0]) if kept else (SessionRunner(self.idle_ns), [])
-        events = pd.concat(list(rows))[INPUT].to_dict("records")
-        if self.held:
-            yield from self._advance(runner, [*waiting, *events], timerValues.getCurrentWatermarkInMs())
-            return
-        events.sort(key=lambda e: (e["timestamp_ns"], e["seq"]))
-        out = list(self._parsed(runner, events))
-        self.state.update((pickle.dumps((runner, [])),))
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = self.state.get()
-        if not kept:
-            return
-        runner, waiting = pickle.loads(kept[0])
-        watermark = timerValues.getCurrentWatermarkInMs()
-        if not waiting and runner.last + 2 * self.idle_ns < watermark * 1_000_000:
-            self.state.clear()
-            return
-        yield from self._advance(runner, waiting, watermark)
-
-    def close(self) -> None:
-        pass
-
-
-def parse_session_stream(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000, expire: bool = True, late: str | None = None) -> DataFrame:
-    """parse_sessions over a stream. Needs the RocksDB state store provider.
-
-    late: how late an event may come ("10 seconds"). Events then wait for the watermark and are parsed in order of time over
-    all batches and files; what comes later than that is dropped, and what the watermark never passes waits on. Without it,
-    events are put in order inside a batch only, for sources that give them in order.
-
-    expire drops silent keys by processing time. Spark then runs batches for the clock's sake without end, so a stream that
-    is to stop when its input does (trigger availableNow) takes expire=False.
-    """
-    ship(events.sparkSession)
-    processor = SessionProcessor(idle_ns, expire, late is not None)
-    if late is not None:
-        timed = events.select(*INPUT, F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000)).alias("event_time")).withWatermark("event_time", late)
-        return timed.groupBy("session_key").transformWithStateInPandas(processor, schema.SESSION_ROW, "append", "eventTime")
-    return events.select(*INPUT).groupBy("session_key").transformWithStateInPandas(processor, schema.SESSION_ROW, "append", "processingTime" if expire else "none")
-
 
 def flow_stream(observations: DataFrame, event_time: str = "event_time", window: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
     """Flows by window of event time; a window is final once the watermark has passed it, and what comes later is dropped."""
