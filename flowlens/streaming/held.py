@@ -87,6 +87,7 @@ class HeldProcessor(StatefulProcessor):
         self.slots: dict[int, list[int]]
         self.seen, self.slots = pickle.loads(kept[2]) if kept else ({}, {})
         self.cache: dict[str, object] = {}
+        self.stored, self.removed = set(self.seen), set()
         self.heap: list[tuple[int, str]] | None = None
 
     def _store(self) -> None:
@@ -94,8 +95,12 @@ class HeldProcessor(StatefulProcessor):
         self.meta.update((self.due, self.parts, pickle.dumps((self.seen, self.slots))))
 
     def _flush(self) -> None:
+        for key in self.removed - self.cache.keys():
+            self.states.removeKey((key,))
         for key, state in self.cache.items():
             self.states.updateValue((key,), (pickle.dumps(state),))
+        self.stored = self.stored - self.removed | self.cache.keys()
+        self.removed.clear()
         self.cache.clear()
 
     def _state(self, key: str):
@@ -108,8 +113,8 @@ class HeldProcessor(StatefulProcessor):
     def _drop(self, key: str, evicted: bool) -> list[dict]:
         rows = self.fold.gone(key, self._state(key), self.seen.pop(key)[0], evicted)
         self.cache.pop(key)
-        if self.states.containsKey((key,)):
-            self.states.removeKey((key,))
+        if key in self.stored:
+            self.removed.add(key)
         return rows
 
     # ---- folding ----
