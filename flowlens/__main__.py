@@ -9,14 +9,15 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from flowlens import config, schema
 from flowlens.functions import pii
 from flowlens.operators import ingest, privacy, sessions
 from flowlens.sinks import export
 from flowlens.sources import capture
-from flowlens.streaming.pipeline import parse_session_stream
+from flowlens.streaming import folds, live
+from flowlens.streaming.held import use_keyed_state
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
@@ -28,6 +29,8 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--pii-audit-log", help="folder for audit rows")
     parser.add_argument("--log-events", action="store_true", help="show a line for each message")
     parser.add_argument("--follow", metavar="CHECKPOINT", help="follow the folder as a stream, with this folder for its state")
+    parser.add_argument("--once", dest="trigger", action="store_const", const={"availableNow": True}, default={"processingTime": "1 second"}, help="with --follow: stop when all that is there was handled")
+    parser.add_argument("--span-export", help="folder for spans, as OTLP requests in JSON, one a line")
     parser.add_argument("--smoke-test", action="store_true", help="check settings and input, and stop")
     parser.add_argument("--verbose", action="store_true", help="Spark's own messages too")
     return parser.parse_args(given)
@@ -38,6 +41,8 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
     found = config.load(args.config) if args.config else config.Settings()
     found.json_export_path = args.json_export or found.json_export_path
     found.pii_audit_log_path = args.pii_audit_log or found.pii_audit_log_path
+    if args.span_export:
+        found.span_export_path, found.otlp.enabled = args.span_export, True
     found.log_events = found.log_events or args.log_events
     return found
 
@@ -50,19 +55,24 @@ def scanned(messages: DataFrame, settings: config.Settings) -> DataFrame:
     return messages.withColumn("pii", pii.report(text, pii.entities(text), settings.pii.redact))
 
 
-def write(messages: DataFrame, settings: config.Settings) -> None:
-    """Messages to all sinks that the settings name."""
+def write(messages: DataFrame, settings: config.Settings, batch: int | None = None) -> None:
+    """Messages to all sinks that the settings name. A stream's batch has a folder of its own, which it fills anew when it comes
+    again; else rows are added."""
+    where = lambda path: path if batch is None else f"{path.rstrip('/')}/batch={batch}"
+    mode = "append" if batch is None else "overwrite"
     if settings.json_export_path:
-        export.write_json(messages, settings.json_export_path, mode="append")
+        export.write_json(messages, where(settings.json_export_path), mode=mode)
     if settings.pii_audit_log_path and "pii" in messages.columns:
-        export.write_audit(privacy.audit_rows(messages.filter("pii is not null")), settings.pii_audit_log_path)
+        export.write_audit(privacy.audit_rows(messages.filter("pii is not null")), where(settings.pii_audit_log_path), mode=mode)
+    if settings.otlp.enabled and settings.span_export_path:
+        export.write_spans(messages, where(settings.span_export_path), settings.otlp.service_name, mode=mode)
     if settings.log_events:
-        for row in export.log_lines(messages).limit(1000).toLocalIterator():  # a console is for looking at
+        for row in export.log_lines(messages).toLocalIterator():
             print(row["value"])
 
 
 def run(spark: SparkSession, args: argparse.Namespace):
-    """Handles the input once, or starts and returns a streaming query."""
+    """Handles the input once and returns its counters, or starts and returns a streaming query. Both let in and parse alike."""
     settings = settings_of(args)
     events = capture.events_source(spark, args.format, args.input, stream=bool(args.follow))
     if args.smoke_test:
@@ -70,29 +80,74 @@ def run(spark: SparkSession, args: argparse.Namespace):
         if missing:
             raise ValueError(f"the input lacks {missing}")
         return None
+    return _followed(spark, events, settings, args) if args.follow else _once(events, settings)
+
+
+def _once(events: DataFrame, settings: config.Settings) -> live.Counters:
     idle = settings.idle_connection_timeout_secs * 1_000_000_000
-    if not args.follow:
-        admitted = ingest.admitted(events, settings, ["seq"])
-        messages = scanned(sessions.parse_sessions(admitted, idle).filter("error is null"), settings).persist()
-        write(messages, settings)
-        messages.unpersist()
-        return None
-    # limits that count over time need whole batches; a stream lets in by process, protocol and sample only
-    rows = ingest.with_session_key(ingest.for_pids(ingest.captured(events, settings.capture_enabled), settings.pid_filter))
+    seen = {place: Observation(place) for place in ("received", "admitted", "messages", "scanned")}
+    received = live.counted(ingest.considered(events, settings), "received", seen["received"])
+    admitted = live.counted(ingest.limited(received, settings, ["seq"]), "admitted", seen["admitted"])
+    parsed = live.counted(sessions.parse_sessions(admitted, idle), "messages", seen["messages"])
+    messages = scanned(parsed.filter("error is null"), settings)
+    if "pii" in messages.columns:
+        messages = live.counted(messages, "scanned", seen["scanned"])
+    else:
+        seen.pop("scanned")
+    messages = messages.persist()
+    messages.count()  # the pass that is observed
+    write(messages, settings)
+    messages.unpersist()
+    counters = live.Counters()
+    for observation in seen.values():
+        counters.add(observation.get)
+    return counters
+
+
+def _followed(spark: SparkSession, events: DataFrame, settings: config.Settings, args: argparse.Namespace):
+    use_keyed_state(spark)
+    # a source in Python is else taken in one batch, after which nothing runs that the watermark has let go
+    spark.conf.set("spark.sql.streaming.triggerAvailableNowWrapper.enabled", "true")
+    spark.streams.addListener(live.Report())
+    late, idle = f"{settings.idle_connection_timeout_secs} seconds", settings.idle_connection_timeout_secs * 1_000_000_000
+    rows = live.counted(ingest.considered(events, settings), "received")
+    limits = []
+    if settings.max_events_per_sec:
+        limits.append(("limit", lambda r: folds.rate_limited_stream(r, settings.max_events_per_sec, late, order=["seq"])))
+    if settings.sampling_mode == "head_only":
+        limits.append(("head", lambda r: folds.head_only_stream(ingest.with_session_key(r), F.col("session_key"), "payload_len", settings.head_bytes, late, 2 * idle, ["seq"]).drop("session_key")))
+    for name, limit in limits:  # each is a query of its own, as what it lets through is late for a second watermark
+        rows = _staged(spark, limit(rows), f"{args.follow.rstrip('/')}-{name}", args.trigger)
+    rows = ingest.with_session_key(live.counted(rows, "admitted"))
     if settings.sampling_mode == "connection_sample":
         rows = ingest.connection_sample(rows, settings.sample_rate, F.col("session_key"))
-    messages = parse_session_stream(rows, idle, expire=False, late=f"{settings.idle_connection_timeout_secs} seconds").filter("error is null")
-    sink = lambda batch, _: write(scanned(batch, settings), settings)
-    return messages.writeStream.option("checkpointLocation", args.follow).foreachBatch(sink).start()
+    parsed = live.counted(folds.parse_session_stream(rows, idle, late=late, capacity=settings.max_connections_tracked or None), "messages")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        rows = scanned(batch.filter("error is null"), settings).persist()  # several sinks, one pass over the state
+        write(rows, settings, number)
+        rows.unpersist()
+
+    return parsed.writeStream.option("checkpointLocation", args.follow).foreachBatch(sink).trigger(**args.trigger).start()
+
+
+def _staged(spark: SparkSession, rows: DataFrame, path: str, trigger: dict) -> DataFrame:
+    """rows by way of a table that a query of its own writes, each batch once; a bounded run waits for it."""
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(**trigger).start()
+    if "availableNow" in trigger:
+        query.awaitTermination()
+    return spark.readStream.schema(rows.schema).parquet(f"{path}/rows")
 
 
 def main() -> None:
     args = arguments()
-    spark = SparkSession.builder.appName("flowlens").config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").getOrCreate()
+    spark = SparkSession.builder.appName("flowlens").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if args.verbose else "ERROR")
-    query = run(spark, args)
-    if query is not None:
-        query.awaitTermination()
+    done = run(spark, args)
+    if isinstance(done, live.Counters):
+        print(done.line())
+    elif done is not None:
+        done.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -48,10 +48,10 @@ class Settings:
     capture_enabled: bool = True
     interfaces: list[str] = field(default_factory=lambda: ["eth0"])
     pid_filter: list[int] | None = None
-    max_events_per_sec: int = 500_000
+    max_events_per_sec: int = 0  # no limit: Spark slows a source down where it must, and loses nothing
     max_worker_count: int = field(default_factory=lambda: os.cpu_count() or 1)
     worker_channel_capacity: int = 1024
-    max_connections_tracked: int = 65_536
+    max_connections_tracked: int = 0  # no bound: silent sessions go by time
     idle_connection_timeout_secs: int = 30
     sampling_mode: str = "full"
     head_bytes: int = 4096
@@ -64,6 +64,7 @@ class Settings:
     log_events: bool = False
     json_export_path: str | None = None
     pii_audit_log_path: str | None = None
+    span_export_path: str | None = None
     otlp: SpanSettings = field(default_factory=SpanSettings)
     metrics_bind: str | None = None
     map_pin_path: str | None = None

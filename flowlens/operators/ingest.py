@@ -98,12 +98,16 @@ def head_only(events: DataFrame, key: str, size: str, most_bytes: int, order: li
     return events.withColumn("__so_far", so_far).filter(F.col("__so_far") <= most_bytes).drop("__so_far")
 
 
-def admitted(events: DataFrame, settings: Settings, order: list[str]) -> DataFrame:
-    """Events as the settings let them in: capture switched on, the processes of the filter, TCP and UDP with a payload (other
-    event types pass), the token bucket, and the sampling mode."""
+def considered(events: DataFrame, settings: Settings) -> DataFrame:
+    """Events that the settings ask for: capture switched on, the processes of the filter, TCP and UDP with a payload (other event
+    types pass). Row by row, so alike for tables and streams."""
     rows = for_pids(captured(events, settings.capture_enabled), settings.pid_filter)
-    rows = rows.filter((F.col("event_type") != "TcPacket") | (F.col("ip_proto").isin(6, 17) & (F.col("payload_len") > 0)))
-    rows = with_session_key(rate_limited(rows, settings.max_events_per_sec, order))
+    return rows.filter((F.col("event_type") != "TcPacket") | (F.col("ip_proto").isin(6, 17) & (F.col("payload_len") > 0)))
+
+
+def limited(events: DataFrame, settings: Settings, order: list[str]) -> DataFrame:
+    """Events within the token bucket and the sampling mode, with their session_key."""
+    rows = with_session_key(rate_limited(events, settings.max_events_per_sec, ["timestamp_ns", *order]))
     if settings.sampling_mode == "connection_sample":
         return connection_sample(rows, settings.sample_rate, F.col("session_key"))
     if settings.sampling_mode == "head_only":
@@ -111,6 +115,11 @@ def admitted(events: DataFrame, settings: Settings, order: list[str]) -> DataFra
     return rows
 
 
+def admitted(events: DataFrame, settings: Settings, order: list[str]) -> DataFrame:
+    """Events as the settings let them in."""
+    return limited(considered(events, settings), settings, order)
+
+
 def transport_context(events: DataFrame) -> DataFrame:
     """Where an event was seen; null for what is not known."""
     return events.withColumns({c: network.null_if_zero(F.col(c)) for c in ("src_addr", "dst_addr", "src_port", "dst_port", "pid")} | {"tls_library": network.tls_name(F.col("tls_library"))})

@@ -619,6 +619,17 @@ def q_spans(spark, sf):
     return export.spans(rows, 5).select("start_ns", "end_ns", "name", F.array_join(F.transform("attributes", lambda a: F.concat_ws("=", a["key"], a["value"])), ";").alias("attributes"))
 
 
+@query(ORACLES["q_spans"])
+def q_otlp_lines(spark, sf):
+    """The spans read back from the lines of OTLP requests."""
+    rows = fixtures.l7(spark, sf).withColumns({"direction": F.lit("ingress"), "content_type": F.lit(None).cast("string")})
+    kind = "resourceSpans array<struct<scopeSpans: array<struct<spans: array<struct<traceId: string, spanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, attributes: array<struct<key: string, value: struct<stringValue: string>>>>>>>>>"
+    span = export.otlp_lines(export.spans(rows, 5)).select(F.from_json("value", kind)["resourceSpans"][0]["scopeSpans"][0]["spans"][0].alias("s"))
+    sound = span.filter("length(s.traceId) = 32 and length(s.spanId) = 16")
+    attributes = F.array_join(F.transform("s.attributes", lambda a: F.concat_ws("=", a["key"], a["value"]["stringValue"])), ";")
+    return sound.select(F.col("s.startTimeUnixNano").cast("long").alias("start_ns"), F.col("s.endTimeUnixNano").cast("long").alias("end_ns"), "s.name", attributes.alias("attributes"))
+
+
 def _stats(spark, sf):
     reason = F.when(F.col("event_type") == "error", "parser_error").when(F.col("k") < 3, "rate_limit").when(F.col("k") == 3, "channel_full")
     return metrics.counters(fixtures.base_events(spark, sf), reason, F.col("user_id"), F.col("k") % 10 == 0)

@@ -44,8 +44,9 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that Python workers can import it, and bounds Arrow batches."""
-    if spark.conf.get(_BATCH_SETTING) == "10000":
+    """Sends this package to the executors, once for each application, so that Python workers can import it, and bounds Arrow batches
+    where the session says nothing about them."""
+    if _BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:

@@ -35,9 +35,9 @@ def write_json(messages: DataFrame, path: str, redact_payload: bool = False, mod
     json_rows(messages, redact_payload).write.mode(mode).text(path)
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Audit rows are only ever added."""
-    audit.write.mode("append").json(path)
+def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
+    """Audit rows are only ever added; a stream's batch that comes again replaces its own folder."""
+    audit.write.mode(mode).json(path)
 
 
 def _attribute(key: str, value: Column) -> Column:
@@ -55,6 +55,30 @@ def spans(messages: DataFrame, boot_offset_ns: int = 0) -> DataFrame:
     return messages.select(F.lit("flowlens.l7").alias("name"), start.alias("start_ns"), (start + F.col("latency_ns")).alias("end_ns"), network.wall_clock(F.col("timestamp_ns"), boot_offset_ns).alias("start_time"), attributes.alias("attributes"))
 
 
+def otlp_lines(spans_: DataFrame, service_name: str = "flowlens") -> DataFrame:
+    """Spans as trace export requests of OTLP in JSON, in column `value`: a request with one span on each line. Ids come from the
+    span's content, so a span that is written again keeps them; 64-bit numbers are text, as the format has it."""
+    text = lambda key, value: F.struct(key.alias("key"), F.struct(value.alias("stringValue")).alias("value"))
+    digest = F.md5(F.concat_ws("|", "name", F.col("start_ns").cast("string"), F.coalesce("end_ns", "start_ns").cast("string"), F.to_json("attributes")))
+    span = F.struct(
+        digest.alias("traceId"), F.substring(F.md5(F.concat(digest, F.lit("span"))), 1, 16).alias("spanId"), "name", F.lit(1).alias("kind"),
+        F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.coalesce("end_ns", "start_ns").cast("string").alias("endTimeUnixNano"),
+        F.transform("attributes", lambda a: text(a["key"], a["value"])).alias("attributes"))
+    resource = F.struct(F.array(text(F.lit("service.name"), F.lit(service_name))).alias("attributes"))
+    scope = F.struct(F.struct(F.lit("flowlens").alias("name")).alias("scope"), F.array(span).alias("spans"))
+    return spans_.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
+
+
+def write_spans(messages: DataFrame, path: str, service_name: str = "flowlens", boot_offset_ns: int = 0, mode: str = "append") -> None:
+    """Spans of messages, and of their findings where they have a report."""
+    lines = otlp_lines(spans(messages, boot_offset_ns), service_name)
+    if "pii" in messages.columns:
+        from flowlens.operators.privacy import audit_rows
+
+        lines = lines.unionByName(otlp_lines(finding_spans(audit_rows(messages.filter("pii is not null")), boot_offset_ns), service_name))
+    lines.write.mode(mode).text(path)
+
+
 def finding_spans(audit: DataFrame, boot_offset_ns: int = 0) -> DataFrame:
     """A span of no length for each finding, with its category and confidence."""
     at = F.col("timestamp_ns") + boot_offset_ns
