@@ -1,7 +1,8 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped into lines of text: a line ends at a block tag or <br>, and a tag that opens or closes a container
-leaves an empty line. Elements that never hold main text (menus, scripts, forms, and what a class, id or role names as
+leaves an empty line, and one that opens or closes a holder (a <div> and the like) as many as the window is long, so that a
+block never runs from one into the next. Elements that never hold main text (menus, scripts, forms, and what a class, id or role names as
 such) leave nothing; of a form around text only controls and labels are dropped. A name that holds such a word among
 others (`market-share`) only lowers the weight of its lines.
 
@@ -9,7 +10,8 @@ The weights of the lines, their characters outside links, are summed over a slid
 threshold: half the mean of those that are not zero. A surge point is where the sum leaves zero on its way over the
 threshold, a dive point where it is back at zero. The text between a surge and its dive is a stretch of main text; all
 text of the innermost container is kept that holds all stretches, so an article that tables, lists and sections cut stays
-whole.
+whole; holders with attributes that lie in it before the first stretch or after the last hold something else. Names that only suggest what a
+container is lower the weight of its lines and decide nothing alone.
 
 An <article> or <main> that holds at least half as much as the heaviest stretch is taken at its word: all of the outermost
 one with most text is kept, and of those beside it that are at least half as long.
@@ -59,8 +61,13 @@ LAYOUT = frozenset(
     "area article articles bar block body bottom box btn button buttons center col column container content cta desktop fixed float full global google group head "
     "heading horizontal icon icons inline inner item items js left link links list main message mobile module outer page panel post posts primary right row secondary section "
     "site slot small sticky tab tabs text title top unit ui vertical view wrap wrapper".split())
-#: Words of the above that say so beside any other word.
-PLAIN = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot breadcrumb breadcrumbs disqus navbar sidebar".split())
+#: Words of the above that say so beside any other word, but for those that tell a state (`comments-open`).
+PLAIN = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot breadcrumb breadcrumbs comment comments commentlist disqus navbar sidebar".split())
+STATES = frozenset("allowed closed count disabled enabled has no off on open with without".split())
+#: Words that suggest something other than main text: they lower the weight of lines outside an article.
+SUGGESTING = frozenset("about address author bio byline colophon contact credits extra foot hint imprint info legal license meta policy privacy related terms tools utility".split())
+#: Words that a part of an article may be about; a <section> with such an id in a marked article stays if it is prose.
+SUBJECTS = frozenset("copyright discussion disclaimer related remarks replies responses search share sharing tracking".split())
 
 _NOISE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -72,6 +79,8 @@ _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLOCK = re.compile(r"<(?:article|main|p|h[1-6])\b", re.I)
 _CONTROL = re.compile(r"<(label|legend|button|select|datalist)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_ENTRY = re.compile(r"<(?:article|cite|form|li|textarea|time)\b|\b(?:author|avatar|comment|reply|user)", re.I)
+_SECTION = re.compile(r"<(/?)section\b", re.I)
 _FORM_END = re.compile(r"</form\b", re.I)
 
 
@@ -82,18 +91,43 @@ def _wraps_page(html: str, start: int) -> bool:
     return bool(_BLOCK.search(held)) or any(len(" ".join(x.split())) >= PROSE for x in re.split("<[^>]*>", _CONTROL.sub("<br>", held)))
 
 
+def _is_prose_section(html: str, start: int) -> bool:
+    """Whether the <section> whose tag ends at start holds prose: at least a line of it, mostly outside links, and nothing that looks
+    like entries by readers."""
+    depth, end = 1, len(html)
+    for tag in _SECTION.finditer(html, start):
+        depth += -1 if tag[1] else 1
+        if depth == 0:
+            end = tag.start()
+            break
+    held = html[start:end]
+    if _ENTRY.search(held):
+        return False
+    plain = lambda x: len(" ".join(re.sub("<[^>]*>", " ", x).split()))
+    outside = plain(re.sub(r"<a\b.*?(?:</a\s*>|\Z)", " ", held, flags=re.S | re.I))
+    return outside >= PROSE and 2 * outside > plain(held)
+
+
 def _named(value: str, words: frozenset[str]) -> tuple[bool, bool]:
     """Whether a class, id or role has a name made of these words, and whether one holds such a word among others."""
     doubtful = False
     for name in value.split():
         parts = _WORDS.findall(_CAMEL.sub(" ", name).lower())
         hits = [p for p in parts if p in words]
+        if hits and not STATES.isdisjoint(parts):
+            continue
         if hits and (len(parts) == len(hits) + sum(p in LAYOUT and p not in words for p in parts) or not PLAIN.isdisjoint(hits)):
             return True, False
-        doubtful |= bool(hits)
+        doubtful |= bool(hits) or not SUGGESTING.isdisjoint(parts)
     return False, doubtful
 
 
+def _is_subject(attributes: str) -> bool:
+    """Whether an element's id, and no class or role, is what speaks against it, and is one of SUBJECTS."""
+    found = {key.lower(): a or b or c for key, a, b, c in _ATTRIBUTE.findall(attributes)}
+    return found.get("id", "").lower() in SUBJECTS and "class" not in found and "role" not in found and "hidden" not in found and "style" not in found and "aria-hidden" not in found
+
+
 def _is_boilerplate(name: str, attributes: str, inside: bool, wraps: bool = False) -> tuple[bool, bool]:
     """Whether an element is dropped, and whether its name is doubtful. wraps: it is a form around text, which is kept
     unless an attribute names more than a form."""
@@ -120,7 +154,7 @@ def _is_boilerplate(name: str, attributes: str, inside: bool, wraps: bool = Fals
 
 def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
     """The page as lines: text, its weight (characters outside links; inside a marked article all), the number of the
-    outermost <article> or <main> it is in (0: none), and the HOLDERS around it."""
+    outermost <article> or <main> it is in (0: none), and the HOLDERS around it, by number (those with attributes below zero)."""
     html = _NOISE.sub(lambda m: "" if m[1] is None and m[2] is None else "<br>", html)
     lines: list[tuple[str, float, int, tuple[int, ...]]] = []
     piece: list[str] = []
@@ -130,7 +164,7 @@ def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
     dropping = links = inside = count = doubts = 0
     mains: list[int] = []
     path: list[int] = []
-    holders = 0
+    holders = spared = 0  # spared: how deep the section lies that is kept although its name is one of SUBJECTS
 
     def flush() -> None:
         if piece:
@@ -143,13 +177,18 @@ def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
 
     def pop() -> None:
         nonlocal dropping, links, inside, doubts
+        nonlocal spared
+        if spared == len(stack):
+            spared = 0
         name, drops, doubt = stack.pop()
         opened[name] -= 1
         dropping -= drops
         doubts -= doubt
         links -= name == "a"
         if name in HOLDERS:
+            flush()
             path.pop()
+            lines.extend([("", 0, inside, tuple(path))] * WINDOW)
         if name in MAIN and not drops and not dropping and mains:
             flush()
             lines.extend([("", 0, 0, ())] * WINDOW)
@@ -184,6 +223,8 @@ def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
                         break
             wraps = name == "form" and not dropping and _wraps_page(html, at)
             drops, doubt = _is_boilerplate(name, attributes or "", bool(inside), wraps)
+            if drops and name == "section" and inside and not dropping and spared == 0 and _is_subject(attributes or "") and _is_prose_section(html, at):
+                drops, spared = False, len(stack) + 1
             drops |= name in ("label", "legend") and opened["form"] > 0
             stack.append((name, drops, doubt))
             opened[name] += 1
@@ -192,7 +233,8 @@ def page_lines(html: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
             links += name == "a"
             if name in HOLDERS:
                 holders += 1
-                path.append(holders)
+                path.append(-holders if attributes and attributes.strip() else holders)
+                lines.extend([("", 0, inside, tuple(path))] * WINDOW)
             if name in MAIN and not dropping:
                 lines.extend([("", 0, 0, ())] * WINDOW)
                 if not mains:
@@ -240,9 +282,17 @@ def main_text(html: str | None) -> str:
     for first, last, _ in found:
         inside[first:last] = True
     around = os.path.commonprefix([x[3] for x, main in zip(lines, inside, strict=True) if main and x[1]])
-    kept = [x for x in lines if x[3][:len(around)] == around]
+    held = {x[3][:len(around) + 1] for x, main in zip(lines, inside, strict=True) if main and x[1]}  # holders right below that have a stretch
+    own = [(x[3][:len(around)] == around, x, main) for x, main in zip(lines, inside, strict=True)]
+    edges = [i for i, (near, x, main) in enumerate(own) if near and main and x[1]]
+    kept = [x for i, (near, x, _) in enumerate(own) if near and (edges[0] <= i <= edges[-1] or x[3] == around or x[3][:len(around) + 1] in held or x[3][len(around)] > 0)]
     solid = [i for i, x in enumerate(kept) if x[1]]
-    return " ".join(x[0] for x in kept[solid[0]:solid[-1] + 1] if x[0])
+    first, last = solid[0], solid[-1] + 1
+    while first and kept[first - 1][0] and kept[first - 1][3] == kept[first][3]:  # lines that are links alone, right beside
+        first -= 1
+    while last < len(kept) and kept[last][0] and kept[last][3] == kept[last - 1][3]:
+        last += 1
+    return " ".join(x[0] for x in kept[first:last] if x[0])
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

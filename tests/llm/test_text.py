@@ -376,3 +376,45 @@ def test_pages_of_the_tables(spark):
     for r in html_text.extract_pages(pages, keep=("page_id", "url", "html")).collect():
         body = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
         assert r["text"] == " ".join(unescape(re.sub("<[^>]*>", "", re.sub("<(/?p|br|/?h1)>", " ", body))).split())
+
+
+PROSE_LINE = "This is paragraph number {} of the article, with enough words in it to be prose and to be longer than a menu line, surely."
+READER = "I have read this twice and told all of my friends about it, as it is by far the best thing that I have seen in the whole year."
+
+
+@pytest.mark.parametrize("name", ["comments-thread", "reader-comments-thread", "user-comments-2", "post-comment"])
+@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<div id=story>", "</div>"), ("<main><div>", "</div></main>")])
+def test_reader_comments_go_whatever_else_their_name_says(name, open_, close):
+    html = f"<body><nav><a href=/>Home</a></nav>{open_}<h1>T</h1><p>{PROSE_LINE.format(1)}</p><p>{PROSE_LINE.format(2)}</p><div class='{name}'><p>{READER}</p></div>{close}</body>"
+    assert html_text.main_text(html) == f"T {PROSE_LINE.format(1)} {PROSE_LINE.format(2)}"
+    state = f"<body><article class='post comments-open'><h1>T</h1><p>{PROSE_LINE.format(1)}</p></article></body>"
+    assert html_text.main_text(state) == f"T {PROSE_LINE.format(1)}"
+
+
+@pytest.mark.parametrize("name", "responses replies related search share copyright disclaimer tracking".split())
+def test_sections_of_an_article_about_such_a_subject_stay(name):
+    page = "<body><main><h1>T</h1><p>{}</p><section id={}>{}</section></main></body>"
+    assert html_text.main_text(page.format(PROSE_LINE.format(1), name, f"<h2>H</h2><p>{PROSE_LINE.format(2)}</p>")) == f"T {PROSE_LINE.format(1)} H {PROSE_LINE.format(2)}"
+    for other in (f"<ul><li><a href=/>{READER}</a></li></ul>", f"<div class=author>Ann</div><p>{READER}</p>", "<p>Short.</p>", f"<p><a href=/>{READER}</a></p>"):
+        assert html_text.main_text(page.format(PROSE_LINE.format(1), name, other)) == f"T {PROSE_LINE.format(1)}"
+
+
+@pytest.mark.parametrize("other", ["<div id=foot><p>{}</p></div>", "<div class='legal'><p>{}</p></div>", "<div class='colophon'>{}</div>", "<div id='zz9'><p>{}</p></div>"])
+@pytest.mark.parametrize(("open_", "close"), [("<div id=story>", "</div>"), ("<div>", "</div>"), ("", "")])
+def test_neighbours_of_any_name_stay_out(other, open_, close):
+    body = "<h1>T</h1>" + "".join(f"<p>{PROSE_LINE.format(k)}</p>" for k in range(4))
+    html = f"<body><div class=x1><a href=/>Home</a> <a href=/b>B</a></div>{open_}{body}{close}{other.format('All of this is by us and ours alone.')}</body>"
+    assert html_text.main_text(html) == "T " + " ".join(PROSE_LINE.format(k) for k in range(4))
+
+
+def test_a_last_paragraph_that_is_all_link_stays():
+    html = f"<body><div id=story><h1>T</h1><p>{PROSE_LINE.format(1)}</p><p>{PROSE_LINE.format(2)}</p><p><a href=x>Read the whole report</a></p></div><div class=z><a href=/>x</a></div></body>"
+    assert html_text.main_text(html) == f"T {PROSE_LINE.format(1)} {PROSE_LINE.format(2)} Read the whole report"
+    nested = "<article>" + "<section id=share>" * 3000 + "x"  # one look at an open section, not one for each
+    assert html_text.main_text(nested) == ""
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>{PROSE_LINE.format(k)}</p>" for k in range(20_000))
+    for open_, close in (("<article>", "</article>"), ("<div id=story>", "</div>")):
+        assert html_text.main_text(f"<body><nav><a href=/>x</a></nav>{open_}{body}{close}</body>") == " ".join(PROSE_LINE.format(k) for k in range(20_000))
