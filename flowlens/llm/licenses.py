@@ -8,6 +8,10 @@ rules: a rule names the sentences that a licence text or notice must show one af
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Normalised sentences of common licence texts and notices, by identifier.
@@ -68,9 +72,62 @@ SENTENCES: dict[int, str] = {
 }
 
 #: Licences that an SPDX tag may name.
-TAGGED = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")
+TAGGED = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense", "BSL-1.0", "EPL-1.0", "EPL-2.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "WTFPL")
 SENTENCES |= {100 + i: "spdx license identifier " + "".join(c if c.isalnum() else " " for c in x.lower()) for i, x in enumerate(TAGGED)}
 
+#: Names that notices give a licence, as text of the normalised form; {} stands for a version.
+NAMES: dict[str, str] = {
+    "mit": "MIT", "expat": "MIT", "mit expat": "MIT", "isc": "ISC", "zlib": "Zlib", "wtfpl": "WTFPL", "unlicense": "Unlicense", "boost software": "BSL-1.0", "cc0 1 0 universal": "CC0-1.0", "cc0 1 0": "CC0-1.0",
+    "bsd 2 clause": "BSD-2-Clause", "2 clause bsd": "BSD-2-Clause", "simplified bsd": "BSD-2-Clause", "freebsd": "BSD-2-Clause",
+    "bsd 3 clause": "BSD-3-Clause", "3 clause bsd": "BSD-3-Clause", "new bsd": "BSD-3-Clause", "modified bsd": "BSD-3-Clause",
+}
+#: Licences with versions: name, version and the SPDX name.
+VERSIONED = (
+    ("apache", "2 0", "Apache-2.0"), ("boost software", "1 0", "BSL-1.0"), ("eclipse public", "1 0", "EPL-1.0"), ("eclipse public", "2 0", "EPL-2.0"), ("epl", "1 0", "EPL-1.0"), ("epl", "2 0", "EPL-2.0"),
+    ("mozilla public", "2 0", "MPL-2.0"), ("mpl", "2 0", "MPL-2.0"), ("gnu general public", "2", "GPL-2.0"), ("gnu general public", "3", "GPL-3.0"), ("gnu gpl", "2", "GPL-2.0"), ("gnu gpl", "3", "GPL-3.0"), ("gpl", "2", "GPL-2.0"), ("gpl", "3", "GPL-3.0"),
+    ("gnu lesser general public", "2 1", "LGPL-2.1"), ("gnu lesser general public", "3", "LGPL-3.0"), ("gnu lgpl", "2 1", "LGPL-2.1"), ("gnu lgpl", "3", "LGPL-3.0"), ("lgpl", "2 1", "LGPL-2.1"), ("lgpl", "3", "LGPL-3.0"),
+    ("gnu affero general public", "3", "AGPL-3.0"), ("gnu agpl", "3", "AGPL-3.0"), ("agpl", "3", "AGPL-3.0"),
+)
+#: The parts of a Creative Commons licence, as a tag and as text.
+COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+
+
+def notice_names() -> dict[str, str]:
+    """Every name that a notice may give a licence, in the normalised form, with its SPDX name."""
+    found = {f"{name}{end}": spdx for name, spdx in NAMES.items() for end in ("", " license", " licence")}
+    for name, version, spdx in VERSIONED:
+        versions = [version] + ([f"{version} 0"] if " " not in version else [])
+        forms = [f"{name}{lic}{sep}{v}" for v in versions for lic in ("", " license", " licence") for sep in (" version ", " v", " v ", " ")] + [f"{name} {v} {lic}" for v in versions for lic in ("license", "licence")]
+        if spdx.startswith(("GPL", "LGPL", "AGPL")):
+            found |= {f"{f}{end}": f"{spdx}-or-later" for f in forms for end in (" or later", " or any later version", " or at your option any later version", " plus")}
+            spdx += "-only"
+        found |= dict.fromkeys(forms, spdx)
+    for tag, words in COMMONS.items():
+        spdx = f"CC-{tag.upper().replace(' ', '-')}-4.0"
+        found |= dict.fromkeys((f"cc {tag} 4 0", f"cc {tag} 4 0 license", f"creative commons {words} 4 0", f"creative commons {words} 4 0 international", f"creative commons {words} 4 0 license", f"creative commons {words} 4 0 international license"), spdx)
+    return found
+
+
+#: What stands before a name in a notice, sentences in which a name stands and their known form, and an SPDX tag. _ is a blank or, in
+#: a text that is cut into parts, the end of one.
+NOTICE = r"(?:[a-z0-9 ]{1,60} )?(?:licensed|released|distributed|available|published|provided|shared)(?:_to_you)?_(?:under|with)(?:_the)?(?:_terms)?(?:_and_conditions)?(?:_of)?(?:_the)?_"
+NAMED = (
+    (r"neither_the_names?_of_[a-z0-9 |]{1,160}?_nor_the_names_of_(?:its|any|other)_contributors_may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (r"neither_the_name_of_[a-z0-9 ]{1,160}?_may_be_used_to_endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"this_software_is_provided_by_[a-z0-9 |]{1,160}?_as_is_and_any_express", "this software is provided by the copyright holders and contributors as is and any express"),
+)
+TAG = "spdx license identifier "
+TAG_MARK = r"(spdx[ -]license[ -]identifier):[ \t]*"
+#: Operands of an SPDX expression that are looked at.
+OPERANDS = 8
+SENTENCES |= {300 + i: f"notice {x}" for i, x in enumerate(sorted(set(notice_names().values())))}
+#: Titles of licence texts that are as good as a notice, and SPDX tags as they were written before.
+TITLES = {"the mit license": "MIT", "the mit license mit": "MIT", "mit license": "MIT", "boost software license version 1 0": "BSL-1.0", "boost software license version 1 0 august 17th 2003": "BSL-1.0", "eclipse public license v 2 0": "EPL-2.0", "eclipse public license v 1 0": "EPL-1.0", "isc license": "ISC"}
+OLD_TAGS = {
+    "gpl 2 0": "GPL-2.0-only", "gpl 2 0 plus": "GPL-2.0-or-later", "gpl 3 0": "GPL-3.0-only", "gpl 3 0 plus": "GPL-3.0-or-later", "lgpl 2 1": "LGPL-2.1-only", "lgpl 2 1 plus": "LGPL-2.1-or-later",
+    "lgpl 3 0": "LGPL-3.0-only", "lgpl 3 0 plus": "LGPL-3.0-or-later", "agpl 3 0": "AGPL-3.0-only", "agpl 3 0 plus": "AGPL-3.0-or-later",
+}
+
 #: Other forms that official notices give a sentence.
 FORMS: dict[str, int] = {
     "apache license version 2 0 january 2004 http www apache org licenses": 6,
@@ -135,33 +192,75 @@ RULES: dict[str, tuple[str, tuple[int, ...]]] = {
 }
 
 RULES |= {f"spdx-{x.lower()}": (x, (100 + i,)) for i, x in enumerate(TAGGED)}
+RULES |= {f"notice-{s[7:].lower()}": (s[7:], (i,)) for i, s in SENTENCES.items() if s.startswith("notice ")}
+_BY_SENTENCE = {s: i for i, s in SENTENCES.items()}
+FORMS |= {TAG + old: _BY_SENTENCE[TAG + "".join(c if c.isalnum() else " " for c in new.lower())] for old, new in OLD_TAGS.items()}
+FORMS |= {title: _BY_SENTENCE[f"notice {lic}"] for title, lic in TITLES.items()}
+#: Every sentence that is known as it stands.
+KNOWN = {s: i for s, i in _BY_SENTENCE.items() if not s.startswith("notice ")} | FORMS
 
 #: A part ends at a line break, or at a stop, mark or colon that blanks or the end follow.
 STOP = r"[.!?;:]+(?:[ \t]+|\z)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Every known sentence has one of these; a text with none need not be cut.
-STEMS = r"(?i)licen[sc]e|permission|copyright|software|redistribut|obtain|warranty|rights|forms|mpl|cc0"
+#: Every known sentence has one of STEMS, or `under` or `with` and one of NAME_STEMS; a text with none need not be cut.
+STEMS = ("licen", "permission", "copyright", "software", "redistribut", "obtain", "warranty", "rights", "forms", "mpl", "cc0")
+NAME_STEMS = ("mit", "expat", "isc", "zlib", "wtfpl", "boost", "bsd", "apache", "eclipse", "epl", "mozilla", "gnu", "gpl", "commons", "cc by", "cc-by")
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether a text has a word without which nothing of the table occurs: a search for bytes, over the text once lowered."""
+    def held(lowered: Column) -> Column:
+        any_of = lambda words: functools.reduce(operator.or_, [lowered.contains(w) for w in words])
+        return any_of(STEMS) | any_of(("under", "with")) & any_of(NAME_STEMS)
+
+    return _let(F.lower(text), held)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _names() -> str:
+    return "|".join(x.replace(" ", "_") for x in sorted(notice_names(), key=len, reverse=True))
+
+
+def _cut(pattern: str) -> str:
+    """A pattern for a text with marks between its parts."""
+    return pattern.replace("_", "[ |]")
+
+
+def _brought_to_form(plain: Column) -> Column:
+    """Names, notices and SPDX expressions of a text in parts, in the form of the table."""
+    for pattern, form in NAMED:
+        plain = F.regexp_replace(plain, _cut(pattern), form)
+    own = "|".join(x.replace(" ", "_") for x in KNOWN if re.match(NOTICE.replace("_", " "), x))
+    plain = F.regexp_replace(plain, _cut(f"(?<=[|~])(?!(?:{own})[|~]){NOTICE}({_names()})(?=[|~])"), "notice $1")
+    plain = F.regexp_replace(plain, f"{TAG}([a-z0-9 ]+?) with [a-z0-9 ]+? exception[a-z0-9 ]*?(?= or | and |[|~])", f"{TAG}$1")
+    for _ in range(OPERANDS - 1):
+        plain = F.regexp_replace(plain, f"{TAG}([a-z0-9 ]+?) (?:or|and) (?!later)", f"{TAG}$1|{TAG}")
+    return plain
 
 
 def sentence_ids(text: Column, sentences: dict[int, str] | None = None) -> Column:
     """The identifiers of the known sentences of a text, in its order; an empty array for none, null or an empty text."""
-    known = {s: i for i, s in (sentences or SENTENCES).items()} | (FORMS if sentences is None else {})
-    keys = F.array(*[F.lit(x) for x in known])
-    ids = F.array(*[F.lit(i) for i in known.values()])
+    known = KNOWN if sentences is None else {s: i for i, s in sentences.items()}
     # parts with | between them, and ~ where a blank line is
     plain = F.regexp_replace(F.translate(text, UPPER + "|~", LOWER + "  "), "\r\n?", "\n")
+    plain = F.regexp_replace(plain, TAG_MARK, r"$1 ")
+    plain = F.regexp_replace(plain, r"(?<=[0-9])\+", " plus ")
     plain = F.regexp_replace(F.regexp_replace(plain, STOP, "|"), "[^a-z0-9|\n]+", " ")
     plain = F.regexp_replace(F.concat(F.lit("~"), plain, F.lit("~")), r"\n(?: ?\n)+", "~")
     plain = F.regexp_replace(F.regexp_replace(plain, r"[ |\n]*~[ |\n~]*", "~"), r"[ |\n]*[|\n][ |\n]*", "|")
+    notices = {}
+    if sentences is None:
+        plain = _brought_to_form(plain)
+        notices = {f"notice {name}": _BY_SENTENCE[f"notice {lic}"] for name, lic in notice_names().items()}
     longest = sorted(known, key=len, reverse=True)
-    pattern = "(?<=[|~])(?:" + "|".join(x.replace(" ", "[ |]") for x in longest) + ")(?=[|~])"
-    found = F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), lambda x: F.element_at(ids, F.array_position(keys, F.translate(x, "|", " ")).cast("int")))
-    return F.coalesce(F.when(text.rlike(STEMS), found) if sentences is None else found, F.array().cast("array<int>"))
-
-
-def _in_order(ids: Column, rule: tuple[int, ...]) -> Column:
-    line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    return line.rlike("," + ",(?:[0-9]+,)*".join(map(str, rule)) + ",")
+    pattern = "(?<=[|~])(?:" + "|".join([x.replace(" ", "[ |]") for x in longest] + ["notice [a-z0-9 |]+"] * bool(notices)) + ")(?=[|~])"
+    keys, ids = F.array(*[F.lit(x) for x in (*known, *notices)]), F.array(*[F.lit(i) for i in (*known.values(), *notices.values())])
+    found = F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), lambda x: F.get(ids, (F.array_position(keys, F.translate(x, "|", " ")) - 1).cast("int")))
+    return F.coalesce(F.when(_may_hold(text), F.array_compact(found)) if sentences is None else found, F.array().cast("array<int>"))
 
 
 def beaten_by(rules: dict[str, tuple[str, tuple[int, ...]]]) -> dict[str, list[str]]:
@@ -178,16 +277,22 @@ def match_rules(ids: Column, rules: dict[str, tuple[str, tuple[int, ...]]] | Non
     """Names of the rules that the identifiers satisfy (in the order of the rules) and their licences (sorted, each once).
     A rule whose sentences are part of a longer one of another licence gives way to it."""
     rules = rules or RULES
-    none = F.lit(None).cast("string")
     beaten = beaten_by(rules)
-    holds = {name: _in_order(ids, seq) for name, (_, seq) in rules.items()}
-    for name, over in beaten.items():
-        for other in over:
-            holds[name] &= ~_in_order(ids, rules[other][1])
-    hits = F.array_compact(F.array(*[F.when(x, F.lit(name)).otherwise(none) for name, x in holds.items()]))
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(x, F.lit(rules[name][0])).otherwise(none) for name, x in holds.items()]))))
+    table = F.array(*[F.struct(
+        F.lit(name).alias("rule"), F.lit(lic).alias("licence"), F.lit(seq[0]).alias("first"), F.lit("," + ",(?:[0-9]+,)*".join(map(str, seq)) + "," if len(seq) > 1 else None).cast("string").alias("pattern"),
+        F.array(*map(F.lit, beaten[name])).cast("array<string>").alias("over")) for name, (lic, seq) in rules.items()])
+
+    def kept(held: Column) -> Column:
+        names = F.transform(held, lambda r: r["rule"])
+        return _let(names, lambda all_: F.filter(held, lambda r: ~F.arrays_overlap(r["over"], all_)))
+
+    def holding(line: Column) -> Column:
+        return _let(F.filter(table, lambda r: F.array_contains(ids, r["first"]) & F.coalesce(F.regexp_like(line, r["pattern"]), F.lit(True))), kept)
+
+    line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
+    hits = F.when(F.size(ids) > 0, _let(line, holding))
     empty = F.array().cast("array<string>")
-    return F.when(F.size(ids) > 0, hits).otherwise(empty), F.when(F.size(ids) > 0, licences).otherwise(empty)
+    return F.coalesce(F.transform(hits, lambda r: r["rule"]), empty), F.coalesce(F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["licence"]))), empty)
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,18 +306,28 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def oracle_sql() -> str:
     """The scan of `documents` in SQL, arrays as text; it knows only sentences that are one part each, as in the tables."""
     beaten = ", ".join(f"('{a}', '{b}')" for a, over in beaten_by(RULES).items() for b in over)
-    known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
+    known = ", ".join(f"('{s}', {i})" for s, i in KNOWN.items())
+    names = ", ".join(f"('{name}', {_BY_SENTENCE[f'notice {lic}']})" for name, lic in notice_names().items())
     rules = ", ".join(f"({n}, '{name}', '{lic}', ',{',(?:[0-9]+,)*'.join(map(str, seq))},')" for n, (name, (lic, seq)) in enumerate(RULES.items()))
+    plain = "part"
+    for pattern, form in NAMED:
+        plain = f"regexp_replace({plain}, '{pattern.replace('_', ' ').replace('[a-z0-9 |]', '[a-z0-9 ]')}', '{form}')"
     return f"""
-WITH known(id, sentence) AS (VALUES {known}),
+WITH known(sentence, id) AS (VALUES {known}),
+names(name, id) AS (VALUES {names}),
 rules(n, rule, licence, pattern) AS (VALUES {rules}),
 cut AS (
   SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
-  FROM (SELECT doc_id, string_split_regex(text, '[\\n\\r]+|[.!?;:]+(?:[ \\t]+|\\z)') AS parts FROM documents)),
+  FROM (SELECT doc_id, string_split_regex(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{TAG_MARK}', '\\1 ', 'g'), '[\\n\\r]+|[.!?;:]+(?:[ \\t]+|\\z)') AS parts FROM documents)),
+plain AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '([0-9])\\+', '\\1 plus ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS part FROM cut),
+tags AS (
+  SELECT doc_id, i, unnest(operands) AS operand, generate_subscripts(operands, 1) AS j
+  FROM (SELECT doc_id, i, string_split_regex(replace(regexp_replace(part[{len(TAG) + 1}:], ' with [a-z0-9 ]+? exception[a-z0-9 ]*?( or | and |$)', '\\1', 'g'), ' or later', ' or_later'), ' (?:or|and) ') AS operands FROM plain WHERE starts_with(part, '{TAG}'))),
 hits AS (
-  SELECT c.doc_id, c.i, k.id FROM cut c JOIN known k
-  ON k.sentence = trim(regexp_replace(translate(c.part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))),
-lines AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM hits GROUP BY doc_id),
+  SELECT c.doc_id, c.i, 0 AS j, k.id FROM (SELECT doc_id, i, {plain} AS part FROM plain WHERE NOT starts_with(part, '{TAG}')) c JOIN known k ON k.sentence = c.part
+  UNION ALL SELECT t.doc_id, t.i, t.j, k.id FROM tags t JOIN known k ON k.sentence = '{TAG}' || replace(t.operand, '_', ' ')
+  UNION ALL SELECT c.doc_id, c.i, 0, n.id FROM plain c JOIN names n ON n.name = regexp_extract(c.part, '^{NOTICE.replace('_', ' ')}({_names().replace('_', ' ')})$', 1) WHERE c.part NOT IN (SELECT sentence FROM known)),
+lines AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i, j) AS ids FROM hits GROUP BY doc_id),
 beaten(rule, by_rule) AS (VALUES {beaten}),
 held AS (SELECT l.doc_id, r.* FROM lines l JOIN rules r ON regexp_matches(',' || l.ids || ',', r.pattern)),
 matched AS (

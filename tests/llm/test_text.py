@@ -125,7 +125,8 @@ def test_wrapped_notices(spark, mark):
 def test_every_known_sentence_has_a_stem():
     import re
 
-    assert all(re.search(licenses.STEMS, s) for s in licenses.SENTENCES.values())
+    assert all(any(x in s for x in licenses.STEMS) for s in licenses.KNOWN)
+    assert all(any(x in name for x in (*licenses.STEMS, *licenses.NAME_STEMS)) for name in licenses.notice_names())
     assert all(i in licenses.SENTENCES for _, seq in licenses.RULES.values() for i in seq)
 
 
@@ -418,3 +419,47 @@ def test_a_very_long_page():
     body = "".join(f"<p>{PROSE_LINE.format(k)}</p>" for k in range(20_000))
     for open_, close in (("<article>", "</article>"), ("<div id=story>", "</div>")):
         assert html_text.main_text(f"<body><nav><a href=/>x</a></nav>{open_}{body}{close}</body>") == " ".join(PROSE_LINE.format(k) for k in range(20_000))
+
+
+CLAUSES = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+  * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY {} ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+ENDORSE = "  * Neither the name of {} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+OFTEN_SEEN = {
+    CLAUSES.format(ENDORSE.format("Google Inc."), "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"): "BSD-3-Clause",
+    CLAUSES.format(ENDORSE.format("the University of\nNowhere, Dept. 7"), "JANE DOE, Inc."): "BSD-3-Clause",
+    CLAUSES.format("", "JANE DOE"): "BSD-2-Clause",
+    "This project is licensed under the terms of the MIT license.": "MIT",
+    "Distributed under the MIT License.": "MIT",
+    "Released under the Apache License 2.0.": "Apache-2.0",
+    "The MIT License (MIT)": "MIT",
+    "Licensed under the MIT license": "MIT",
+    "Made available under the\nterms of the Eclipse Public License 2.0.": "EPL-2.0",
+    "Boost Software License - Version 1.0 - August 17th, 2003": "BSL-1.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This work is shared under the Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+    "Licensed under the GNU GPL v3 or later.": "GPL-3.0-or-later",
+    "Licensed under the GNU General Public License v2.0": "GPL-2.0-only",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "# SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+    "SPDX-License-Identifier: LGPL-2.1+": "LGPL-2.1-or-later",
+    "// SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note-exception) AND (BSD-3-Clause OR ISC)": "BSD-3-Clause,GPL-2.0-or-later,ISC",
+    "We talk about the MIT license here.": "",
+    "It is distributed under the sea, with the mit of the night.": "",
+    "Nobody but MIT was licensed under the bridge.": "",
+}
+
+
+def test_notices_that_are_often_seen(spark):
+    rows = spark.createDataFrame(list(enumerate(OFTEN_SEEN)), "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(r["licences"]) for r in licenses.scan_licences(rows).collect()}
+    assert list(got[i] for i in range(len(OFTEN_SEEN))) == list(OFTEN_SEEN.values())
