@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -76,28 +77,73 @@ def model_entities(rows: DataFrame, text: str, tagger: Callable[[], Callable[[li
     return tokens.withColumn(out, F.filter(F.transform(spans, entity), lambda e: e["category"].isNotNull())).drop("__tokens")
 
 
-def external_entities(rows: DataFrame, key: str, text: str, client: Callable[[], Callable[[str], list[dict] | None]]) -> DataFrame:
-    """key and the findings of a service (array of pii.ENTITY), for rows that it answers. `client` makes, once in each task,
-    what maps a text to findings (category, start, end in bytes, confidence) or None where the call failed. Findings of
-    unknown category, out of the text, empty, or inside a character are left out."""
-    base = rows.select(key, F.col(text).alias("__text"))
+def calls_in_flight(call: Callable, items: list, width: int, timeout_s: float, retries: int) -> list:
+    """call(item) for each item, `width` at once at most; None where it failed or took over timeout_s, after so many retries.
+
+    Calls go in waves of `width`, so a wave takes timeout_s at most and all of it ceil(items / width) waves, times the retries.
+    A call that hangs keeps its thread; the next wave gets threads of its own.
+    """
+    out, todo = [None] * len(items), list(range(len(items)))
+    for _ in range(retries + 1):
+        failed: list[int] = []
+        pool = ThreadPoolExecutor(width)
+        for i in range(0, len(todo), width):
+            wave = {pool.submit(call, items[at]): at for at in todo[i:i + width]}
+            done, hanging = wait(wave, timeout_s)
+            for future in done:
+                if future.exception() is None:
+                    out[wave[future]] = future.result()
+                if future.exception() is not None or future.result() is None:
+                    failed.append(wave[future])
+            failed += [wave[future] for future in hanging]
+            if hanging:
+                pool.shutdown(wait=False, cancel_futures=True)
+                pool = ThreadPoolExecutor(width)
+        pool.shutdown(wait=False, cancel_futures=True)
+        todo = sorted(failed)
+        if not todo:
+            break
+    return out
+
+
+def _sound(found: list[dict], raw: bytes) -> list[tuple]:
+    """Findings that lie in the text and do not cut a character: name, start, end, byte_start, byte_end, confidence, text."""
+    out = []
+    for e in found:
+        a, b = int(e["start"]), int(e["end"])
+        if 0 <= a < b <= len(raw) and not any(i < len(raw) and raw[i] & 0xC0 == 0x80 for i in (a, b)):
+            before, inner = len(raw[:a].decode()), raw[a:b].decode()
+            out.append((e["category"], before, before + len(inner), a, b, float(e.get("confidence", 1.0)), inner))
+    return out
+
+
+def external_entities(rows: DataFrame, key: str, text: str, client: Callable[[], Callable], width: int = 8, batch: int = 1, timeout_s: float = 0.1, retries: int = 1, out: str = "external_entities") -> DataFrame:
+    """key and the findings of a service (array of pii.ENTITY, in order; null where it gave none in time) for every row.
+
+    `client` makes, once in each task, what maps a text (batch > 1: a list of texts) to findings (category, start, end in bytes,
+    confidence), one list of them for each text, or to None where the call failed. A task has `width` calls in flight at most.
+    Findings of unknown category, out of the text, empty, or inside a character are left out. Nothing is shuffled.
+    """
+    kind, base = dict(rows.dtypes)[key], rows.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found_kind = "array<struct<name: string, start: int, end: int, byte_start: int, byte_end: int, confidence: float, text: string>>"
+    names = ("name", "start", "end", "byte_start", "byte_end", "confidence", "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = client()
         for part in parts:
-            out = []
-            for k, value in zip(part[key], part["__text"], strict=True):
-                raw, found = (value or "").encode(), call(value or "")
-                for e in found or []:
-                    a, b = int(e["start"]), int(e["end"])
-                    if not 0 <= a < b <= len(raw) or any(i < len(raw) and raw[i] & 0xC0 == 0x80 for i in (a, b)):
-                        continue
-                    before, inner = raw[:a].decode(), raw[a:b].decode()
-                    out.append((k, e["category"], len(before), len(before) + len(inner), a, b, float(e.get("confidence", 1.0)), inner))
-            yield pd.DataFrame(out, columns=[key, "name", "start", "end", "byte_start", "byte_end", "confidence", "text"])
-
-    kind = dict(base.dtypes)[key]
-    found = base.mapInPandas(run, f"{key} {kind}, name string, start int, end int, byte_start int, byte_end int, confidence float, text string")
-    known = found.withColumn("category", pii.category_of(F.col("name"))).filter("category is not null")
-    entity = F.struct("category", F.lit("External").alias("source"), "start", "end", "byte_start", "byte_end", "confidence", "text")
-    return known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("byte_start", entity.alias("e")))).alias("l")).select(key, F.transform("l", lambda x: x["e"]).alias("external_entities"))
+            texts = part["text"].tolist()
+            if batch == 1:
+                answers = calls_in_flight(call, texts, width, timeout_s, retries)
+            else:
+                groups = [texts[i:i + batch] for i in range(0, len(texts), batch)]
+                answers = [a for group, found in zip(groups, calls_in_flight(call, groups, width, timeout_s, retries), strict=True) for a in (found or [None] * len(group))]
+            cells = [None if a is None else [dict(zip(names, x, strict=True)) for x in _sound(a, t.encode())] for a, t in zip(answers, texts, strict=True)]
+            yield pd.DataFrame({"key": part["key"], "found": pd.Series(cells, dtype=object, index=part.index)})
+
+    def entity(e: Column) -> Column:
+        return F.struct(pii.category_of(e["name"]).alias("category"), F.lit("External").alias("source"), *[e[c].alias(c) for c in ("start", "end", "byte_start", "byte_end", "confidence", "text")])
+
+    found = base.mapInPandas(run, f"key {kind}, found {found_kind}")
+    known = F.filter(F.transform("found", entity), lambda e: e["category"].isNotNull())
+    place = F.transform(known, lambda e: F.struct(e["byte_start"].alias("at"), e.alias("e")))
+    return found.select(F.col("key").alias(key), F.transform(F.array_sort(place), lambda x: x["e"]).alias(out))

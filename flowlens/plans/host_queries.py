@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import config, schema
 from flowlens.functions import network, pii, procfs, templates
-from flowlens.operators import graph, host, ingest, joins, metrics, privacy, sessions
+from flowlens.operators import graph, host, ingest, joins, metrics, privacy, sessions, tokens
 from flowlens.plans import fixtures
 from flowlens.plans.fixtures import HOUR_NS, L7_SQL
 from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query
@@ -232,6 +232,40 @@ def q_category_names(spark, sf):
     return table(spark, sf, "events").select("event_id", pii.category_of(F.get(names, (F.col("event_id") % 6).cast("int"))).alias("category"))
 
 
+_PIECES = """v AS (SELECT DISTINCT piece FROM (
+  SELECT substr(w, 1, n) AS piece FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part), range(1, 4) r(n) UNION ALL
+  SELECT '##' || substr(w, 2 + n % 3, 1 + n) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 3 = 0), range(0, 4) r(n)) WHERE piece <> '' AND piece <> '##')"""
+
+
+def _pieces(spark, sf) -> DataFrame:
+    """A vocabulary from the parts' names: the beginnings of words, and pieces inside the words of every third name."""
+    words = lambda rows: rows.select(F.explode(F.split("p_name", " ")).alias("w"))
+    part = table(spark, sf, "part")
+    head = words(part).select("w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).select(F.expr("substring(w, 1, n)").alias("piece"))
+    rest = words(part.filter("p_partkey % 3 = 0")).select("w", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).select(F.concat(F.lit("##"), F.expr("substring(w, 2 + n % 3, 1 + n)")).alias("piece"))
+    return head.unionByName(rest).filter("piece not in ('', '##')").distinct()
+
+
+@query(f"""WITH RECURSIVE {_PIECES}, w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i, string_split(p_name, ' ') AS all_ FROM part),
+o AS (SELECT p_partkey, word, i, CAST(list_sum(list_transform(all_[1:i - 1], lambda x: len(x) + 1)) AS BIGINT) AS base FROM w WHERE word <> ''),
+c(word, pos, piece) AS (SELECT DISTINCT word, 0::BIGINT, '' FROM o UNION ALL
+  SELECT word, n.pos, n.piece FROM (SELECT c.word, c.pos + len(v.piece) - CASE WHEN c.pos = 0 THEN 0 ELSE 2 END AS pos, v.piece,
+    row_number() OVER (PARTITION BY c.word, c.pos ORDER BY len(v.piece) DESC) AS best
+    FROM c JOIN v ON CASE WHEN c.pos = 0 THEN NOT starts_with(v.piece, '##') AND starts_with(c.word, v.piece) ELSE starts_with(v.piece, '##') AND starts_with(substr(c.word, c.pos + 1), substr(v.piece, 3)) END) n WHERE best = 1),
+whole AS (SELECT word FROM c WHERE pos = len(word)),
+t AS (SELECT p_partkey, i, c.pos, c.piece, coalesce(base, 0) + c.pos - len(c.piece) + CASE WHEN starts_with(c.piece, '##') THEN 2 ELSE 0 END AS s, coalesce(base, 0) + c.pos AS e FROM o JOIN c USING (word) WHERE c.piece <> '' AND word IN (SELECT word FROM whole)
+  UNION ALL SELECT p_partkey, i, 0, '[UNK]', coalesce(base, 0), coalesce(base, 0) + len(word) FROM o WHERE word NOT IN (SELECT word FROM whole))
+SELECT p_partkey, string_agg(piece || ':' || s || ':' || e, ' ' ORDER BY s) AS tokens FROM t GROUP BY p_partkey""")
+def q_word_pieces(spark, sf):
+    names = sorted(r["piece"] for r in _pieces(spark, sf).collect())  # a name's first letters and pieces: as bounded as words are
+    vocabulary = {x: i for i, x in enumerate(["[UNK]", "[CLS]", "[SEP]", *names])}
+    shown = tokens.with_tokens(table(spark, sf, "part"), "p_name", vocabulary, ["p_partkey"], lower=False)
+    by_id = spark.createDataFrame([(i, x) for x, i in vocabulary.items()], "id int, piece string")
+    each = shown.select("p_partkey", F.posexplode(F.arrays_zip("ids", "offsets")).alias("at", "t")).select("p_partkey", "at", F.col("t.ids").alias("id"), F.col("t.offsets").alias("o")).filter("o.end > 0")
+    text = F.concat_ws(":", "piece", "o.start", "o.end")
+    return each.join(by_id, "id").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("at", text.alias("x")))).alias("l")).select("p_partkey", F.array_join(F.transform("l", lambda y: y["x"]), " ").alias("tokens"))
+
+
 _WORDS = "w AS (SELECT p_partkey, p_partkey % 9 AS i, string_split(p_name, ' ') AS p, p_name FROM part)"
 
 
@@ -262,7 +296,7 @@ def q_external_entities(spark, sf):
         return lambda text: call(text[2:]) if not text.startswith("0:") else None
 
     rows = table(spark, sf, "part").select("p_partkey", F.concat((F.col("p_partkey") % 3).cast("string"), F.lit(":"), F.col("p_name")).alias("text"))
-    found = privacy.external_entities(rows, "p_partkey", "text", client)
+    found = privacy.external_entities(rows, "p_partkey", "text", client, timeout_s=30)
     # the service sees the text behind the mark, and the texts found are those of the marked one
     e = found.select("p_partkey", F.inline("external_entities"))
     return e.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", "category", "byte_start", "byte_end", F.expr("substring(p_name, start + 1, end - start)").alias("text"))

@@ -171,8 +171,51 @@ def test_model_and_service_paths(spark):
     def client():
         return lambda text: [{"category": "dob", "start": 0, "end": 3}, {"category": "EMAIL", "start": 9, "end": 9}, {"category": "EMAIL", "start": 8, "end": 9}, {"category": "nope", "start": 0, "end": 1}] if text.startswith("Ann") else None
 
-    out = privacy.external_entities(rows, "id", "text", client).collect()
-    assert [(r["id"], [(e["category"], e["text"]) for e in r["external_entities"]]) for r in out] == [(1, [("DATE_OF_BIRTH", "Ann")])]
+    out = privacy.external_entities(rows, "id", "text", client, timeout_s=5).collect()
+    assert sorted((r["id"], r["external_entities"] and [(e["category"], e["text"]) for e in r["external_entities"]]) for r in out) == [(1, [("DATE_OF_BIRTH", "Ann")]), (2, None)]
+
+
+def test_service_calls_are_bounded_in_time_and_number():
+    import threading
+    import time
+
+    lock, running, most, tries = threading.Lock(), [0], [0], {}
+
+    def call(item):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            tries[item] = tries.get(item, 0) + 1
+        try:
+            if item % 10 == 3:
+                time.sleep(1.5)  # too slow, always
+            if item % 10 == 4 and tries[item] == 1:
+                raise OSError("first time")
+            if item % 10 == 5:
+                return None
+            time.sleep(0.02)
+            return [item]
+        finally:
+            with lock:
+                running[0] -= 1
+
+    began = time.monotonic()
+    out = privacy.calls_in_flight(call, list(range(40)), 8, 0.3, 1)
+    took = time.monotonic() - began
+    assert [out[i] for i in range(40)] == [None if i % 10 in (3, 5) else [i] for i in range(40)]
+    assert took < 0.3 * 5 + 0.3 * 2 + 1 and {tries[i] for i in range(40) if i % 10 in (3, 4, 5)} == {2} and {tries[i] for i in range(40) if i % 10 in (0, 1)} == {1}
+    assert most[0] <= 8 + 4  # those that hang and were given up come on top
+    assert privacy.calls_in_flight(call, [], 8, 0.3, 1) == []
+
+
+def test_service_calls_in_batches(spark):
+    rows = spark.createDataFrame([(i, f"mail {i} é") for i in range(7)] + [(7, None)], "id long, text string")
+
+    def client():
+        return lambda texts: None if any("mail 6" in t for t in texts) else [[{"category": "email", "start": 0, "end": 4}, {"category": "ssn", "start": 5, "end": 6}][:len(t)] for t in texts]
+
+    out = {r["id"]: r["external_entities"] for r in privacy.external_entities(rows.coalesce(1), "id", "text", client, batch=3, timeout_s=5).collect()}
+    assert len(out) == 8 and out[6] is None and out[7] is None and [(e["category"], e["text"]) for e in out[0]] == [("EMAIL", "mail"), ("SSN", "0")]
 
 
 def test_settings():
@@ -268,3 +311,47 @@ def test_the_engine_as_a_job(spark, tmp_path):
     job.run(spark, job.arguments(base))
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(lines) == 20 and {x["method"] for x in lines} == {"GET"}
+
+
+VOCABULARY = ["[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "##a", "##ff", "the", "th", "a", "##e", ",", "cafe", "##s", "日", "##本", "straß", "s", "##tra"]
+
+
+def plain_pieces(word):
+    """The longest piece from each place on, tried from the longest down."""
+    out, start = [], 0
+    while start < len(word):
+        for end in range(len(word), start, -1):
+            piece = ("##" if start else "") + word[start:end]
+            if piece in VOCABULARY:
+                out.append((VOCABULARY.index(piece), start, end))
+                start = end
+                break
+        else:
+            return [(0, 0, len(word))]
+    return out
+
+
+def test_word_pieces_and_their_places(spark):
+    from flowlens.operators import tokens
+
+    vocabulary = {x: i for i, x in enumerate(VOCABULARY)}
+    pieces = tokens.Pieces(vocabulary, lower=False)
+    for word in ("unaffable", "thes", "the", "unaff", "xyz", "aff", "a", "日本", "una" * 40):
+        assert list(pieces.word(word)) == (plain_pieces(word) if len(word) <= tokens.MAX_WORD else [(0, 0, len(word))])
+    texts = ["The Cafés, unaffable!", "", None, "Straße", " ".join(["the"] * 25), "x" * 300_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {}
+    for r in tokens.with_tokens(rows, "text", vocabulary, ["id"], max_tokens=10, overlap=3).collect():
+        assert len(r["ids"]) <= 10 and r["ids"][0] == 1 and r["ids"][-1] == 2 and len(r["ids"]) == len(r["offsets"])
+        found.setdefault(r["id"], {})[r["window"]] = [(i, o["start"], o["end"]) for i, o in zip(r["ids"][1:-1], r["offsets"][1:-1], strict=True)]
+    v = vocabulary
+    assert found[0] == {0: [(v["the"], 0, 3), (v["cafe"], 4, 8), (v["##s"], 8, 9), (v[","], 9, 10), (v["un"], 11, 13), (v["##aff"], 13, 16), (v["##able"], 16, 20), (0, 20, 21)]}
+    assert found[1] == found[2] == {0: []} and found[3] == {0: [(v["straß"], 0, 5), (v["##e"], 5, 6)]} and found[5] == {0: [(0, 0, 300_000)]}
+    assert sorted(found[4]) == [0, 1, 2, 3, 4] and all(a[-3:] == b[:3] for a, b in zip(list(found[4].values()), list(found[4].values())[1:], strict=False))
+    assert sorted({x for w in found[4].values() for x in w}) == [(v["the"], 4 * i, 4 * i + 3) for i in range(25)]
+    with pytest.raises(ValueError):
+        tokens.with_tokens(rows, "text", {"a": 0}, ["id"])
+    # the windows' findings, by way of the model's scores
+    scores = tokens.with_tokens(rows.filter("id = 0"), "text", vocabulary, ["id", "text"], max_tokens=10, overlap=3).withColumn("logits", F.transform("ids", lambda i: F.array(*[F.when((i == v["cafe"]) & F.lit(k == 1), 9.0).when((i == v["##s"]) & F.lit(k == 2), 9.0).otherwise(0.0 if k else 1.0) for k in range(9)])))
+    spans = scores.select(F.explode(pii.model_findings(F.col("text"), F.col("logits"), F.col("offsets"), pii.MODEL_LABELS, 0.7)).alias("e")).collect()
+    assert [(r["e"]["category"], r["e"]["text"]) for r in spans] == [("PERSON_NAME", "Cafés")]
