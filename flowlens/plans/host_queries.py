@@ -449,6 +449,19 @@ def q_stream_budget(spark, sf):
     return _drained(found, "append").filter("conv_id >= 0").select("conv_id", "turn")
 
 
+@query(f"""WITH {_LIBRARIES}, n AS (SELECT path, pid, pid * 65536 + 3 * 4096 AS base, CAST(regexp_extract(path, '[0-9]+$') AS BIGINT) AS i, s FROM libs, range(3) r(s)),
+p AS (SELECT *, (i + s) % 3 <> 0 AS present FROM n)
+SELECT a.path, a.base, a.pid, (a.s + 1) * 86400000000000 AS "at", 'attach' AS change FROM p a LEFT JOIN p b ON b.path = a.path AND b.s = a.s - 1 WHERE a.present AND NOT coalesce(b.present, false)
+UNION ALL SELECT a.path, a.base, a.pid, (a.s + 1) * 86400000000000 + 129600000000000, 'detach' FROM p a LEFT JOIN p b ON b.path = a.path AND b.s = a.s + 1 WHERE a.present AND NOT coalesce(b.present, false)""")
+def q_stream_new_targets(spark, sf):
+    """Three scans, a day apart, each without a third of the libraries."""
+    scans = _maps(spark, sf).select("pid", "content", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("scan"))
+    rows = scans.filter((F.col("pid") % 7 + F.col("scan")) % 3 != 0).select(((F.col("scan") + 1) * 24 * HOUR_NS).alias("scanned_ns"), "pid", "content")
+    stream = _disordered(rows, "scanned_ns", "pid").withColumn("content", F.coalesce("content", F.lit("7f00-7f10 r-xp 0 08:01 1 /usr/lib/libssl.so.x")))
+    found = folds.target_stream(stream, 24 * HOUR_NS, _LATE)
+    return _drained(found, "append").select("path", "base", "pid", "at", "change").filter("path != '/usr/lib/libssl.so.x'")
+
+
 @query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, user_id, epoch_us(ts) * 1000 AS t FROM events),
 f(i, live, gone) AS (SELECT 0::BIGINT, MAP {}::MAP(BIGINT, BIGINT), NULL::BIGINT UNION ALL
   SELECT e.i, map_concat(map_from_entries(list_filter(map_entries(live), lambda x: x.key IS DISTINCT FROM v.gone)), MAP {e.user_id: e.t}), v.gone

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from flowlens import schema
-from flowlens.functions import templates
+from flowlens.functions import procfs, templates
 from flowlens.operators.sessions import INPUT
 from flowlens.streaming.held import Fold, held_fold
 
@@ -165,6 +165,41 @@ def address_stream(dns: DataFrame, late: str, ip: str = "ip", since: str = "inse
     return held_fold(rows, F.col("__domain"), functools.partial(AddressFold, unit_ns), shape, late, ts="__ts", order=["__address"], buckets=buckets)
 
 
+# ---- libraries ----------------------------------------------------------------------------------------------------
+
+class TargetFold(Fold):
+    """A library, as long as scans find it: a row when it is found first, or again, and one when scans have missed it for so long."""
+
+    def __init__(self, keep_ns: int):
+        self.keep_ns = keep_ns
+
+    def begin(self, key: str) -> dict:
+        return {"last": None, "pid": None, "base": None}
+
+    def feed(self, state: dict, event: dict) -> list[dict]:
+        new = state["last"] is None or event["__at"] - state["last"] > self.keep_ns
+        # one that comes back was missed before, though no timer has come by yet
+        out = self.gone(event["path"], state, state["last"], False) if new and state["last"] is not None else []
+        if state["last"] != event["__at"]:  # the first of a scan has the least pid
+            state.update(last=event["__at"], pid=event["pid"], base=event["base"])
+        return [*out, {"path": event["path"], "base": event["base"], "pid": event["pid"], "at": event["__at"], "change": "attach"}] if new else out
+
+    def until(self, state: dict, at: int) -> int:
+        return state["last"] + self.keep_ns
+
+    def gone(self, key: str, state: dict, last: int, evicted: bool) -> list[dict]:
+        return [{"path": key, "base": state["base"], "pid": state["pid"], "at": state["last"] + self.keep_ns, "change": "detach"}]
+
+
+def target_stream(maps: DataFrame, every_ns: int, late: str, pattern: str = procfs.TLS_LIBRARY, buckets: int = 64) -> DataFrame:
+    """What to attach to and to detach from as scans come in: path, base, pid (the least of the scan that has it), at, change. maps:
+    scanned_ns, pid and content (the text of its maps). A library is gone when no scan has found it for one and a half times
+    every_ns."""
+    each = maps.select("scanned_ns", "pid", F.inline(procfs.mapped_files(F.col("content")))).filter(F.col("path").rlike(pattern)).select("scanned_ns", "path", "pid", "base")
+    shape = StructType.fromDDL("path string, base long, pid long, at long, change string")
+    return held_fold(each, F.col("path"), functools.partial(TargetFold, every_ns * 3 // 2), shape, late, ts="scanned_ns", order=["pid", "base"], buckets=buckets)
+
+
 # ---- budgets ------------------------------------------------------------------------------------------------------
 
 class TokenFold(Fold):
