@@ -4,13 +4,15 @@ An item that occurs in a text with at most e edits has, of any e + 1 pieces it i
 unchanged. So the pieces of all items are found at once by an automaton, and around each hit the item is verified by
 Myers' bit-parallel edit distance, with the ends of the text free.
 
-The benchmark is cut into blocks of bounded size. Each is broadcast on its own, and a worker has one automaton at a time:
-it gathers texts up to CHUNK_CHARS and takes them through block after block. Verifying costs a step for each character
-around a hit, of integers as long as the item.
+The benchmark is cut into blocks of bounded size, and each is broadcast on its own. With several, each block is a scan of its
+own over the texts, one after the other: a worker builds a block's automaton once for all the tasks that it runs of it, and
+has one at a time. What several scans read again is little beside what searching costs. Verifying costs a step for each
+character around a hit, of integers as long as the item.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -18,12 +20,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.session import ship
+from flowlens.session import materialize, ship
 
 #: Edits allowed: this share of an item's characters; pieces are then about 15 characters long.
 ERROR_RATE = 0.06
-#: Texts that a worker holds while it goes through several blocks of items.
-CHUNK_CHARS = 32_000_000
 
 
 def normalise(text: str) -> str:
@@ -151,36 +151,28 @@ def _matcher(block: Broadcast, rate: float) -> Matcher:
     return _latest[1]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: int, blocks: int) -> Iterator[list[pa.RecordBatch]]:
-    """The batches, gathered to chunks where each chunk goes through several blocks."""
-    chunk, held = [], 0
-    for batch in batches:
-        chunk.append(batch)
-        held += batch.column(text).nbytes
-        if blocks < 2 or held >= CHUNK_CHARS:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
-
-
 def find_items(df: DataFrame, items: list[Broadcast], id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """A row for each row of df and item that occurs in it: id, item_id, distance, end_pos (in the normalised text), budget.
     Of several occurrences the nearest counts, of equally near ones the first. Null and empty texts, and empty items, match
     nothing; a very long text is searched whole. A repeated row is reported each time."""
     ship(df.sparkSession)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds, shape = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], "id long, item_id long, distance int, end_pos int, budget int"
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, 1, len(items)):
-            for block in items:
-                matcher = _matcher(block, rate)
-                for batch in chunk:
-                    found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in matcher.find(text)]
-                    columns = list(zip(*found, strict=True)) if found else [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "distance", "end_pos", "budget"])
+    def scan(block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(block, rate)
+            for batch in batches:
+                found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in matcher.find(text)]
+                columns = list(zip(*found, strict=True)) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "distance", "end_pos", "budget"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, distance int, end_pos int, budget int")
+        return texts.mapInArrow(run, shape)
+
+    if not items:
+        return df.sparkSession.createDataFrame([], shape)
+    return functools.reduce(DataFrame.unionByName, [scan(block) for block in items])
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = 8_000_000) -> DataFrame:
@@ -189,18 +181,27 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_items(df: DataFrame, items: list[Broadcast], text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of df whose text has none of the items, with all columns."""
+    """The rows of df whose text has none of the items, with all columns. One block is a filter in passing. With several, the digests
+    of the texts that any of them hits are gathered in a table, and rows of such a text go."""
     ship(df.sparkSession)
     place = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, place, len(items)):
-            for block in items:
-                matcher = _matcher(block, rate)
-                chunk = [batch.filter(pa.array([not (text and matcher.find(text)) for text in batch.column(place).to_pylist()], pa.bool_())) for batch in chunk]
-            yield from chunk
-
-    return df.mapInArrow(run, df.schema)
+    def clean(block: Broadcast, wanted: bool, at: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(block, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([bool(text and matcher.find(text)) != wanted for text in batch.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    if not items:
+        return df
+    if len(items) == 1:
+        return df.mapInArrow(clean(items[0], True, place), df.schema)
+    texts = df.select(F.col(text_col).alias("text"))
+    hit = functools.reduce(DataFrame.unionByName, [texts.mapInArrow(clean(block, False, 0), texts.schema).select(F.sha2("text", 256).alias("__hit")) for block in items])
+    hits = materialize(hit.distinct())
+    return df.join(hits, F.sha2(df[text_col], 256) == hits["__hit"], "left_anti")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = 8_000_000) -> DataFrame:
