@@ -90,7 +90,7 @@ def merged_edges(flow_rows: DataFrame, base: DataFrame | None = None) -> DataFra
     old = base.select(*EDGE_KEY, *[F.col(c).alias(f"old_{c}") for c in ("request_count", "error_count", "pii_hit_count", "max_latency_ns", "last_seen")])
     add = lambda c: (F.coalesce(F.col(f"old_{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c)
     return old.join(found, EDGE_KEY, "full").join(averages, EDGE_KEY).select(
-        *EDGE_KEY, add("request_count"), add("error_count"), add("pii_hit_count"), "avg_latency_ns", F.greatest("old_max_latency_ns", "max_latency_ns").alias("max_latency_ns"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"))
+        *EDGE_KEY, add("request_count"), add("error_count"), add("pii_hit_count"), "avg_latency_ns", F.greatest("old_max_latency_ns", "max_latency_ns").alias("max_latency_ns"), F.greatest("old_last_seen", "last_seen").alias("last_seen"))
 
 
 def pruned(edges: DataFrame, now: int, most_age: int) -> DataFrame:

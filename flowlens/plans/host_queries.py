@@ -492,13 +492,13 @@ def q_stream_edges(spark, sf):
             _merge_once(spark, rows, path)
         more.coalesce(1).write.parquet(f"{path}/in/part={n + 1}")
     _merge_once(spark, rows, path)
-    return EdgeTable(spark, f"{path}/table").read().filter(F.col("last_seen") <= last)
+    return EdgeTable(spark, f"{path}/table", 8).read().filter(F.col("last_seen") <= last)
 
 
 def _merge_once(spark, rows: DataFrame, path: str) -> None:
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     flows = flow_stream(source, window="1 hour", late="1 hour")
-    edge_stream(flows, EdgeTable(spark, f"{path}/table"), f"{path}/state", availableNow=True).awaitTermination()
+    edge_stream(flows, EdgeTable(spark, f"{path}/table", 8), f"{path}/state", availableNow=True).awaitTermination()
 
 
 # ---- extensions -------------------------------------------------------------------------------------------------

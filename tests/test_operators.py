@@ -247,8 +247,27 @@ def test_edge_table_goes_on_after_a_restart(spark, tmp_path):
     row = table.read().first()
     assert (row["request_count"], row["avg_latency_ns"], row["max_latency_ns"]) == (6, ((10 + 30) // 2 + 50) // 2, 100)
     assert table.versions() == [1, 2]
-    (tmp_path / "edges" / "v7").mkdir()  # a version that was never finished
-    assert EdgeTable(spark, path).versions() == [1, 2]
+    (tmp_path / "edges" / "data" / "v7" / "bucket=3").mkdir(parents=True)  # a batch that never came to count
+    assert EdgeTable(spark, path).versions() == [1, 2] and EdgeTable(spark, path).read().count() == 1
+
+
+def test_edge_table_writes_only_what_a_batch_touches(spark, tmp_path):
+    from flowlens.streaming.pipeline import EdgeTable
+
+    shape = "window long, src string, dst string, protocol string, template string, request_count long, error_count long, pii_hit_count long, latency_sum_ns long, latency_max_ns long, last_seen long"
+    batch = lambda w, names: spark.createDataFrame([(w, n, "b", "p", "t", 1, 0, 0, 10, 10, w) for n in names], shape)
+    table = EdgeTable(spark, f"file://{tmp_path}/edges", buckets=8)
+    table.upsert(batch(50, [f"s{i}" for i in range(40)]), 0)
+    first = {p.name for p in (tmp_path / "edges" / "data" / "v0").iterdir() if p.name.startswith("bucket")}
+    table.upsert(batch(20, ["s1"]), 1)  # of an earlier window
+    table.upsert(batch(60, []), 2)
+    second = {p.name for p in (tmp_path / "edges" / "data" / "v1").iterdir() if p.name.startswith("bucket")}
+    assert len(first) == 8 and len(second) == 1 and not (tmp_path / "edges" / "data" / "v2").exists()
+    rows = {r["src"]: (r["request_count"], r["last_seen"]) for r in table.read().collect()}
+    assert len(rows) == 40 and rows["s1"] == (2, 50) and rows["s2"] == (1, 50)
+    table.upsert(batch(70, ["s1"]), 3)
+    assert {p.name for p in (tmp_path / "edges" / "data" / "v0").iterdir() if p.name.startswith("bucket")} == first - second  # what no manifest names is gone
+    assert table.versions() == [2, 3] and {r["src"]: r["last_seen"] for r in table.read().collect()}["s1"] == 70
 
 
 def test_capture_stream_takes_new_and_growing_files(spark, tmp_path):
