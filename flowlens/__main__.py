@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from flowlens import config, schema
 from flowlens.functions import pii
-from flowlens.operators import ingest, privacy, sessions
+from flowlens.operators import graph, ingest, joins, privacy, sessions
 from flowlens.sinks import export
 from flowlens.sources import capture
 from flowlens.streaming import folds, live
 from flowlens.streaming.held import use_keyed_state
+from flowlens.streaming.pipeline import EdgeTable
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
@@ -30,6 +31,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--log-events", action="store_true", help="show a line for each message")
     parser.add_argument("--follow", metavar="CHECKPOINT", help="follow the folder as a stream, with this folder for its state")
     parser.add_argument("--once", dest="trigger", action="store_const", const={"availableNow": True}, default={"processingTime": "1 second"}, help="with --follow: stop when all that is there was handled")
+    parser.add_argument("--edges", help="folder for the service graph")
     parser.add_argument("--span-export", help="folder for spans, as OTLP requests in JSON, one a line")
     parser.add_argument("--smoke-test", action="store_true", help="check settings and input, and stop")
     parser.add_argument("--verbose", action="store_true", help="Spark's own messages too")
@@ -41,6 +43,7 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
     found = config.load(args.config) if args.config else config.Settings()
     found.json_export_path = args.json_export or found.json_export_path
     found.pii_audit_log_path = args.pii_audit_log or found.pii_audit_log_path
+    found.edge_path = args.edges or found.edge_path
     if args.span_export:
         found.span_export_path, found.otlp.enabled = args.span_export, True
     found.log_events = found.log_events or args.log_events
@@ -52,7 +55,38 @@ def scanned(messages: DataFrame, settings: config.Settings) -> DataFrame:
     if not (settings.pii.enabled and settings.pii.regex_enabled):
         return messages
     text = F.col("payload_text")
-    return messages.withColumn("pii", pii.report(text, pii.entities(text), settings.pii.redact))
+    sure = F.filter(pii.entities(text), lambda e: e["confidence"] >= F.lit(settings.pii.min_confidence).cast("float"))
+    return messages.withColumn("pii", pii.report(text, sure, settings.pii.redact))
+
+
+def flows_of(messages: DataFrame, settings: config.Settings, answers: DataFrame | None = None) -> DataFrame:
+    """Messages as flows by window, their ends by the name that an address had at the time. answers: what is known of names; else
+    what the messages themselves tell."""
+    second = 1_000_000_000
+    dns = joins.dns_answers(messages.filter("protocol = 'dns'")) if answers is None else answers
+    dns = dns.withColumn("ttl", F.least("ttl", F.lit(settings.graph.identity_cache_ttl_secs)) * second)
+    rows = messages.withColumn("has_pii", F.col("pii").isNotNull() if "pii" in messages.columns else F.lit(False)).drop("pii")
+    for end in ("src", "dst"):
+        rows = joins.asof_domain(rows, dns, f"{end}_addr", "timestamp_ns", settings.graph.identity_cache_ttl_secs * second).withColumnRenamed("domain", f"{end}_domain")
+    return graph.flows(graph.observed(rows), F.floor(F.col("timestamp_ns") / (settings.graph.aggregation_window_secs * second)))
+
+
+def current_edges(table: EdgeTable, settings: config.Settings) -> DataFrame | None:
+    """The edges of the graph that are not stale, as seen from the newest."""
+    edges = table.read()
+    if edges is None:
+        return None
+    newest = edges.agg(F.max("last_seen")).first()[0] or 0
+    return graph.pruned(edges, newest, settings.graph.stale_edge_timeout_secs * 1_000_000_000)
+
+
+def merge_edges(messages: DataFrame, settings: config.Settings, path: str, batch: int) -> None:
+    """A batch's flows into the edge table. Its answers are kept beside, for the messages of later batches that they still hold for."""
+    spark = messages.sparkSession
+    joins.dns_answers(messages.filter("protocol = 'dns'")).write.mode("overwrite").parquet(f"{path}/names/batch={batch}")
+    oldest = messages.agg(F.min("timestamp_ns")).first()[0] or 0
+    known = spark.read.schema("domain string, ip long, ttl long, inserted_at long").parquet(f"{path}/names").filter(F.col("inserted_at") >= oldest - settings.graph.identity_cache_ttl_secs * 1_000_000_000)
+    EdgeTable(spark, f"{path}/edges").upsert(flows_of(messages, settings, known), batch)
 
 
 def write(messages: DataFrame, settings: config.Settings, batch: int | None = None) -> None:
@@ -66,6 +100,8 @@ def write(messages: DataFrame, settings: config.Settings, batch: int | None = No
         export.write_audit(privacy.audit_rows(messages.filter("pii is not null")), where(settings.pii_audit_log_path), mode=mode)
     if settings.otlp.enabled and settings.span_export_path:
         export.write_spans(messages, where(settings.span_export_path), settings.otlp.service_name, mode=mode)
+    if settings.graph.enabled and settings.edge_path:
+        merge_edges(messages, settings, settings.edge_path, batch or 0)
     if settings.log_events:
         for row in export.log_lines(messages).toLocalIterator():
             print(row["value"])

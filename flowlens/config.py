@@ -45,19 +45,20 @@ class SpanSettings:
 
 @dataclass
 class Settings:
+    """What the job acts on. A file may hold more, as files for other tools do: queue sizes, addresses to listen on and scan intervals
+    mean nothing to Spark and are passed over."""
+
     capture_enabled: bool = True
     interfaces: list[str] = field(default_factory=lambda: ["eth0"])
     pid_filter: list[int] | None = None
     max_events_per_sec: int = 0  # no limit: Spark slows a source down where it must, and loses nothing
     max_worker_count: int = field(default_factory=lambda: os.cpu_count() or 1)
-    worker_channel_capacity: int = 1024
     max_connections_tracked: int = 0  # no bound: silent sessions go by time
     idle_connection_timeout_secs: int = 30
     sampling_mode: str = "full"
     head_bytes: int = 4096
     sample_rate: float = 1.0
     tls_scan_enabled: bool = True
-    tls_scan_interval_secs: int = 60
     pii: PiiSettings = field(default_factory=PiiSettings)
     pii_external_url_allowlist: list[str] = field(default_factory=list)
     graph: GraphSettings = field(default_factory=GraphSettings)
@@ -65,8 +66,8 @@ class Settings:
     json_export_path: str | None = None
     pii_audit_log_path: str | None = None
     span_export_path: str | None = None
+    edge_path: str | None = None
     otlp: SpanSettings = field(default_factory=SpanSettings)
-    metrics_bind: str | None = None
     map_pin_path: str | None = None
 
 
@@ -87,8 +88,6 @@ def _lay_over(base, given: dict) -> None:
 def check(settings: Settings) -> Settings:
     if settings.max_worker_count < 1:
         raise ValueError("max_worker_count must be at least 1")
-    if settings.worker_channel_capacity < 1:
-        raise ValueError("worker_channel_capacity must be at least 1")
     if not 0.0 <= settings.sample_rate <= 1.0:
         raise ValueError("sample_rate must lie between 0 and 1")
     if settings.sampling_mode not in ("full", "connection_sample", "head_only"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowlens import schema
 from flowlens.functions import procfs
 
 #: Datagram calls are reported as the stream calls they resemble.
@@ -43,6 +44,24 @@ def tls_reads(calls: DataFrame) -> DataFrame:
         F.col("size").cast("long").alias("payload_len"), F.lit("OpenSsl").alias("tls_library"), F.lit(0).alias("src_port"), F.lit(0).alias("dst_port"), F.lit(6).cast("short").alias("ip_proto"), "payload")
 
 
+def tls_writes(calls: DataFrame) -> DataFrame:
+    """TLS writes as events. calls: pid, tgid, timestamp_ns, seq, kind, size, payload and library (OpenSsl or GoTls).
+
+    What a write hands over is there when it begins, so its entry is the event, whether it returns or not; one of no bytes is
+    none. Of the payload what a capture record holds is kept. As with reads, there is no socket.
+    """
+    zero = F.lit(0).cast("long")
+    return calls.filter("kind = 'entry' and size > 0").select(
+        "seq", "timestamp_ns", zero.alias("socket_cookie"), F.lit("TlsData").alias("event_type"), F.lit("Egress").alias("direction"), "pid", "tgid", zero.alias("src_addr"), zero.alias("dst_addr"),
+        F.col("size").cast("long").alias("payload_len"), F.col("library").alias("tls_library"), F.lit(0).alias("src_port"), F.lit(0).alias("dst_port"), F.lit(6).cast("short").alias("ip_proto"),
+        F.substring("payload", 1, schema.MAX_PAYLOAD).alias("payload"))
+
+
+def tls_calls(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """All TLS calls of processes as one table of events: both sides of what a process says in plaintext."""
+    return tls_reads(reads).unionByName(tls_writes(writes))
+
+
 def tls_libraries(maps: DataFrame, pattern: str = procfs.TLS_LIBRARY) -> DataFrame:
     """The TLS libraries that any process has mapped, each path once. maps: pid and content (the text of its maps).
 

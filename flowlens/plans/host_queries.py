@@ -120,6 +120,24 @@ def q_tls_reads(spark, sf):
     return host.tls_reads(calls).select("seq", "pid", "timestamp_ns", "event_type", "socket_cookie", "payload_len")
 
 
+@query(f"""WITH {_TIMED} SELECT event_id AS seq, user_id AS pid, tick AS timestamp_ns, 'Egress' AS direction, CASE WHEN k % 2 = 0 THEN 'OpenSsl' ELSE 'GoTls' END AS tls_library, k AS payload_len FROM t WHERE event_type IN ('click', 'view') AND k > 0""")
+def q_tls_writes(spark, sf):
+    kind = F.when(F.col("event_type").isin("click", "view"), "entry").otherwise("return")
+    calls = fixtures.base_events(spark, sf).select(F.col("event_id").alias("seq"), "timestamp_ns", F.col("user_id").alias("pid"), F.col("user_id").alias("tgid"), kind.alias("kind"), F.col("k").alias("size"), F.lit(b"x").alias("payload"), F.when(F.col("k") % 2 == 0, "OpenSsl").otherwise("GoTls").alias("library"))
+    return host.tls_writes(calls).select("seq", "pid", "timestamp_ns", "direction", "tls_library", "payload_len")
+
+
+@query(f"WITH {_BASE} SELECT event_id + 1 AS pid, 'GET' AS method, 'user:' || n AS path, 'open_ssl' AS tls_library, CASE WHEN k % 7 = 0 THEN 'ERR no ' || k ELSE 'v' || k END AS payload_text FROM base")
+def q_tls_messages(spark, sf):
+    """Exchanges seen only by the TLS calls of a process: a write, and a read whose bytes are there when it returns."""
+    rows = fixtures.packets(spark, sf, "redis").select((F.col("socket_cookie") + 1).alias("pid"), (F.col("socket_cookie") + 1).alias("tgid"), "timestamp_ns", (F.col("seq") * 3).alias("seq"), "direction", F.col("payload_len").alias("size"), "payload")
+    writes = rows.filter("direction = 'Egress'").withColumns({"kind": F.lit("entry"), "library": F.lit("OpenSsl")})
+    returns = rows.filter("direction = 'Ingress'").withColumn("kind", F.lit("return"))
+    reads = returns.unionByName(returns.withColumns({"kind": F.lit("entry"), "seq": F.col("seq") - 1, "size": F.lit(0).cast("long")}))
+    found = sessions.parse_sessions(ingest.with_session_key(host.tls_calls(reads.drop("direction"), writes.drop("direction"))))
+    return found.select("pid", "method", "path", "tls_library", "payload_text")
+
+
 def _maps(spark, sf) -> DataFrame:
     """The maps text of a process for each supplier: a program, a TLS library (mapped twice, and once not executable), an anonymous part."""
     k = F.col("s_suppkey")

@@ -235,3 +235,22 @@ def test_counters_of_the_job_and_the_report(spark, tmp_path):
     totals = job.run(spark, job.arguments(["--input", str(tmp_path / "in"), "--json-export", str(tmp_path / "out")])).totals()
     assert totals["events_received"] == rows.count() + 2 and totals["drops_parser_error"] == 2 and totals["drops_rate_limit"] == 0 and totals["events_processed"] == rows.count()
     assert export.L7
+
+
+def test_the_job_builds_the_graph(spark, tmp_path):
+    capture.register(spark)
+    held.use_keyed_state(spark)
+    base = fixtures.packets(spark, "/root/testdata/sf0.001", "redis").filter("socket_cookie < 30").withColumn("timestamp_ns", (F.col("socket_cookie") * 3 + F.col("seq") + 500) * 20_000_000)
+    names = fixtures.packets(spark, "/root/testdata/sf0.001", "dns").filter("socket_cookie between 200 and 203").withColumn("timestamp_ns", (F.col("socket_cookie") % 10 + F.col("seq") + 10) * 1_000_000)
+    far = base.limit(1).withColumns({"timestamp_ns": F.lit(10**15), "socket_cookie": F.lit(1000).cast("long"), "payload": F.lit(b"x"), "payload_len": F.lit(1).cast("long")})
+    base.unionByName(names).unionByName(far).coalesce(1).write.format("capture").mode("append").option("path", str(tmp_path / "in")).save()
+    (tmp_path / "s.toml").write_text("idle_connection_timeout_secs = 300\n[graph]\nstale_edge_timeout_secs = 100000\n")
+    edges = {}
+    for mode in ("batch", "stream"):
+        args = job.arguments(["--input", str(tmp_path / "in"), "--config", str(tmp_path / "s.toml"), "--edges", str(tmp_path / mode)] + (["--follow", str(tmp_path / "state"), "--once"] if mode == "stream" else []))
+        done = job.run(spark, args)
+        if mode == "stream":
+            done.awaitTermination()
+        found = job.current_edges(job.EdgeTable(spark, f"{tmp_path / mode}/edges"), job.settings_of(args))
+        edges[mode] = sorted((r["src"], r["dst"], r["protocol"], r["request_count"], r["last_seen"]) for r in found.collect())
+    assert edges["batch"] == edges["stream"] and sum(e[3] for e in edges["batch"] if e[2] == "redis") == 30 and any(e[2] == "dns" for e in edges["batch"])
