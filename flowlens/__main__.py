@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from flowlens import config, schema
-from flowlens.functions import pii
+from flowlens.functions import pii, urls
 from flowlens.operators import graph, ingest, joins, privacy, sessions
 from flowlens.sinks import export
 from flowlens.sources import capture
@@ -52,11 +52,17 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
 
 def scanned(messages: DataFrame, settings: config.Settings) -> DataFrame:
     """Messages with their report on personal data, as the settings ask for it."""
-    if not (settings.pii.enabled and settings.pii.regex_enabled):
+    if not settings.pii.enabled:
         return messages
-    text = F.col("payload_text")
-    sure = F.filter(pii.entities(text), lambda e: e["confidence"] >= F.lit(settings.pii.min_confidence).cast("float"))
-    return messages.withColumn("pii", pii.report(text, sure, settings.pii.redact))
+    text, none = F.col("payload_text"), F.array().cast(f"array<{pii.ENTITY}>")
+    rows = messages.withColumn("__found", F.coalesce(pii.entities(text), none) if settings.pii.regex_enabled else none)
+    mode = settings.pii.mode
+    if mode.kind == "external" and mode.url:
+        if not messages.sparkSession.range(1).select(urls.allowed(F.lit(mode.url), settings.pii_external_url_allowlist)).first()[0]:
+            raise ValueError(f"{mode.url} is not in pii_external_url_allowlist")
+        rows = privacy.with_service(rows, "payload_text", "__found", privacy.http_client(mode.url, mode.timeout_ms / 1000), mode.sample_rate, timeout_s=mode.timeout_ms / 1000)
+    sure = F.filter("__found", lambda e: e["confidence"] >= F.lit(settings.pii.min_confidence).cast("float"))
+    return rows.withColumn("pii", pii.report(text, sure, settings.pii.redact)).drop("__found")
 
 
 def flows_of(messages: DataFrame, settings: config.Settings, answers: DataFrame | None = None) -> DataFrame:

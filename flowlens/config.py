@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
 @dataclass
 class PiiMode:
-    """Beyond patterns: `disabled`, `model` (with a budget of inferences) or `external` (with a sampling rate)."""
+    """Beyond patterns: `disabled`, or `external`, a service that sees a share of the texts. (A token model is a function that is
+    given to `privacy.model_entities`; a file can't name one.)"""
 
     kind: str = "disabled"
-    model_path: str | None = None
-    max_inferences_per_sec: int = 0
     url: str | None = None
     sample_rate: float = 0.0
     timeout_ms: int = 100
@@ -39,7 +37,6 @@ class GraphSettings:
 @dataclass
 class SpanSettings:
     enabled: bool = False
-    endpoint: str = "http://127.0.0.1:4317"
     service_name: str = "flowlens"
 
 
@@ -49,16 +46,13 @@ class Settings:
     mean nothing to Spark and are passed over."""
 
     capture_enabled: bool = True
-    interfaces: list[str] = field(default_factory=lambda: ["eth0"])
     pid_filter: list[int] | None = None
     max_events_per_sec: int = 0  # no limit: Spark slows a source down where it must, and loses nothing
-    max_worker_count: int = field(default_factory=lambda: os.cpu_count() or 1)
     max_connections_tracked: int = 0  # no bound: silent sessions go by time
     idle_connection_timeout_secs: int = 30
     sampling_mode: str = "full"
     head_bytes: int = 4096
     sample_rate: float = 1.0
-    tls_scan_enabled: bool = True
     pii: PiiSettings = field(default_factory=PiiSettings)
     pii_external_url_allowlist: list[str] = field(default_factory=list)
     graph: GraphSettings = field(default_factory=GraphSettings)
@@ -68,7 +62,6 @@ class Settings:
     span_export_path: str | None = None
     edge_path: str | None = None
     otlp: SpanSettings = field(default_factory=SpanSettings)
-    map_pin_path: str | None = None
 
 
 def _lay_over(base, given: dict) -> None:
@@ -86,8 +79,8 @@ def _lay_over(base, given: dict) -> None:
 
 
 def check(settings: Settings) -> Settings:
-    if settings.max_worker_count < 1:
-        raise ValueError("max_worker_count must be at least 1")
+    if not 0.0 <= settings.pii.mode.sample_rate <= 1.0:
+        raise ValueError("pii.mode.sample_rate must lie between 0 and 1")
     if not 0.0 <= settings.sample_rate <= 1.0:
         raise ValueError("sample_rate must lie between 0 and 1")
     if settings.sampling_mode not in ("full", "connection_sample", "head_only"):

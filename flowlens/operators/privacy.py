@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, wait
 
@@ -147,3 +149,27 @@ def external_entities(rows: DataFrame, key: str, text: str, client: Callable[[],
     known = F.filter(F.transform("found", entity), lambda e: e["category"].isNotNull())
     place = F.transform(known, lambda e: F.struct(e["byte_start"].alias("at"), e.alias("e")))
     return found.select(F.col("key").alias(key), F.transform(F.array_sort(place), lambda x: x["e"]).alias(out))
+
+
+def http_client(url: str, timeout_s: float) -> Callable[[], Callable[[str], list[dict]]]:
+    """A client for external_entities: posts {"text": ...} as JSON and takes the answer's `entities`; what is not an answer raises."""
+
+    def client() -> Callable[[str], list[dict]]:
+        def call(text: str) -> list[dict]:
+            request = urllib.request.Request(url, json.dumps({"text": text}).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=timeout_s) as answer:
+                return json.load(answer)["entities"]
+
+        return call
+
+    return client
+
+
+def with_service(rows: DataFrame, text: str, found: str, client: Callable[[], Callable], rate: float = 1.0, **calls) -> DataFrame:
+    """rows with the findings of a service merged into those of the column `found`. A share `rate` of the texts is sent, by their
+    digest, each text once however many rows have it. Where the service fails, the row keeps what it has."""
+    digest = F.sha2(F.col(text), 256)
+    texts = rows.filter((F.length(text) > 0) & pii.hash_sampled(F.col(text), rate)).select(digest.alias("__digest"), F.col(text).alias("__text")).dropDuplicates(["__digest"])
+    answers = external_entities(texts, "__digest", "__text", client, out="__more", **calls)
+    joined = rows.withColumn("__of", digest).join(answers.filter(F.size("__more") > 0), F.col("__of") == F.col("__digest"), "left")
+    return joined.withColumn(found, F.when(F.col("__more").isNull(), F.col(found)).otherwise(pii.merge(F.col(found), F.col("__more")))).drop("__of", "__digest", "__more")

@@ -219,9 +219,9 @@ def test_service_calls_in_batches(spark):
 
 
 def test_settings():
-    s = config.parse("max_worker_count = 3\nnew_key = 1\n[pii]\nredact = false\n[graph]\nstale_edge_timeout_secs = 9\n")
-    assert (s.max_worker_count, s.pii.redact, s.pii.min_confidence, s.graph.stale_edge_timeout_secs, s.max_events_per_sec) == (3, False, 0.7, 9, 0)
-    for bad in ("max_worker_count = 0", "sample_rate = 1.5", "= x"):
+    s = config.parse("head_bytes = 3\nnew_key = 1\n[pii]\nredact = false\n[graph]\nstale_edge_timeout_secs = 9\n")
+    assert (s.head_bytes, s.pii.redact, s.pii.min_confidence, s.graph.stale_edge_timeout_secs, s.max_events_per_sec) == (3, False, 0.7, 9, 0)
+    for bad in ("[pii.mode]\nsample_rate = 2.0", "sample_rate = 1.5", "= x"):
         with pytest.raises(ValueError):
             config.parse(bad)
 

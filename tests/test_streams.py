@@ -254,3 +254,34 @@ def test_the_job_builds_the_graph(spark, tmp_path):
         found = job.current_edges(job.EdgeTable(spark, f"{tmp_path / mode}/edges"), job.settings_of(args))
         edges[mode] = sorted((r["src"], r["dst"], r["protocol"], r["request_count"], r["last_seen"]) for r in found.collect())
     assert edges["batch"] == edges["stream"] and sum(e[3] for e in edges["batch"] if e[2] == "redis") == 30 and any(e[2] == "dns" for e in edges["batch"])
+
+
+def test_the_job_asks_a_service(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["text"]
+            asked.append(text)
+            self.send_response(500 if "fail" in text else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"entities": [{"category": "dob", "start": 0, "end": 3, "confidence": 0.9}, {"category": "email", "start": 4, "end": 5, "confidence": 0.1}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/scan"
+    settings = config.parse(f'pii_external_url_allowlist = ["{url}"]\n[pii.mode]\nkind = "external"\nurl = "{url}"\nsample_rate = 1.0\ntimeout_ms = 5000\n')
+    rows = spark.createDataFrame([(1, "Ann was here"), (2, "Ann was here"), (3, "fail Ann"), (4, None), (5, ""), (6, "a@b.co x")], "id long, payload_text string")
+    got = {r["id"]: r["pii"] and [(e["category"], e["text"]) for e in r["pii"]["entities"]] for r in job.scanned(rows, settings).collect()}
+    assert got == {1: [("DATE_OF_BIRTH", "Ann")], 2: [("DATE_OF_BIRTH", "Ann")], 3: None, 4: None, 5: None, 6: [("EMAIL", "a@b.co")]}
+    assert sorted(set(asked)) == ["Ann was here", "a@b.co x", "fail Ann"] and asked.count("Ann was here") == 1 and asked.count("fail Ann") == 2
+    settings.pii_external_url_allowlist = ["https://elsewhere.example"]
+    with pytest.raises(ValueError, match="allowlist"):
+        job.scanned(rows, settings)
+    server.shutdown()
