@@ -160,9 +160,10 @@ def _followed(spark: SparkSession, events: DataFrame, settings: config.Settings,
         limits.append(("head", lambda r: folds.head_only_stream(ingest.with_session_key(r), F.col("session_key"), "payload_len", settings.head_bytes, late, 2 * idle, ["seq"]).drop("session_key")))
     for name, limit in limits:  # each is a query of its own, as what it lets through is late for a second watermark
         rows = _staged(spark, limit(rows), f"{args.follow.rstrip('/')}-{name}", args.trigger)
-    rows = ingest.with_session_key(live.counted(rows, "admitted"))
+    rows = ingest.with_session_key(rows)
     if settings.sampling_mode == "connection_sample":
         rows = ingest.connection_sample(rows, settings.sample_rate, F.col("session_key"))
+    rows = live.counted(rows, "admitted")
     parsed = live.counted(folds.parse_session_stream(rows, idle, late=late, capacity=settings.max_connections_tracked or None), "messages")
 
     def sink(batch: DataFrame, number: int) -> None:
