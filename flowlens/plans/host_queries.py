@@ -12,7 +12,7 @@ from flowlens.functions import network, pii, procfs, templates
 from flowlens.operators import graph, host, ingest, joins, metrics, privacy, sessions, tokens
 from flowlens.plans import fixtures
 from flowlens.plans.fixtures import HOUR_NS, L7_SQL
-from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query
+from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query, state_partitions
 from flowlens.session import materialize, shared_dir, table
 from flowlens.sinks import export
 from flowlens.sources import capture
@@ -516,7 +516,8 @@ def q_stream_edges(spark, sf):
 def _merge_once(spark, rows: DataFrame, path: str) -> None:
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     flows = flow_stream(source, window="1 hour", late="1 hour")
-    edge_stream(flows, EdgeTable(spark, f"{path}/table", 8), f"{path}/state", availableNow=True).awaitTermination()
+    with state_partitions(spark):
+        edge_stream(flows, EdgeTable(spark, f"{path}/table", 8), f"{path}/state", availableNow=True).awaitTermination()
 
 
 # ---- extensions -------------------------------------------------------------------------------------------------

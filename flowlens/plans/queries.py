@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -663,6 +664,18 @@ def q_validate(spark, sf):
 
 # ---- streams ----------------------------------------------------------------------------------------------------
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession):
+    """For queries that start inside: state in as many partitions as there are cores at most, as each costs a store in every batch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(4, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """All a stream gives for what is there now, as a table."""
     spark = stream.sparkSession
@@ -671,8 +684,9 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
-    running.awaitTermination()
+    with state_partitions(spark):
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+        running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
