@@ -12,9 +12,10 @@ L7 = [f.name for f in schema.L7_FIELDS]
 TRANSPORT = [f.name for f in schema.TRANSPORT_FIELDS]
 
 
-def json_rows(messages: DataFrame, redact_payload: bool = False) -> DataFrame:
+def json_rows(messages: DataFrame, redact_payload: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One JSON object a message, in column `value`: what is null is left out, as are empty headers; headers are pairs; a
-    report's findings are written without the text found. redact_payload writes the redacted text in the payload's place."""
+    report's findings are written without the text found. redact_payload writes the redacted text in the payload's place. keep: columns
+    that stay beside `value`."""
     have = messages.columns
     headers = F.transform("headers", lambda h: F.array(h["name"], h["value"]))
     columns = []
@@ -28,7 +29,7 @@ def json_rows(messages: DataFrame, redact_payload: bool = False) -> DataFrame:
     if "pii" in have:
         shown = F.transform("pii.entities", lambda e: F.struct(*[e[c].alias(c) for c in ("category", "source", "start", "end", "confidence")]))
         columns.append(F.when(F.col("pii").isNotNull(), F.struct(shown.alias("entities"), F.col("pii.redacted_text").alias("redacted_text"), F.col("pii.scanned_bytes").alias("scanned_bytes"))).alias("pii"))
-    return messages.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}).alias("value"))
+    return messages.select(*keep, F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}).alias("value"))
 
 
 def write_json(messages: DataFrame, path: str, redact_payload: bool = False, mode: str = "overwrite") -> None:
@@ -113,7 +114,7 @@ def health(stats: DataFrame) -> DataFrame:
     return stats.select((F.col("events_received") > 0).alias("ready"), F.to_json(F.struct(*stats.columns)).alias("state"))
 
 
-def log_lines(messages: DataFrame) -> DataFrame:
-    """A line for each message, for a console."""
+def log_lines(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A line for each message, for a console, in column `value`. keep: columns that stay beside it."""
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    return messages.select(F.format_string("[%s] %s %s %s status=%s latency_ns=%s", F.col("timestamp_ns"), F.col("protocol"), dash("method"), dash("path"), dash("status"), dash("latency_ns")).alias("value"))
+    return messages.select(*keep, F.format_string("[%s] %s %s %s status=%s latency_ns=%s", F.col("timestamp_ns"), F.col("protocol"), dash("method"), dash("path"), dash("status"), dash("latency_ns")).alias("value"))

@@ -19,9 +19,9 @@ def grown(spark, tmp_path):
             con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
             con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
         theirs = con.execute(entry.oracle_sql()[name])
-        columns = sorted(c[0] for c in theirs.description)
-        want = theirs.df()[columns].astype(str).values.tolist()
-        got = entry.queries()[name](spark, str(tmp_path)).select(*columns).toPandas().astype(str).values.tolist()
+        columns = [c[0] for c in theirs.description]
+        want = [[str(x) for x in row] for row in theirs.fetchall()]
+        got = [[str(x) for x in row] for row in entry.queries()[name](spark, str(tmp_path)).select(*columns).collect()]
         return sorted(got), sorted(want)
 
     return both
@@ -34,3 +34,37 @@ CUSTOMERS = f"SELECT * FROM '{SF}/customer.parquet'"
 def test_names_of_users_beyond_a_byte(grown):
     got, want = grown("q_identity_asof", events=USERS, customer=CUSTOMERS)
     assert got == want and any(len(name) > len("0.0.0.255:443") for _, name in got)
+
+
+def test_streamed_names_of_users_beyond_a_byte(grown):
+    got, want = grown("q_stream_names", events=USERS, customer=CUSTOMERS)
+    assert got == want and any(len(name) > len("0.0.0.255:443") for _, name in got)
+
+
+SAME_TIME = f"SELECT * REPLACE (TIMESTAMP '2024-01-02 03:04:05.678901' AS ts) FROM '{SF}/events.parquet'"
+
+
+@pytest.mark.parametrize("name", ["q_jsonl", "q_log_lines"])
+def test_lines_of_events_at_one_time(grown, name):
+    got, want = grown(name, events=SAME_TIME)
+    assert got == want
+
+
+def test_transaction_ids_that_look_like_other_protocols(grown):
+    """84 is the tag T of PostgreSQL, 42 begins an array of RESP."""
+    got, want = grown("q_parse_dns", events=f"SELECT * REPLACE (event_id + CASE WHEN event_id % 2 = 0 THEN 84 * 256 ELSE 65536 + 42 * 256 END AS event_id) FROM '{SF}/events.parquet'")
+    assert got == want
+
+
+def test_dns_is_told_by_its_header_on_its_port(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.functions.detect import detect, detect_bytes
+
+    query = bytes.fromhex("5400010000010000000000000473766330056c6f63616c0000010001")
+    startup = bytes.fromhex("0000001200030000") + b"user\0app\0\0"
+    cases = [(query, 40000, 53, "dns"), (query, 53, 40000, "dns"), (query, 40000, 5432, "postgres"), (startup, 40000, 53, "postgres"), (b"GET / HTTP/1.1\r\n", 40000, 53, "http1"), (b"E\0\0\0\x0eSERROR\0\0\0\0", 53, 1, "postgres")]
+    rows = spark.createDataFrame([(i, bytearray(p), s, d) for i, (p, s, d, _) in enumerate(cases)], "i int, p binary, s int, d int")
+    shown = {r["i"]: r["x"] for r in rows.select("i", detect(F.col("p"), F.col("s"), F.col("d")).alias("x")).collect()}
+    for i, (p, s, d, name) in enumerate(cases):
+        assert detect_bytes(p, s, d) == name and shown[i] == name, i
