@@ -12,7 +12,7 @@ from flowlens.functions import network, pii, procfs, templates
 from flowlens.operators import graph, host, ingest, joins, metrics, privacy, sessions, tokens
 from flowlens.plans import fixtures
 from flowlens.plans.fixtures import HOUR_NS, L7_SQL
-from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, hourly, observations, query, state_partitions
+from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, host_name, hourly, observations, query, state_partitions
 from flowlens.session import materialize, shared_dir, table
 from flowlens.sinks import export
 from flowlens.sources import capture
@@ -440,7 +440,7 @@ def q_stream_names(spark, sf):
     dns = stream.filter("kind = 0").select("ip", "domain", F.col("at").alias("inserted_at"), "ttl")
     rows = stream.filter("kind = 1 or number = -1").select(F.col("number").alias("event_id"), F.col("ip").alias("user_id"), "at")
     found = folds.asof_domain_stream(rows, dns, "user_id", "at", _LATE, unit_ns=1_000_000_000)
-    return _drained(found, "append").filter("event_id >= 0").select("event_id", network.identity_name(F.col("domain"), F.col("user_id"), F.lit(443)).alias("name"))
+    return _drained(found, "append").filter("event_id >= 0").select("event_id", host_name().alias("name"))
 
 
 @query("SELECT lower(c_name) AS domain, c_custkey % 150 AS address, (1704067200 + c_custkey * 1700) * 1000000000 AS since FROM customer UNION ALL SELECT lower(c_name), NULL, (1704067200 + c_custkey * 1700 + 3600 + c_custkey % 7 * 20000) * 1000000000 FROM customer")
