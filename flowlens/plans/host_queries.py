@@ -371,12 +371,10 @@ def q_stream_sessions_ordered(spark, sf):
     """Responses come batches before their requests; the watermark holds them until their turn. A last event, far ahead in
     time, lets it pass all others."""
     rows = ingest.with_session_key(fixtures.packets(spark, sf, "redis")).withColumn("timestamp_ns", (F.col("seq") + 10_000) * 1_000_000_000 + F.col("socket_cookie") % 1000)
-    end = rows.limit(1).withColumns({"timestamp_ns": F.lit(40_000_000_000_000).cast("long"), "session_key": F.lit(-9).cast("long"), "socket_cookie": F.lit(-9).cast("long")})
+    stored = materialize(rows)
+    end = stored.limit(1).withColumns({"timestamp_ns": F.lit(40_000_000_000_000).cast("long"), "session_key": F.lit(-9).cast("long"), "socket_cookie": F.lit(-9).cast("long")})
     path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
-    rows.filter("direction = 'Ingress'").coalesce(1).write.parquet(f"{path}/in/part=0")
-    rows.filter("direction = 'Egress'").coalesce(1).write.parquet(f"{path}/in/part=1")
-    end.coalesce(1).write.parquet(f"{path}/in/part=2")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = _in_batches([stored.filter("direction = 'Ingress'"), stored.filter("direction = 'Egress'"), end], f"{path}/in")
     use_keyed_state(spark)
     return _drained(folds.parse_session_stream(stream, late="1 hour", idle_ns=10**15), "append").filter("session_key >= 0").select("session_key", "method", "path", "payload_text")
 
@@ -384,6 +382,16 @@ def q_stream_sessions_ordered(spark, sf):
 _LATE = "3 days"
 
 
+def _in_batches(parts: list[DataFrame], path: str) -> DataFrame:
+    """parts as a stream, each a batch; the last may be short. All have as many files, and as many as the shortest of the
+    others fills, so that a batch ends where a part does."""
+    spark = parts[0].sparkSession
+    files = max(1, min(2 * spark.sparkContext.defaultParallelism, min(p.count() for p in parts[:-1]) // 10_000))
+    for i, part in enumerate(parts):
+        (part.repartition(files) if files > 1 and i + 1 < len(parts) else part.coalesce(1)).write.parquet(f"{path}/part={i}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _disordered(rows: DataFrame, ts: str, number: str, unit_ns: int = 1, slices: int = 4) -> DataFrame:
     """rows as a stream that is out of order by up to two days: a batch for each slice of time, but rows come into the next one
     by chance. A last row, far ahead, lets the watermark pass all others; it has the number -1."""
@@ -394,12 +402,9 @@ def _disordered(rows: DataFrame, ts: str, number: str, unit_ns: int = 1, slices:
     path = f"{shared_dir(spark)}/disordered-{uuid.uuid4().hex}"
     width = max(1, (last + 2 * day - first) // slices + 1)
     place = F.floor((F.col(ts) - first + F.pmod(F.xxhash64(number), F.lit(2 * day))) / width)
-    for i in range(slices):
-        stored.filter(place == i).coalesce(1).write.parquet(f"{path}/in/part={i}")
     ahead = spark.range(1).select(*[F.lit({ts: last + 400 * day, number: -1}.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
-    ahead.coalesce(1).write.parquet(f"{path}/in/part={slices}")
     use_keyed_state(spark)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return _in_batches([*[stored.filter(place == i) for i in range(slices)], ahead], f"{path}/in")
 
 
 @query(ORACLES["q_pair_correlated"])

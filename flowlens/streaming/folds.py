@@ -158,7 +158,7 @@ def asof_domain_stream(rows: DataFrame, dns: DataFrame, address: str, ts: str, l
     return out.select(*[F.col(f"c_{c}").alias(c) for c in rows.columns], "domain")
 
 
-def address_stream(dns: DataFrame, late: str, ip: str = "ip", since: str = "inserted_at", ttl: str = "ttl", unit_ns: int = 1, buckets: int = 64) -> DataFrame:
+def address_stream(dns: DataFrame, late: str, ip: str = "ip", since: str = "inserted_at", ttl: str = "ttl", unit_ns: int = 1, buckets: int = 16) -> DataFrame:
     """The latest address of each domain as a stream of changes: domain, address (null once all answers have run out), since (ns)."""
     rows = dns.select(F.col("domain").alias("__domain"), F.col(ip).alias("__address"), (F.col(since) * unit_ns).alias("__ts"), F.col(ttl).cast("long").alias("__ttl"))
     shape = StructType([StructField("domain", StringType()), StructField("address", dns.schema[ip].dataType), *StructType.fromDDL("since long").fields])

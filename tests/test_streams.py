@@ -285,3 +285,21 @@ def test_the_job_asks_a_service(spark, tmp_path):
     with pytest.raises(ValueError, match="allowlist"):
         job.scanned(rows, settings)
     server.shutdown()
+
+
+def test_states_of_many_keys_cost_few_calls():
+    bucket = Bucket(Last, ["at"], ["key", "at", "n"])
+    bucket.add([(f"k{i % 5000}", i * SECOND // 20_000, 0) for i in range(10_000)])
+    bucket.handle.stores["states"].trips = 0
+    out = bucket.pass_(1000)
+    assert sorted(r["n"] for r in out) == [1] * 5000 + [2] * 5000
+    assert bucket.handle.stores["states"].trips <= 200  # by page, not by key
+
+
+def test_a_long_batch_that_does_not_wait_is_folded_in_parts():
+    bucket = Bucket(Last, ["at"], ["key", "at", "n"], is_held=False)
+    rows = [(f"k{i % 50}", i, 0) for i in range(25_000)]
+    random.Random(3).shuffle(rows)
+    out = bucket.add(rows)
+    assert sorted((r["key"], r["at"], r["n"]) for r in out) == sorted((f"k{i % 50}", i, i // 50 + 1) for i in range(25_000))
+    assert bucket.handle.stores["waiting"].trips > 0 and not bucket.handle.stores["waiting"]
