@@ -1,12 +1,16 @@
 """Capture files: a header, then records of one length. A Spark data source (batch, stream and writer), and a reader for any store.
 
 The file: a magic of 6 bytes, version, start time and record count (little-endian), then each record with its length
-before it. Records are alike in size, so a file is split by record number, and parts are read side by side.
+before it. Records are alike in size, so a file is split by record number, and parts are read side by side. As records are
+mostly filling, a file may be packed as a whole with gzip (option compression, name *.cap.gz): such a one is read as one part,
+and the writer begins a new file after maxRecordsPerFile records.
 """
 
 from __future__ import annotations
 
+import gzip
 import os
+import shutil
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -90,6 +94,10 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def _opened(file: str):
+    return gzip.open(file, "rb") if file.endswith(".gz") else open(file, "rb")
+
+
 def _files(path: str) -> list[str]:
     path = _local(path)
     if os.path.isdir(path):
@@ -111,8 +119,11 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         out = []
         for file in _files(self.path):
-            with open(file, "rb") as f:
-                read_header(f.read(HEADER.size))
+            with _opened(file) as f:
+                _, told = read_header(f.read(HEADER.size))
+            if file.endswith(".gz"):  # not split: the count is in its header
+                out.append(Part(file, 0, told))
+                continue
             body = os.path.getsize(file) - HEADER.size
             count = body // STRIDE + (1 if body % STRIDE >= LENGTH.size else 0)
             out += [Part(file, i, min(self.size, count - i)) for i in range(0, count, self.size)]
@@ -122,10 +133,12 @@ class CaptureReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(self.shape)
-        with open(partition.file, "rb") as f:
+        with _opened(partition.file) as f:
             f.seek(HEADER.size + partition.first * STRIDE)
             for at in range(0, partition.count, 512):
                 rows = read_records(f.read(min(512, partition.count - at) * STRIDE), partition.first + at)
+                if partition.file.endswith(".gz") and len(rows) < min(512, partition.count - at):
+                    raise CaptureError(f"record {at + len(rows)}: truncated")
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
@@ -149,6 +162,8 @@ class CaptureStreamReader(DataSourceStreamReader):
         left, out = self.most, dict(self.given)
         for file in _files(self.path):
             name = os.path.basename(file)
+            if file.endswith(".gz"):
+                raise CaptureError(f"{name}: a packed file can't be followed as it grows")
             there = max(0, os.path.getsize(file) - HEADER.size) // STRIDE
             take = min(left, there - out.get(name, 0))
             if take > 0:
@@ -179,44 +194,59 @@ class CaptureStreamReader(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    file: str | None
-    count: int
+    files: list[str]
 
 
 class CaptureWriter(DataSourceWriter):
-    """A file for each partition that has rows; files get their final name, and their count, when the task is done."""
+    """Files of maxRecordsPerFile records at most for each partition that has rows; they get their final names when all tasks are done."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.started = _local(options["path"]), overwrite, int(options.get("started", 0))
+        self.most, self.packed = int(options.get("maxRecordsPerFile", 100_000)), options.get("compression", "none") == "gzip"
+
+    def _hidden(self, file: str) -> str:
+        return os.path.join(self.path, "." + os.path.basename(file))
+
+    def _close(self, f, file: str, count: int) -> None:
+        f.seek(0)
+        f.write(HEADER.pack(MAGIC, VERSION, self.started, count))
+        f.close()
+        if self.packed:
+            with open(self._hidden(file) + ".raw", "rb") as raw, gzip.open(self._hidden(file), "wb", 1) as out:
+                shutil.copyfileobj(raw, out, 1 << 20)
+            os.unlink(self._hidden(file) + ".raw")
 
     def write(self, rows) -> Written:
         os.makedirs(self.path, exist_ok=True)
         context = TaskContext.get()
-        name = os.path.join(self.path, f"part-{context.partitionId():05d}-{context.taskAttemptId()}.cap")
-        count = 0
-        with open(f"{self.path}/.{os.path.basename(name)}", "wb") as f:
-            f.write(HEADER.pack(MAGIC, VERSION, self.started, 0))
-            for row in rows:
-                f.write(record_bytes(row.asDict()))
-                count += 1
-            f.seek(0)
-            f.write(HEADER.pack(MAGIC, VERSION, self.started, count))
-        if not count:
-            os.unlink(f"{self.path}/.{os.path.basename(name)}")
-        return Written(name if count else None, count)
+        files, f, count = [], None, 0
+        for row in rows:
+            if f is not None and count == self.most:
+                self._close(f, files[-1], count)
+                f = None
+            if f is None:
+                name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):05d}.cap" + (".gz" if self.packed else "")
+                files.append(os.path.join(self.path, name))
+                f, count = open(self._hidden(files[-1]) + (".raw" if self.packed else ""), "wb"), 0
+                f.write(HEADER.pack(MAGIC, VERSION, self.started, 0))
+            f.write(record_bytes(row.asDict()))
+            count += 1
+        if f is not None:
+            self._close(f, files[-1], count)
+        return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         if self.overwrite:
             for old in _files(self.path):
                 os.unlink(old)
         for m in messages:
-            if m and m.file:
-                os.replace(os.path.join(self.path, "." + os.path.basename(m.file)), m.file)
+            for file in m.files if m else []:
+                os.replace(self._hidden(file), file)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
-            if m and m.file:
-                os.unlink(os.path.join(self.path, "." + os.path.basename(m.file)))
+            for file in m.files if m else []:
+                os.unlink(self._hidden(file))
 
 
 class CaptureSource(DataSource):
@@ -245,14 +275,28 @@ def register(spark: SparkSession) -> None:
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files from any store that Spark reads. A file is one row first, so it must fit in 2 GB; the record is then
-    decoded by column expressions."""
-    raw = F.col("content")
-    whole = spark.read.format("binaryFile").load(path).filter(F.substring(raw, F.lit(1), F.lit(len(MAGIC))) == F.lit(MAGIC))
-    count = F.floor((F.col("length") - HEADER.size) / STRIDE)
-    each = whole.filter(count > 0).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("seq"))
-    record = F.substring(raw, (F.col("seq") * STRIDE + HEADER.size + LENGTH.size + 1).cast("int"), F.lit(RECORD.itemsize))
-    return decoded(each.select("seq", record.alias("record"))).select(*schema.DATA_EVENT.names)
+    """Capture files, packed or not, from any store that Spark reads. A file is one row first, so it should be of bounded size
+    (maxRecordsPerFile; 2 GB at most as stored); it is cut into records one after the other, and these are decoded by column
+    expressions."""
+    ship(spark)
+    magic, head, gap, stride = MAGIC, HEADER.size, LENGTH.size, STRIDE
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                raw = content.as_buffer()
+                f = gzip.GzipFile(fileobj=pa.BufferReader(raw)) if raw[:2] == b"\x1f\x8b" else pa.BufferReader(raw)
+                if f.read(head)[:len(magic)] != magic:
+                    continue
+                first = 0
+                while len(block := f.read(512 * stride)) >= stride:
+                    n = len(block) // stride
+                    records = [block[i * stride + gap:(i + 1) * stride] for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + n), pa.int64()), pa.array(records, pa.binary())], ["seq", "record"])
+                    first += n
+
+    whole = spark.read.format("binaryFile").load(path).select("content")
+    return decoded(whole.mapInArrow(cut, "seq long, record binary")).select(*schema.DATA_EVENT.names)
 
 
 def events_source(spark: SparkSession, fmt: str, path: str, stream: bool = False, **options: str) -> DataFrame:

@@ -68,3 +68,20 @@ def test_dns_is_told_by_its_header_on_its_port(spark):
     shown = {r["i"]: r["x"] for r in rows.select("i", detect(F.col("p"), F.col("s"), F.col("d")).alias("x")).collect()}
     for i, (p, s, d, name) in enumerate(cases):
         assert detect_bytes(p, s, d) == name and shown[i] == name, i
+
+
+def test_packed_capture_files_of_bounded_size(spark, tmp_path):
+    import os
+
+    from flowlens.plans import fixtures
+    from flowlens.sources import capture
+
+    capture.register(spark)
+    rows, path = fixtures.packets(spark, SF, "redis"), f"{tmp_path}/c"
+    rows.write.format("capture").mode("append").option("path", path).option("compression", "gzip").option("maxRecordsPerFile", 50).save()
+    n = rows.count()
+    assert len(os.listdir(path)) >= n // 50 and sum(os.path.getsize(f"{path}/{x}") for x in os.listdir(path)) < n * capture.STRIDE / 10
+    keys = [c for c in rows.columns if c != "seq"]
+    want = sorted(map(tuple, rows.select(*keys).collect()), key=repr)
+    for back in (spark.read.format("capture").load(path), capture.read_stored(spark, f"file://{path}")):
+        assert sorted(map(tuple, back.select(*keys).collect()), key=repr) == want
