@@ -235,12 +235,10 @@ def _length_class(text: str) -> Column:
     return F.floor(F.log2(F.length(text) + 1)).cast("int")
 
 
-def score_floors(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, share: float = 0.5) -> dict[int, float]:
+def score_floors(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", share: float = 0.5) -> dict[int, float]:
     """For each class of text length (a power of two): `share` of the least score that a rightly predicted text of that class
-    has. Taken from a sample of about sample_rows of the rows that have a language. A class without any takes the floor of
-    the next shorter one, else 0."""
-    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = known.sample(min(1.0, sample_rows / max(1, known.count())), seed=5)
+    has. Taken from every row that has a language. A class without any takes the floor of the next shorter one, else 0."""
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     found = _predicted(rows, prototypes, [F.col(lang_col).cast("string").alias("lang"), _length_class(text_col).alias("length")], text_col).filter("lang_pred = kept.lang")
     least = {r["length"]: r["least"] for r in found.groupBy("kept.length").agg(F.min("score").alias("least")).collect()}  # at most a row for each power of two
     floors, last = {}, 0.0
@@ -250,13 +248,13 @@ def score_floors(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: s
     return floors
 
 
-def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000) -> DataFrame:
+def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose language can't be told, with all columns; a null language is filled with the predicted
     one. Rejected are a null text, one without letters, and one that is far from every language: its score is below half of
     what any rightly predicted text of like length has (see score_floors). Learned from the rows of docs that have a
     language; where there are none, every row is rejected."""
     prototypes = learn(docs, text_col, lang_col)
-    floors = score_floors(docs, prototypes, text_col, lang_col, sample_rows)
+    floors = score_floors(docs, prototypes, text_col, lang_col)
     floor = F.element_at(F.array(*[F.lit(floors[n]) for n in range(32)]), F.least(F.col("kept.length"), F.lit(31)) + 1)
     keep = [F.struct(*docs.columns).alias("row"), _length_class(text_col).alias("length")]
     known = _predicted(docs, prototypes, keep, text_col).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= floor))

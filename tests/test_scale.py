@@ -85,3 +85,11 @@ def test_packed_capture_files_of_bounded_size(spark, tmp_path):
     want = sorted(map(tuple, rows.select(*keys).collect()), key=repr)
     for back in (spark.read.format("capture").load(path), capture.read_stored(spark, f"file://{path}")):
         assert sorted(map(tuple, back.select(*keys).collect()), key=repr) == want
+
+
+def test_floors_of_scores_come_from_all_rows(spark, monkeypatch):
+    from flowlens.llm import language
+
+    docs = spark.createDataFrame([(i, f"the cat number {i} sat on the mat", "en") if i % 2 else (i, f"der hund nummer {i} lief in den wald", "de") for i in range(40)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "sample", lambda *a, **k: pytest.fail("a sample"))
+    assert language.identified(docs).count() == 40
