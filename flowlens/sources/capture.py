@@ -12,6 +12,7 @@ import gzip
 import os
 import shutil
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,7 +145,8 @@ class CaptureReader(DataSourceReader):
 
 class CaptureStreamReader(DataSourceStreamReader):
     """Follows all files of a folder, new ones and growing ones. The offset is the number of records read of each file; a
-    batch takes recordsPerBatch at most, in the order of the files' names, and its parts are read by the executors.
+    batch takes all that is there, or recordsPerBatch at most, in the order of the files' names, and its parts are read by the
+    executors. A bounded run (availableNow) asks a source in Python for one end only, so with a limit it handles one batch.
 
     Only file sizes are looked at on the driver. A file whose header is not there yet waits for a later batch. Parts of a
     batch come in no order: sort by timestamp_ns and seq inside a key. seq counts the records of a file.
@@ -152,7 +154,7 @@ class CaptureStreamReader(DataSourceStreamReader):
 
     def __init__(self, shape: StructType, options: dict):
         self.reader = CaptureReader(shape, options)
-        self.path, self.most = options["path"], int(options.get("recordsPerBatch", 1_000_000))
+        self.path, self.most = options["path"], int(options.get("recordsPerBatch", sys.maxsize))
         self.given: dict[str, int] = {}
 
     def initialOffset(self) -> dict:

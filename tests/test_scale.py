@@ -93,3 +93,22 @@ def test_floors_of_scores_come_from_all_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"the cat number {i} sat on the mat", "en") if i % 2 else (i, f"der hund nummer {i} lief in den wald", "de") for i in range(40)], "doc_id long, text string, lang string")
     monkeypatch.setattr(type(docs), "sample", lambda *a, **k: pytest.fail("a sample"))
     assert language.identified(docs).count() == 40
+
+
+def test_capture_files_of_more_records_than_a_batch(grown, monkeypatch):
+    from flowlens.plans import host_queries
+
+    monkeypatch.setattr(host_queries, "BATCH_RECORDS", 1000, raising=False)
+    got, want = grown("q_stream_capture", events=f"SELECT * FROM '{SF}/events.parquet'")
+    assert got == want
+
+
+def test_a_bounded_run_over_capture_files_takes_all(spark, tmp_path):
+    from flowlens import schema
+    from flowlens.sources import capture
+
+    (tmp_path / "c").mkdir()
+    for i, n in enumerate((700_000, 600_000)):
+        with open(tmp_path / "c" / f"{i}.cap", "wb") as f:
+            f.truncate(capture.HEADER.size + n * capture.STRIDE)  # only sizes are looked at
+    assert sum(capture.CaptureStreamReader(schema.DATA_EVENT, {"path": str(tmp_path / "c")}).latestOffset().values()) == 1_300_000
