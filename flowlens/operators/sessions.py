@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,36 +33,71 @@ class SessionRunner:
 
     def feed(self, event: dict) -> list[dict]:
         """The rows that an event completes."""
-        now = event["timestamp_ns"]
+        found = self.step(event["timestamp_ns"], event["event_type"] == "SockClose", event["direction"] == "Egress", event["payload"], event["src_port"], event["dst_port"])
+        return [self._row(event, *each) for each in found]
+
+    def step(self, now: int, closes: bool, egress: bool, payload: bytes | None, src_port: int | None, dst_port: int | None) -> list[tuple]:
+        """The same, as message, number, state, version and error, without what is known of the event anyway."""
         if self.codec and now - self.last > self.idle_ns:
             self.codec = None
         self.last = now
-        if event["event_type"] == "SockClose":
+        if closes:
             self.codec = None
             return []
-        payload = event["payload"]
         if not payload:
             return []
         if self.codec is None:
-            self.codec = codecs.create(detect_bytes(payload, event["src_port"], event["dst_port"]) or "")
+            self.codec = codecs.create(detect_bytes(payload, src_port, dst_port) or "")
             if self.codec is None:
                 return []
         try:
-            found = self.codec.feed(payload, event["direction"] == "Egress", now)
+            found = self.codec.feed(payload, egress, now)
         except codecs.CodecError as error:
             protocol, self.codec = self.codec.protocol, None
-            return [self._row(event, codecs.message(protocol, now, headers=None), "error", None, str(error))]
-        return [self._row(event, m, self.codec.state, self.codec.version, None) for m in found]
+            self.made += 1
+            return [(codecs.message(protocol, now, headers=None), self.made - 1, "error", None, str(error))]
+        if not found:
+            return []
+        first, self.made = self.made, self.made + len(found)
+        return [(m, first + i, self.codec.state, self.codec.version, None) for i, m in enumerate(found)]
 
-    def _row(self, event: dict, message: dict, state: str, version: str | None, error: str | None) -> dict:
-        row = {k: event[k] or None for k in TRANSPORT} | message | {"session_key": event["session_key"], "msg_no": self.made, "state": state, "protocol_version": version, "error": error}
+    @staticmethod
+    def _row(event: dict, message: dict, number: int, state: str, version: str | None, error: str | None) -> dict:
+        row = {k: event[k] or None for k in TRANSPORT} | message | {"session_key": event["session_key"], "msg_no": number, "state": state, "protocol_version": version, "error": error}
         row["tls_library"] = schema.TLS_NAMES.get(event["tls_library"])
         if row["headers"] is not None:
             row["headers"] = [{"name": k, "value": v} for k, v in row["headers"]]
-        self.made += 1
         return row
 
 
+def _pairs(cells: list[list[tuple[str, str]] | None], kind: pa.ListType) -> pa.Array:
+    """Headers as a column."""
+    flat = [pair for cell in cells for pair in cell or ()]
+    ends = np.cumsum([0, *(len(cell or ()) for cell in cells)])
+    pairs = pa.StructArray.from_arrays([pa.array([pair[i] for pair in flat], pa.string()) for i in (0, 1)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=kind, mask=pa.array([cell is None for cell in cells], pa.bool_()))
+
+
+def _rows(batch: pa.RecordBatch, places: list[int], found: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    """What SessionRunner.step found, with the events at these places of the batch, column by column."""
+    events, columns = batch.take(pa.array(places, pa.int64())), []
+    messages, *rest = zip(*found, strict=True) if found else ((),) * 5
+    own = dict(zip(("msg_no", "state", "protocol_version", "error"), rest, strict=True))
+    for field in shape:
+        if field.name == "session_key":
+            columns.append(events.column(field.name))
+        elif field.name == "tls_library":
+            columns.append(pa.array([schema.TLS_NAMES.get(x) for x in events.column(field.name).to_pylist()], field.type))
+        elif field.name in TRANSPORT:
+            known = events.column(field.name)
+            columns.append(pc.if_else(pc.equal(known, 0), pa.scalar(None, known.type), known))
+        elif field.name == "headers":
+            columns.append(_pairs([m["headers"] for m in messages], field.type))
+        else:
+            columns.append(pa.array(own[field.name] if field.name in own else [m[field.name] for m in messages], field.type))
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+
 def parse_sessions(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000_000_000) -> DataFrame:
     """The messages in events (columns INPUT), as schema.SESSION_ROW.
 
@@ -73,12 +110,16 @@ def parse_sessions(events: DataFrame, idle_ns: int = schema.IDLE_SECONDS * 1_000
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, runner = None, None
         for batch in batches:
-            out = []
-            for event in batch.to_pylist():
-                if runner is None or event["session_key"] != key:
-                    key, runner = event["session_key"], SessionRunner(idle_ns)
-                out += runner.feed(event)
-            yield pa.RecordBatch.from_pylist(out, schema=shape)
+            places, found = [], []
+            fields = [batch.column(c).to_pylist() for c in ("session_key", "timestamp_ns", "payload", "src_port", "dst_port")]
+            marks = [pc.equal(batch.column(c), x).to_pylist() for c, x in (("event_type", "SockClose"), ("direction", "Egress"))]
+            for i, (session, now, payload, src, dst, closes, egress) in enumerate(zip(*fields, *marks, strict=True)):
+                if runner is None or session != key:
+                    key, runner = session, SessionRunner(idle_ns)
+                for each in runner.step(now, closes, egress, payload, src, dst):
+                    places.append(i)
+                    found.append(each)
+            yield _rows(batch, places, found, shape)
 
     ordered = events.select(*INPUT).repartition("session_key").sortWithinPartitions("session_key", "timestamp_ns", "seq")
     return ordered.mapInArrow(run, schema.SESSION_ROW)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens import schema
 from flowlens.plans import wire
-from flowlens.session import ship, table
+from flowlens.session import ship, spread, table
 
 HOUR_NS = 3_600_000_000_000
 
@@ -54,17 +55,31 @@ def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
-    """The exchange of each event as capture events; a session for each event."""
+    """The exchange of each event as capture events; a session for each event.
+
+    Events are dealt out first, as a small table is few row groups and an event many packets. Python makes the bytes only; what
+    is the same for every packet, or follows from the event's number, is columns.
+    """
     ship(spark)
     port = wire.EXCHANGES[protocol][1]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for n, k, ts in zip(part["event_id"], part["k"], part["timestamp_ns"], strict=True):
-                for i, (at, client, data) in enumerate(wire.packets(protocol, int(n), int(k), int(ts))):
-                    ends = (40000 + n % 1000, port) if client else (port, 40000 + n % 1000)
-                    rows.append((i, at, n, "TcPacket", "Egress" if client else "Ingress", n % 100, n % 100, 0x0A000001, 0x0A000002, len(data), "None", *ends, 17 if protocol == "dns" else 6, data))
-            yield pd.DataFrame(rows, columns=schema.DATA_EVENT.names)
-
-    return base_events(spark, sf_dir).select("event_id", "k", "timestamp_ns").mapInPandas(run, schema.DATA_EVENT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, made = [], []
+            for n, k, ts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                exchange = wire.packets(protocol, n, k, ts)
+                counts.append(len(exchange))
+                made += exchange
+            at, client, data = zip(*made, strict=True) if made else ((), (), ())
+            events = np.repeat(batch.column(0).to_numpy(), counts)
+            places = np.concatenate([np.arange(c) for c in counts]) if counts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(at, pa.int64()), pa.array(events, pa.int64()), pa.array(client, pa.bool_()), pa.array(data, pa.binary())], ["seq", "timestamp_ns", "socket_cookie", "client", "payload"])
+
+    base = base_events(spark, sf_dir).select("event_id", "k", "timestamp_ns").repartition(spread(spark), "event_id")
+    made = base.mapInArrow(run, "seq long, timestamp_ns long, socket_cookie long, client boolean, payload binary")
+    n, client = F.col("socket_cookie"), F.col("client")
+    user, server = 40000 + n % 1000, F.lit(port).cast("long")
+    known = {
+        "event_type": F.lit("TcPacket"), "direction": F.when(client, "Egress").otherwise("Ingress"), "pid": n % 100, "tgid": n % 100, "src_addr": F.lit(0x0A000001), "dst_addr": F.lit(0x0A000002),
+        "payload_len": F.octet_length("payload"), "tls_library": F.lit("None"), "src_port": F.when(client, user).otherwise(server), "dst_port": F.when(client, server).otherwise(user), "ip_proto": F.lit(17 if protocol == "dns" else 6)}
+    return made.select(*[(known[f.name].cast(f.dataType) if f.name in known else F.col(f.name)).alias(f.name) for f in schema.DATA_EVENT])

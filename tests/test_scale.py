@@ -112,3 +112,39 @@ def test_a_bounded_run_over_capture_files_takes_all(spark, tmp_path):
         with open(tmp_path / "c" / f"{i}.cap", "wb") as f:
             f.truncate(capture.HEADER.size + n * capture.STRIDE)  # only sizes are looked at
     assert sum(capture.CaptureStreamReader(schema.DATA_EVENT, {"path": str(tmp_path / "c")}).latestOffset().values()) == 1_300_000
+
+
+def test_packets_are_made_in_many_tasks(spark):
+    from flowlens.plans import fixtures, wire
+
+    for protocol in wire.EXCHANGES:
+        rows = fixtures.packets(spark, SF, protocol)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # the table itself is one row group
+        base = fixtures.base_events(spark, SF).filter("event_id < 40").collect()
+        want = {(e["event_id"], i, at, "Egress" if client else "Ingress", data) for e in base for i, (at, client, data) in enumerate(wire.packets(protocol, e["event_id"], e["k"], e["timestamp_ns"]))}
+        got = rows.filter("socket_cookie < 40").collect()
+        assert {(r["socket_cookie"], r["seq"], r["timestamp_ns"], r["direction"], bytes(r["payload"])) for r in got} == want and len(got) == len(want)
+        port = wire.EXCHANGES[protocol][1]
+        assert all((r["src_port"] == port) == (r["direction"] == "Ingress") and r["payload_len"] == len(r["payload"]) and r["ip_proto"] == (17 if protocol == "dns" else 6) for r in got)
+
+
+def test_messages_made_by_column_are_those_made_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import ingest, sessions
+    from flowlens.plans import fixtures
+
+    rows = fixtures.packets(spark, SF, "http1").unionByName(fixtures.packets(spark, SF, "redis").withColumns({"socket_cookie": F.col("socket_cookie") + 5000, "pid": F.lit(0).cast("long"), "tls_library": F.lit("OpenSsl")}))
+    broken = rows.filter("seq = 0 and socket_cookie >= 5000").withColumns({"seq": F.lit(9).cast("long"), "timestamp_ns": F.col("timestamp_ns") + 50_000_000, "payload": F.lit(b"?\r\n")})
+    closed = rows.filter("seq = 0 and socket_cookie % 3 = 0").withColumns({"seq": F.lit(1).cast("long"), "event_type": F.lit("SockClose"), "payload": F.lit(None).cast("binary")})
+    events = ingest.with_session_key(rows.unionByName(broken).unionByName(closed)).filter("socket_cookie % 10 = 3").select(*sessions.INPUT)
+    want, runners = [], {}
+    for e in sorted(events.collect(), key=lambda e: (e["session_key"], e["timestamp_ns"], e["seq"])):
+        runner = runners.setdefault(e["session_key"], sessions.SessionRunner())
+        first = runner.made
+        found = runner.feed(e.asDict())
+        assert [m["msg_no"] for m in found] == list(range(first, runner.made))
+        want += found
+    got = [r.asDict(recursive=True) for r in sessions.parse_sessions(events).collect()]
+    key = lambda r: (r["session_key"], r["msg_no"])
+    assert sorted(got, key=key) == sorted(want, key=key) and any(r["error"] for r in got) and any(r["headers"] for r in got) and any(r["method"] is None for r in got)
