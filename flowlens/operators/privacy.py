@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import threading
+import time
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -79,32 +82,82 @@ def model_entities(rows: DataFrame, text: str, tagger: Callable[[], Callable[[li
     return tokens.withColumn(out, F.filter(F.transform(spans, entity), lambda e: e["category"].isNotNull())).drop("__tokens")
 
 
+class _Wave:
+    """Items that so many threads take one after the other. A call that takes too long is given up: its thread is left alone, its
+    answer comes too late, and another thread goes on."""
+
+    def __init__(self, call: Callable, items: list, places: list[int], width: int, timeout_s: float):
+        self.call, self.items, self.timeout_s = call, items, timeout_s
+        self.answers: dict[int, object] = {}
+        self.lock, self.over = threading.Lock(), threading.Event()
+        self.todo = deque(places)
+        self.begun: dict[int, tuple[int, float]] = {}  # by thread: its item and since when
+        self.threads = itertools.count()
+        for _ in range(min(width, len(places))):
+            self._start()
+
+    def _start(self) -> None:
+        number = next(self.threads)
+        with self.lock:
+            if not self._next(number):
+                return
+        threading.Thread(target=self._work, args=(number,), daemon=True).start()
+
+    def _next(self, number: int) -> bool:
+        """Under the lock: gives a thread its next item, or lets it go."""
+        if self.todo:
+            self.begun[number] = self.todo.popleft(), time.monotonic()
+            return True
+        self.begun.pop(number, None)
+        if not self.begun:
+            self.over.set()
+        return False
+
+    def _work(self, number: int) -> None:
+        going = True
+        while going:
+            at = self.begun[number][0]
+            try:
+                answer = self.call(self.items[at])
+            except Exception:
+                answer = None
+            with self.lock:
+                if number not in self.begun:
+                    return  # given up
+                self.answers[at] = answer
+                going = self._next(number)
+
+    def run(self) -> dict[int, object]:
+        """The answers by place, None or nothing where there is none."""
+        left = self.timeout_s
+        while not self.over.wait(left):
+            with self.lock:
+                now = time.monotonic()
+                hanging = [n for n, (_, since) in self.begun.items() if now - since >= self.timeout_s]
+                for n in hanging:
+                    del self.begun[n]
+                if not self.begun and not self.todo:
+                    break
+                left = max(0.001, min((since + self.timeout_s - now for _, since in self.begun.values()), default=0.001))
+            for _ in hanging:
+                self._start()
+        return self.answers
+
+
 def calls_in_flight(call: Callable, items: list, width: int, timeout_s: float, retries: int) -> list:
     """call(item) for each item, `width` at once at most; None where it failed or took over timeout_s, after so many retries.
 
-    Calls go in waves of `width`, so a wave takes timeout_s at most and all of it ceil(items / width) waves, times the retries.
-    A call that hangs keeps its thread; the next wave gets threads of its own.
+    Threads take items one after the other, so a call costs little beside itself, and one that hangs holds up only its own
+    place, for timeout_s: all takes ceil(items / width) times timeout_s at most, times the retries.
     """
     out, todo = [None] * len(items), list(range(len(items)))
     for _ in range(retries + 1):
-        failed: list[int] = []
-        pool = ThreadPoolExecutor(width)
-        for i in range(0, len(todo), width):
-            wave = {pool.submit(call, items[at]): at for at in todo[i:i + width]}
-            done, hanging = wait(wave, timeout_s)
-            for future in done:
-                if future.exception() is None:
-                    out[wave[future]] = future.result()
-                if future.exception() is not None or future.result() is None:
-                    failed.append(wave[future])
-            failed += [wave[future] for future in hanging]
-            if hanging:
-                pool.shutdown(wait=False, cancel_futures=True)
-                pool = ThreadPoolExecutor(width)
-        pool.shutdown(wait=False, cancel_futures=True)
-        todo = sorted(failed)
         if not todo:
             break
+        answers = _Wave(call, items, todo, width, timeout_s).run()
+        for at in todo:
+            out[at] = answers.get(at)
+        todo = [at for at in todo if out[at] is None]
     return out
 
 
@@ -124,7 +177,8 @@ def external_entities(rows: DataFrame, key: str, text: str, client: Callable[[],
 
     `client` makes, once in each task, what maps a text (batch > 1: a list of texts) to findings (category, start, end in bytes,
     confidence), one list of them for each text, or to None where the call failed. A task has `width` calls in flight at most.
-    Findings of unknown category, out of the text, empty, or inside a character are left out. Nothing is shuffled.
+    Findings of unknown category, out of the text, empty, or inside a character are left out. Nothing is shuffled, so rows of few
+    partitions are better dealt out before (session.spread).
     """
     kind, base = dict(rows.dtypes)[key], rows.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found_kind = "array<struct<name: string, start: int, end: int, byte_start: int, byte_end: int, confidence: float, text: string>>"

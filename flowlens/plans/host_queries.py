@@ -13,7 +13,7 @@ from flowlens.operators import graph, host, ingest, joins, metrics, privacy, ses
 from flowlens.plans import fixtures
 from flowlens.plans.fixtures import HOUR_NS, L7_SQL
 from flowlens.plans.queries import ORACLES, _BASE, _EDGE_COLUMNS, _FLOWS, _PARSED, _STATS, _TEMPLATE, _as_stream, _drained, _reports, _stats, entity_sql, host_name, hourly, observations, query, state_partitions
-from flowlens.session import materialize, shared_dir, table
+from flowlens.session import materialize, shared_dir, spread, table
 from flowlens.sinks import export
 from flowlens.sources import capture
 from flowlens.streaming import folds
@@ -314,7 +314,7 @@ def q_external_entities(spark, sf):
         return lambda text: call(text[2:]) if not text.startswith("0:") else None
 
     rows = table(spark, sf, "part").select("p_partkey", F.concat((F.col("p_partkey") % 3).cast("string"), F.lit(":"), F.col("p_name")).alias("text"))
-    found = privacy.external_entities(rows, "p_partkey", "text", client, timeout_s=30)
+    found = privacy.external_entities(rows.repartition(spread(spark), "p_partkey"), "p_partkey", "text", client, timeout_s=30)
     # the service sees the text behind the mark, and the texts found are those of the marked one
     e = found.select("p_partkey", F.inline("external_entities"))
     return e.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", "category", "byte_start", "byte_end", F.expr("substring(p_name, start + 1, end - start)").alias("text"))

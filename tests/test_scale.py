@@ -148,3 +148,41 @@ def test_messages_made_by_column_are_those_made_one_by_one(spark):
     got = [r.asDict(recursive=True) for r in sessions.parse_sessions(events).collect()]
     key = lambda r: (r["session_key"], r["msg_no"])
     assert sorted(got, key=key) == sorted(want, key=key) and any(r["error"] for r in got) and any(r["headers"] for r in got) and any(r["method"] is None for r in got)
+
+
+def test_service_calls_cost_little_beside_themselves():
+    import threading
+    import time
+
+    from flowlens.operators import privacy
+
+    began, before = time.monotonic(), threading.active_count()
+    assert privacy.calls_in_flight(lambda x: [x] if x % 3 else None, list(range(60_000)), 8, 5, 1) == [[x] if x % 3 else None for x in range(60_000)]
+    assert time.monotonic() - began < 2 and threading.active_count() <= before + 8
+
+
+def test_a_call_that_hangs_holds_up_its_own_place_only():
+    import time
+
+    from flowlens.operators import privacy
+
+    began = time.monotonic()
+    out = privacy.calls_in_flight(lambda x: time.sleep(3 if x % 20 == 7 else 0.01) or x, list(range(100)), 2, 0.5, 0)
+    assert out == [None if x % 20 == 7 else x for x in range(100)] and time.monotonic() - began < 3.5
+
+
+def test_service_calls_of_a_small_table_go_out_from_many_tasks(spark):
+    from flowlens.operators import privacy
+
+    plain, seen = privacy.external_entities, []
+
+    def watched(rows, *args, **more):
+        seen.append(rows.rdd.getNumPartitions())
+        return plain(rows, *args, **more)
+
+    privacy.external_entities = watched
+    try:
+        entry.queries()["q_external_entities"](spark, SF)
+    finally:
+        privacy.external_entities = plain
+    assert seen[0] >= spark.sparkContext.defaultParallelism
