@@ -186,3 +186,20 @@ def test_service_calls_of_a_small_table_go_out_from_many_tasks(spark):
     finally:
         privacy.external_entities = plain
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_decompressed_payloads_are_handed_on_in_pieces(spark):
+    import gzip
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from flowlens.functions import compression
+
+    bomb = gzip.compress(bytes(2_000_000))
+    data, encoding = pa.array([bomb, None, b"junk", *[bomb] * 40]), pa.array(["gzip", "gzip", "GZIP", *["gzip"] * 39, "zstd"])
+    pieces = list(compression.decompressed.func(iter([(data, encoding), (data[:0], encoding[:0])])))
+    assert sum(map(len, pieces)) == 43 and max(p.nbytes for p in pieces) < compression.PIECE + 2_100_000
+    rows = spark.createDataFrame([(i, bytearray(bomb), "gzip") for i in range(30)] + [(30, None, "br")], "id int, data binary, encoding string").coalesce(1)
+    got = {r["id"]: (r["status"], r["n"]) for r in rows.select("id", compression.decompressed("data", "encoding").alias("d")).select("id", "d.status", F.length("d.data").alias("n")).collect()}
+    assert got == {i: ("success", 2_000_000) for i in range(30)} | {30: ("unsupported", None)}
