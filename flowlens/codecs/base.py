@@ -37,7 +37,7 @@ def number(data: bytes | bytearray, at: int, size: int, signed: bool = False, li
 
 
 def lossy(data: bytes | bytearray) -> str:
-    return bytes(data).decode("utf-8", "replace")
+    return data.decode("utf-8", "replace")
 
 
 def capped(text: str, limit: int) -> str:

@@ -10,6 +10,7 @@ from flowlens.codecs.http2 import PREFACE
 #: Ports that stand for a protocol, and the codes of a PostgreSQL start-up and of its backend messages.
 PORTS = {3306: "mysql", 5432: "postgres", 6379: "redis", 50051: "grpc", 80: "http1", 8080: "http1", 8000: "http1", 443: "http1", 8443: "http1", 53: "dns", 9092: "kafka", 5672: "amqp"}
 SSL_REQUEST, STARTUP_V3 = 80877103, 196608
+HTTP1_STARTS = (RESPONSE, *VERBS)
 BACKEND_TAGS, RESP_TAGS = b"RKZTDCENS", b"+-:$*"
 #: A DNS datagram begins with a number that may be anything, so on its port the rest of the header is looked at first: no reserved bit, one question.
 DNS_PORT, DNS_HEADER, DNS_OPCODES = 53, 12, (0, 1, 2, 4, 5)
@@ -42,7 +43,7 @@ def detect(payload: Column, src_port: Column, dst_port: Column) -> Column:
             by_port = F.when(port_column == port, F.lit(name)).otherwise(by_port)
     return (
         F.when(payload.isNull() | (F.octet_length(payload) == 0), F.lit(None).cast("string"))
-        .when(starts(PREFACE), "http2").when(starts(RESPONSE, *VERBS), "http1")
+        .when(starts(PREFACE), "http2").when(starts(*HTTP1_STARTS), "http1")
         .when(F.coalesce(dns, F.lit(False)), "dns")
         .when(F.substring(head, 7, 4) == "000A", "mysql")
         .when(F.coalesce(startup, F.lit(False)) | F.coalesce(backend, F.lit(False)), "postgres")
@@ -56,7 +57,7 @@ def detect_bytes(payload: bytes, src_port: int | None, dst_port: int | None) ->
         return None
     if payload.startswith(PREFACE):
         return "http2"
-    if payload.startswith((RESPONSE, *VERBS)):
+    if payload.startswith(HTTP1_STARTS):
         return "http1"
     if DNS_PORT in (src_port, dst_port) and len(payload) >= DNS_HEADER and payload[2] >> 3 & 15 in DNS_OPCODES and not payload[3] & 0x40 and payload[4:6] == b"\0\1":
         return "dns"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens import schema
 from flowlens.plans import wire
-from flowlens.session import ship, spread, table
+from flowlens.session import gathered, ship, spread, table
 
 HOUR_NS = 3_600_000_000_000
 
@@ -35,8 +35,11 @@ def epoch_micros(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + F.hour(ts) * F.lit(3_600_000_000).cast("long") + F.minute(ts) * F.lit(60_000_000).cast("long") + seconds
 
 
-def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), (epoch_micros(F.col("ts")) * 1000).alias("timestamp_ns"))
+def base_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """The events' columns that messages are made of. parts: rows are dealt to so many parts before anything is computed."""
+    rows = table(spark, sf_dir, "events")
+    rows = rows.repartition(parts, "event_id") if parts else rows
+    return rows.select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), (epoch_micros(F.col("ts")) * 1000).alias("timestamp_ns"))
 
 
 def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +57,9 @@ def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k") % 10 == 0).alias("has_pii"))
 
 
-def packets(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
-    """The exchange of each event as capture events; a session for each event.
+def packets(spark: SparkSession, sf_dir: str, protocol: str, marked: bool = False) -> DataFrame:
+    """The exchange of each event as capture events; a session for each event. marked: with the event's `k`, and `answers` on the
+    first packet from the server.
 
     Events are dealt out first, as a small table is few row groups and an event many packets. Python makes the bytes only; what
     is the same for every packet, or follows from the event's number, is columns.
@@ -64,22 +68,30 @@ def packets(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
     port = wire.EXCHANGES[protocol][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 2_000):
             counts, made = [], []
-            for n, k, ts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, k, ts in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
                 exchange = wire.packets(protocol, n, k, ts)
                 counts.append(len(exchange))
                 made += exchange
             at, client, data = zip(*made, strict=True) if made else ((), (), ())
             events = np.repeat(batch.column(0).to_numpy(), counts)
-            places = np.concatenate([np.arange(c) for c in counts]) if counts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(at, pa.int64()), pa.array(events, pa.int64()), pa.array(client, pa.bool_()), pa.array(data, pa.binary())], ["seq", "timestamp_ns", "socket_cookie", "client", "payload"])
-
-    base = base_events(spark, sf_dir).select("event_id", "k", "timestamp_ns").repartition(spread(spark), "event_id")
-    made = base.mapInArrow(run, "seq long, timestamp_ns long, socket_cookie long, client boolean, payload binary")
+            places = np.arange(len(made)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
+            columns = {"seq": pa.array(places, pa.int64()), "timestamp_ns": pa.array(at, pa.int64()), "socket_cookie": pa.array(events, pa.int64()), "client": pa.array(client, pa.bool_()), "payload": pa.array(data, pa.binary())}
+            if marked:
+                whose = np.repeat(np.arange(len(counts)), counts)
+                served = np.flatnonzero(~np.array(client, bool))
+                answers = np.zeros(len(made), bool)
+                answers[served[np.unique(whose[served], return_index=True)[1]]] = True
+                columns |= {"k": pa.array(np.repeat(batch.column(1).to_numpy(), counts), pa.int64()), "answers": pa.array(answers)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    base = base_events(spark, sf_dir, spread(spark)).select("event_id", "k", "timestamp_ns")
+    marks = ["k", "answers"] if marked else []
+    made = base.mapInArrow(run, "seq long, timestamp_ns long, socket_cookie long, client boolean, payload binary" + (", k long, answers boolean" if marked else ""))
     n, client = F.col("socket_cookie"), F.col("client")
     user, server = 40000 + n % 1000, F.lit(port).cast("long")
     known = {
         "event_type": F.lit("TcPacket"), "direction": F.when(client, "Egress").otherwise("Ingress"), "pid": n % 100, "tgid": n % 100, "src_addr": F.lit(0x0A000001), "dst_addr": F.lit(0x0A000002),
         "payload_len": F.octet_length("payload"), "tls_library": F.lit("None"), "src_port": F.when(client, user).otherwise(server), "dst_port": F.when(client, server).otherwise(user), "ip_proto": F.lit(17 if protocol == "dns" else 6)}
-    return made.select(*[(known[f.name].cast(f.dataType) if f.name in known else F.col(f.name)).alias(f.name) for f in schema.DATA_EVENT])
+    return made.select(*[(known[f.name].cast(f.dataType) if f.name in known else F.col(f.name)).alias(f.name) for f in schema.DATA_EVENT], *marks)

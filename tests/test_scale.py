@@ -203,3 +203,61 @@ def test_decompressed_payloads_are_handed_on_in_pieces(spark):
     rows = spark.createDataFrame([(i, bytearray(bomb), "gzip") for i in range(30)] + [(30, None, "br")], "id int, data binary, encoding string").coalesce(1)
     got = {r["id"]: (r["status"], r["n"]) for r in rows.select("id", compression.decompressed("data", "encoding").alias("d")).select("id", "d.status", F.length("d.data").alias("n")).collect()}
     assert got == {i: ("success", 2_000_000) for i in range(30)} | {30: ("unsupported", None)}
+
+
+def test_marked_packets_name_the_first_answer_of_each_event(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.plans import fixtures
+
+    for protocol in ("redis", "mysql", "amqp"):
+        rows = fixtures.packets(spark, SF, protocol, marked=True)
+        want = rows.filter("direction = 'Ingress'").groupBy("socket_cookie").agg(F.min("seq").alias("seq"), F.first("k").alias("k"))
+        assert sorted(map(tuple, rows.filter("answers").select("socket_cookie", "seq", "k").collect())) == sorted(map(tuple, want.collect()))
+        base = fixtures.base_events(spark, SF).select("event_id", "k")
+        assert {(r[0], r[1]) for r in rows.select("socket_cookie", "k").distinct().collect()} == {tuple(r) for r in base.collect()}
+        assert rows.drop("k", "answers").schema == fixtures.packets(spark, SF, protocol).schema
+
+
+def test_events_are_dealt_before_anything_is_computed(spark):
+    from flowlens.plans import fixtures
+
+    rows = fixtures.base_events(spark, SF, 24)
+    assert rows.rdd.getNumPartitions() == 24
+    plan = fixtures.packets(spark, SF, "http1")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.index("get_json_object") < plan.index("REPARTITION_BY_NUM")  # above the exchange, so in many tasks
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, fixtures.base_events(spark, SF).collect()))
+
+
+def test_small_batches_are_put_together():
+    import pyarrow as pa
+
+    from flowlens import session
+
+    parts = [pa.record_batch({"x": pa.array(range(i, i + n), pa.int64()), "b": pa.array([b"." * w] * n, pa.binary())}) for i, n, w in ((0, 3, 1), (3, 0, 1), (3, 4, 1), (7, 1, 900), (8, 2, 1), (10, 9, 1))]
+    got = list(session.gathered(iter(parts), rows=6, size=800))
+    assert [g.num_rows for g in got] == [7, 1, 11] and [x for g in got for x in g.column("x").to_pylist()] == list(range(19))
+    assert list(session.gathered(iter([]))) == []
+
+
+def test_a_session_is_read_over_the_ends_of_batches(spark):
+    from flowlens import schema
+    from flowlens.operators import ingest, sessions
+    from flowlens.plans import fixtures
+
+    def read(protocol):
+        rows = ingest.with_session_key(fixtures.packets(spark, SF, protocol))
+        return sorted((tuple(r) for r in sessions.parse_sessions(rows).collect()), key=lambda r: r[:2])
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for protocol in ("http1", "http2", "kafka", "amqp"):
+        want, before = read(protocol), spark.conf.get(setting)
+        try:
+            spark.conf.set(setting, "3")
+            assert read(protocol) == want
+        finally:
+            spark.conf.set(setting, before)
+    rows = ingest.with_session_key(fixtures.packets(spark, SF, "http1"))
+    parsed = sessions.parse_sessions(rows)
+    assert parsed.schema == schema.SESSION_ROW
+    assert parsed.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # joined to as many as cores and one, the last would run alone
