@@ -208,12 +208,17 @@ def q_parse_pipelined(spark, sf):
 @query(f"WITH {_BASE} SELECT event_id AS session_key, CASE WHEN k % 2 = 0 THEN NULL ELSE 'GET' END AS method FROM base")
 def q_session_close(spark, sf):
     """A close between request and response ends the session: the response has no request any more."""
-    rows = fixtures.packets(spark, sf, "redis")
-    keys = fixtures.base_events(spark, sf).filter("k % 2 = 0").select(F.col("event_id").alias("socket_cookie"))
-    first = rows.filter("direction = 'Ingress'").join(keys, "socket_cookie", "left_semi").groupBy("socket_cookie").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "socket_cookie"]), "seq").alias("r"))
-    closed = first.select("socket_cookie", "r.*").withColumns({"event_type": F.lit("SockClose"), "payload": F.lit(None).cast("binary"), "seq": F.col("seq") * 2 - 1}).select(*rows.columns)
-    later = rows.withColumn("seq", F.col("seq") * 2).unionByName(closed)
-    return sessions.parse_sessions(ingest.with_session_key(later.withColumn("timestamp_ns", F.col("seq")))).select("session_key", "method")
+    rows = fixtures.packets(spark, sf, "redis", marked=True)
+    names = [c for c in rows.columns if c not in ("k", "answers")]
+    at = F.col("seq") * 2
+
+    def event(**other):
+        return F.struct(*[other.get(c, F.col(c)).alias(c) for c in names])
+
+    packet = event(seq=at, timestamp_ns=at)
+    closes = event(seq=at - 1, timestamp_ns=at - 1, event_type=F.lit("SockClose"), payload=F.lit(None).cast("binary"))
+    later = rows.select(F.inline(F.when(F.col("answers") & (F.col("k") % 2 == 0), F.array(closes, packet)).otherwise(F.array(packet))))
+    return sessions.parse_sessions(ingest.with_session_key(later)).select("session_key", "method")
 
 
 @query("SELECT r_regionkey AS session_key, 'stream overflow' AS error FROM region")

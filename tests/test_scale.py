@@ -205,6 +205,14 @@ def test_decompressed_payloads_are_handed_on_in_pieces(spark):
     assert got == {i: ("success", 2_000_000) for i in range(30)} | {30: ("unsupported", None)}
 
 
+def test_a_close_comes_from_the_packets_themselves(spark):
+    import re
+
+    plan = entry.queries()["q_session_close"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\bMapInArrow\b", initial)) == 2 and "Join" not in initial and "Aggregate" not in initial  # made once, parsed once
+
+
 def test_marked_packets_name_the_first_answer_of_each_event(spark):
     from pyspark.sql import functions as F
 
