@@ -15,14 +15,14 @@ def read_head(data: bytearray) -> tuple[list[str], list[tuple[str, str]], int] |
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
-    first, *rest = bytes(data[:end]).split(b"\r\n")
-    start = lossy(first).split(" ", 2)
+    first, *rest = lossy(data[:end]).split("\r\n")
+    start = first.split(" ", 2)
     headers = []
     for line in rest:
-        name, colon, value = line.partition(b":")
+        name, colon, value = line.partition(":")
         if not colon or not name:
             return None
-        headers.append((lossy(name).lower(), lossy(value.strip(b" \t"))))
+        headers.append((name.lower(), value.strip(" \t")))
     return None if len(headers) > MOST_HEADERS or len(start) < 2 else (start, headers, end + 4)
 
 
@@ -61,9 +61,9 @@ class Http1Codec(Codec):
                 if self.skip:
                     return
                 self.state = "waiting_for_response"
-            elif self.request is None and self._read_request(ts):
+            elif self.request is None and self.client.data and self._read_request(ts):
                 continue
-            elif not self._read_response():
+            elif not self.server.data or not self._read_response():
                 return
 
     def _read_request(self, ts: int) -> bool:
