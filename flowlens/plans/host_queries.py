@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -363,13 +362,10 @@ BATCH_RECORDS = 1 << 20
 
 @query(f"WITH {_BASE} SELECT event_id AS socket_cookie, 'GET' AS method, 'user:' || n AS path FROM base")
 def q_stream_capture(spark, sf):
-    """Capture files followed as a stream: every file of the folder, in batches that end inside files."""
+    """Packed capture files followed as a stream: every file of the folder, in batches that end inside files."""
     capture.register(spark)
     path = f"{shared_dir(spark).removeprefix('file://')}/capture-{uuid.uuid4().hex}"
-    rows = fixtures.packets(spark, sf, "redis")
-    rows.repartition(max(3, spark.sparkContext.defaultParallelism), "socket_cookie").write.format("capture").mode("append").option("path", path).save()
-    files = [x for x in os.listdir(path) if not x.startswith(".")]
-    assert len(files) > 1 or rows.limit(1).count() == 0
+    fixtures.packets(spark, sf, "redis").write.format("capture").mode("append").option("path", path).option("compression", "gzip").option("maxRecordsPerFile", 20_000).save()
     back = _drained(capture.events_source(spark, "capture", path, stream=True, recordsPerBatch=str(BATCH_RECORDS)), "append", limited=True)
     return sessions.parse_sessions(ingest.with_session_key(back)).select(F.col("session_key").alias("socket_cookie"), "method", "path")
 

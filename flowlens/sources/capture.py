@@ -3,24 +3,26 @@
 The file: a magic of 6 bytes, version, start time and record count (little-endian), then each record with its length
 before it. Records are alike in size, so a file is split by record number, and parts are read side by side. As records are
 mostly filling, a file may be packed as a whole with gzip (option compression, name *.cap.gz): such a one is read as one part,
-and the writer begins a new file after maxRecordsPerFile records.
+and the writer begins a new file after maxRecordsPerFile records. Files of both kinds can be followed; a packed one counts as
+its header says, so it must be whole when it gets its name.
 """
 
 from __future__ import annotations
 
 import gzip
 import os
-import shutil
 import struct
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from flowlens import schema
@@ -36,6 +38,12 @@ RECORD = np.dtype([
     ("payload_len", "<u4"), ("tls_library", "<u4"), ("src_port", "<u2"), ("dst_port", "<u2"), ("ip_proto", "u1"), ("pad", "V3"), ("payload", f"V{schema.MAX_PAYLOAD}"),
 ])
 STRIDE = LENGTH.size + RECORD.itemsize
+#: A record with the length before it, its payload as bytes.
+_FRAMED = np.dtype([("length", "<u4"), *((n, ("u1", schema.MAX_PAYLOAD) if n == "payload" else RECORD[n]) for n in RECORD.names)])
+#: What zlib calls a member of a gzip file.
+_GZIP = 16 + zlib.MAX_WBITS
+_NUMBERS = ("timestamp_ns", "pid", "tgid", "src_addr", "dst_addr", "payload_len", "src_port", "dst_port", "ip_proto")
+_CODES = {"event_type": schema.EVENT_TYPES, "direction": schema.DIRECTIONS, "tls_library": schema.TLS_LIBRARIES}
 
 
 class CaptureError(ValueError):
@@ -87,6 +95,47 @@ def record_bytes(event: dict) -> bytes:
     return LENGTH.pack(RECORD.itemsize) + raw[:RECORD.fields["payload"][1]] + payload + raw[RECORD.fields["payload"][1] + len(payload):]
 
 
+def record_batch(raw: bytes, first_seq: int, shape: pa.Schema) -> pa.RecordBatch:
+    """read_records as a batch, made by columns."""
+    whole = len(raw) // STRIDE
+    r = np.frombuffer(raw, _FRAMED, whole)
+    sound = len(raw) - whole * STRIDE < LENGTH.size and (r["length"] == RECORD.itemsize).all() and (r["timestamp_ns"] < 1 << 63).all()
+    if not sound or any((r[c] >= len(names)).any() for c, names in _CODES.items()):
+        return pa.RecordBatch.from_pylist(read_records(raw, first_seq), schema=shape)  # it says what is wrong
+    starts = range(STRIDE - schema.MAX_PAYLOAD, whole * STRIDE, STRIDE)
+    columns = {c: pa.array(r[c].astype(np.int64)) for c in _NUMBERS} | {c: pa.array(names).take(pa.array(r[c])) for c, names in _CODES.items()} | {
+        "seq": pa.array(np.arange(first_seq, first_seq + whole)), "socket_cookie": pa.array(r["socket_cookie"].astype(np.int64)),
+        "payload": pa.array([raw[a:a + n] for a, n in zip(starts, np.minimum(r["payload_len"], schema.MAX_PAYLOAD).tolist(), strict=True)], pa.binary())}
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in shape], schema=shape)
+
+
+def batch_bytes(batch: pa.RecordBatch) -> bytes:
+    """The events of a batch as their records, each as record_bytes gives it, made by columns."""
+    r = np.zeros(batch.num_rows, _FRAMED)
+    r["length"] = RECORD.itemsize
+    for c in _NUMBERS:
+        values, most = batch.column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), np.iinfo(RECORD[c]).max
+        if ((values < 0) | (values.astype(np.uint64) > most)).any():
+            raise CaptureError(f"{c} out of range")
+        r[c] = values
+    if batch.column("socket_cookie").null_count:
+        raise CaptureError("no socket_cookie")
+    r["socket_cookie"] = batch.column("socket_cookie").cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.uint64)
+    for c, names in _CODES.items():
+        codes = pc.index_in(batch.column(c).cast(pa.string()), pa.array(names))
+        if codes.null_count:
+            raise CaptureError(f"unknown {c}")
+        r[c] = codes.to_numpy(zero_copy_only=False)
+    raw = memoryview(r.view(np.uint8))
+    for n, payload in enumerate(batch.column("payload").to_pylist(), 1):
+        if payload:
+            if len(payload) > schema.MAX_PAYLOAD:
+                raise CaptureError("payload too long")
+            at = n * STRIDE - schema.MAX_PAYLOAD
+            raw[at:at + len(payload)] = payload
+    return raw.tobytes()
+
+
 def capture_bytes(events: list[dict], started: int = 0) -> bytes:
     return HEADER.pack(MAGIC, VERSION, started, len(events)) + b"".join(map(record_bytes, events))
 
@@ -137,10 +186,11 @@ class CaptureReader(DataSourceReader):
         with _opened(partition.file) as f:
             f.seek(HEADER.size + partition.first * STRIDE)
             for at in range(0, partition.count, 512):
-                rows = read_records(f.read(min(512, partition.count - at) * STRIDE), partition.first + at)
-                if partition.file.endswith(".gz") and len(rows) < min(512, partition.count - at):
-                    raise CaptureError(f"record {at + len(rows)}: truncated")
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                most = min(512, partition.count - at)
+                batch = record_batch(f.read(most * STRIDE), partition.first + at, shape)
+                if partition.file.endswith(".gz") and batch.num_rows < most:
+                    raise CaptureError(f"record {partition.first + at + batch.num_rows}: truncated")
+                yield batch
 
 
 class CaptureStreamReader(DataSourceStreamReader):
@@ -148,14 +198,31 @@ class CaptureStreamReader(DataSourceStreamReader):
     batch takes all that is there, or recordsPerBatch at most, in the order of the files' names, and its parts are read by the
     executors. A bounded run (availableNow) asks a source in Python for one end only, so with a limit it handles one batch.
 
-    Only file sizes are looked at on the driver. A file whose header is not there yet waits for a later batch. Parts of a
-    batch come in no order: sort by timestamp_ns and seq inside a key. seq counts the records of a file.
+    Only file sizes, and headers of packed files, are looked at on the driver. A file whose header is not there yet waits for a
+    later batch. A packed file doesn't grow; a batch that begins inside one unpacks what lies before. Parts of a batch come in
+    no order: sort by timestamp_ns and seq inside a key. seq counts the records of a file.
     """
 
     def __init__(self, shape: StructType, options: dict):
         self.reader = CaptureReader(shape, options)
         self.path, self.most = options["path"], int(options.get("recordsPerBatch", sys.maxsize))
         self.given: dict[str, int] = {}
+        self.told: dict[str, int] = {}
+
+    def _there(self, file: str) -> int:
+        """How many whole records a file has."""
+        if not file.endswith(".gz"):
+            return max(0, os.path.getsize(file) - HEADER.size) // STRIDE
+        if file not in self.told:
+            with _opened(file) as f:
+                try:
+                    raw = f.read(HEADER.size)
+                except EOFError:
+                    raw = b""
+            if len(raw) < HEADER.size:
+                return 0
+            self.told[file] = read_header(raw)[1]
+        return self.told[file]
 
     def initialOffset(self) -> dict:
         return {}
@@ -164,10 +231,7 @@ class CaptureStreamReader(DataSourceStreamReader):
         left, out = self.most, dict(self.given)
         for file in _files(self.path):
             name = os.path.basename(file)
-            if file.endswith(".gz"):
-                raise CaptureError(f"{name}: a packed file can't be followed as it grows")
-            there = max(0, os.path.getsize(file) - HEADER.size) // STRIDE
-            take = min(left, there - out.get(name, 0))
+            take = min(left, self._there(file) - out.get(name, 0)) if left else 0
             if take > 0:
                 out[name] = out.get(name, 0) + take
                 left -= take
@@ -181,9 +245,10 @@ class CaptureStreamReader(DataSourceStreamReader):
         for name in sorted(end):
             file, first = os.path.join(where, name), start.get(name, 0)
             if end[name] > first:
-                with open(file, "rb") as f:
+                with _opened(file) as f:
                     read_header(f.read(HEADER.size))
-                out += [Part(file, i, min(size, end[name] - i)) for i in range(first, end[name], size)]
+                step = end[name] - first if file.endswith(".gz") else size
+                out += [Part(file, i, min(step, end[name] - i)) for i in range(first, end[name], step)]
         self.given = {name: max(n, self.given.get(name, 0)) for name, n in (self.given | end).items()}
         return out
 
@@ -199,7 +264,7 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class CaptureWriter(DataSourceWriter):
+class CaptureWriter(DataSourceArrowWriter):
     """Files of maxRecordsPerFile records at most for each partition that has rows; they get their final names when all tasks are done."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -209,32 +274,39 @@ class CaptureWriter(DataSourceWriter):
     def _hidden(self, file: str) -> str:
         return os.path.join(self.path, "." + os.path.basename(file))
 
-    def _close(self, f, file: str, count: int) -> None:
+    def _header(self, count: int) -> bytes:
+        """The header; of a packed file as a member of its own, stored, so that it can be put in its place at last."""
+        raw = HEADER.pack(MAGIC, VERSION, self.started, count)
+        packer = zlib.compressobj(0, zlib.DEFLATED, _GZIP)
+        return packer.compress(raw) + packer.flush() if self.packed else raw
+
+    def _close(self, f, packer, count: int) -> None:
+        if packer:
+            f.write(packer.flush())
         f.seek(0)
-        f.write(HEADER.pack(MAGIC, VERSION, self.started, count))
+        f.write(self._header(count))
         f.close()
-        if self.packed:
-            with open(self._hidden(file) + ".raw", "rb") as raw, gzip.open(self._hidden(file), "wb", 1) as out:
-                shutil.copyfileobj(raw, out, 1 << 20)
-            os.unlink(self._hidden(file) + ".raw")
 
-    def write(self, rows) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.path, exist_ok=True)
         context = TaskContext.get()
-        files, f, count = [], None, 0
-        for row in rows:
-            if f is not None and count == self.most:
-                self._close(f, files[-1], count)
-                f = None
-            if f is None:
-                name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):05d}.cap" + (".gz" if self.packed else "")
-                files.append(os.path.join(self.path, name))
-                f, count = open(self._hidden(files[-1]) + (".raw" if self.packed else ""), "wb"), 0
-                f.write(HEADER.pack(MAGIC, VERSION, self.started, 0))
-            f.write(record_bytes(row.asDict()))
-            count += 1
+        files, f, packer, count = [], None, None, 0
+        for batch in iterator:
+            at = 0
+            while at < batch.num_rows:
+                if f is not None and count == self.most:
+                    self._close(f, packer, count)
+                    f = None
+                if f is None:
+                    name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):05d}.cap" + (".gz" if self.packed else "")
+                    files.append(os.path.join(self.path, name))
+                    f, packer, count = open(self._hidden(files[-1]), "wb"), zlib.compressobj(1, zlib.DEFLATED, _GZIP) if self.packed else None, 0
+                    f.write(self._header(0))
+                some = batch.slice(at, min(512, self.most - count))
+                f.write(packer.compress(batch_bytes(some)) if packer else batch_bytes(some))
+                at, count = at + some.num_rows, count + some.num_rows
         if f is not None:
-            self._close(f, files[-1], count)
+            self._close(f, packer, count)
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:

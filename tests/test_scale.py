@@ -269,3 +269,68 @@ def test_a_session_is_read_over_the_ends_of_batches(spark):
     parsed = sessions.parse_sessions(rows)
     assert parsed.schema == schema.SESSION_ROW
     assert parsed.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # joined to as many as cores and one, the last would run alone
+
+
+def test_packed_capture_files_are_followed(spark, tmp_path):
+    from flowlens import schema
+    from flowlens.plans import fixtures
+    from flowlens.sources import capture
+
+    capture.register(spark)
+    path = tmp_path / "c"
+    rows = fixtures.packets(spark, SF, "redis").filter("socket_cookie < 40")
+    rows.coalesce(2).write.format("capture").mode("append").option("path", str(path)).option("compression", "gzip").option("maxRecordsPerFile", 50).save()
+    (path / "z.cap.gz").write_bytes(b"")  # its header is not there yet
+    n = rows.count()
+    reader = capture.CaptureStreamReader(schema.DATA_EVENT, {"path": str(path), "recordsPerBatch": "33", "recordsPerPartition": "20"})
+    got, start = [], reader.initialOffset()
+    while (end := reader.latestOffset()) != start:
+        parts = reader.partitions(start, end)
+        assert sum(p.count for p in parts) == min(33, n - len(got))
+        got += [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        start = end
+    keys = [c for c in rows.columns if c != "seq"]
+    assert sorted((tuple(r[c] for c in keys) for r in got), key=repr) == sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows.select(*keys).collect()), key=repr)
+    torn = path / "a.cap.gz"
+    import gzip
+
+    torn.write_bytes(gzip.compress(capture.HEADER.pack(capture.MAGIC, capture.VERSION, 0, 9) + bytes(10)))
+    with pytest.raises(capture.CaptureError):
+        list(reader.read(capture.Part(str(torn), 0, 9)))
+
+
+def test_followed_capture_files_take_little_disk(grown, spark):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(root) for f in files if "/capture-" in d)
+    before = size()
+    got, want = grown("q_stream_capture", events=f"SELECT * FROM '{SF}/events.parquet'")
+    assert got == want and size() - before < 1000 * 4 * 4156 / 10
+
+
+def test_one_event_in_capture_files(grown):
+    got, want = grown("q_stream_capture", events=f"SELECT * FROM '{SF}/events.parquet' LIMIT 1")
+    assert got == want and len(got) == 1
+
+
+def test_records_made_by_column_are_those_made_one_by_one(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from flowlens import schema
+    from flowlens.sources import capture
+
+    shape = to_arrow_schema(schema.DATA_EVENT)
+    base = {"seq": 5, "timestamp_ns": 2**62, "socket_cookie": -3, "event_type": "TlsData", "direction": "Egress", "pid": 7, "tgid": None, "src_addr": 2**32 - 1, "dst_addr": 0, "payload_len": 9000, "tls_library": "GoTls", "src_port": 65535, "dst_port": None, "ip_proto": 17, "payload": bytes(range(256)) * 16}
+    rows = [base, base | {"payload": None, "payload_len": 0, "socket_cookie": 2**63 - 1}, base | {"payload": b"x", "payload_len": 1, "direction": "Ingress"}]
+    raw = capture.batch_bytes(pa.RecordBatch.from_pylist(rows, schema=shape))
+    assert raw == b"".join(map(capture.record_bytes, rows))
+    for cut in (raw, raw[:-capture.STRIDE], raw + b"\1\2", b""):
+        assert capture.record_batch(cut, 4, shape).to_pylist() == capture.read_records(cut, 4)
+    for bad in (raw[:-1], raw + raw[:4], b"\0" + raw[1:], raw[:20] + b"\xff" + raw[21:]):
+        with pytest.raises(capture.CaptureError):
+            capture.record_batch(bad, 0, shape)
+    for bad in ({"payload": bytes(4097)}, {"direction": None}, {"event_type": "x"}, {"src_addr": 2**32}, {"pid": -1}, {"socket_cookie": None}):
+        with pytest.raises(capture.CaptureError):
+            capture.batch_bytes(pa.RecordBatch.from_pylist([base | bad], schema=shape))
