@@ -131,12 +131,16 @@ class AddressFold(Fold):
         self.scale = scale
 
     def begin(self, key: str) -> dict:
-        return {"address": None, "until": 0}
+        return {"address": None, "until": None}
 
     def feed(self, state: dict, event: dict) -> list[dict]:
-        changed = state["address"] != event["__address"]
-        state.update(address=event["__address"], until=max(state["until"], event["__at"] + event["__ttl"] * self.scale))
-        return [{"domain": event["__domain"], "address": event["__address"], "since": event["__at"]}] if changed else []
+        # a name that comes back had no address before, though no timer has come by yet
+        out = self.gone(event["__domain"], state, state["until"], False) if state["until"] is not None and state["until"] < event["__at"] else []
+        if out:
+            state.update(self.begin(event["__domain"]))
+        changed, until = state["address"] != event["__address"], event["__at"] + event["__ttl"] * self.scale
+        state.update(address=event["__address"], until=until if state["until"] is None else max(state["until"], until))
+        return [*out, {"domain": event["__domain"], "address": event["__address"], "since": event["__at"]}] if changed else out
 
     def until(self, state: dict, at: int) -> int:
         return state["until"]
@@ -146,23 +150,24 @@ class AddressFold(Fold):
 
 
 def asof_domain_stream(rows: DataFrame, dns: DataFrame, address: str, ts: str, late: str, ip: str = "ip", since: str = "inserted_at", ttl: str = "ttl", unit_ns: int = 1, buckets: int = 64) -> DataFrame:
-    """asof_domain over a stream of rows and one of answers; times are in units of unit_ns nanoseconds. A name is forgotten when
-    its time is up, so the state holds what counts just now. A row without an address has no name."""
+    """asof_domain over a stream of rows and one of answers; times are in whole units of unit_ns nanoseconds (see held_fold). A name is
+    forgotten when its time is up, so the state holds what counts just now. A row without an address has no name."""
     none = lambda kind: F.lit(None).cast(kind)
     given = [f"c_{c}" for c in rows.columns]
-    left = dns.select(F.col(ip).alias("__address"), (F.col(since) * unit_ns).alias("__ts"), F.lit(0).alias("__kind"), F.col("domain").alias("__domain"), F.col(ttl).cast("long").alias("__ttl"), *[none(rows.schema[c].dataType).alias(f"c_{c}") for c in rows.columns])
-    right = rows.select(F.coalesce(F.col(address), none(dns.schema[ip].dataType)).alias("__address"), (F.col(ts) * unit_ns).alias("__ts"), F.lit(1).alias("__kind"), none("string").alias("__domain"), none("long").alias("__ttl"), *[F.col(c).alias(f"c_{c}") for c in rows.columns])
+    left = dns.select(F.col(ip).alias("__address"), F.col(since).cast("long").alias("__ts"), F.lit(0).alias("__kind"), F.col("domain").alias("__domain"), F.col(ttl).cast("long").alias("__ttl"), *[none(rows.schema[c].dataType).alias(f"c_{c}") for c in rows.columns])
+    right = rows.select(F.coalesce(F.col(address), none(dns.schema[ip].dataType)).alias("__address"), F.col(ts).cast("long").alias("__ts"), F.lit(1).alias("__kind"), none("string").alias("__domain"), none("long").alias("__ttl"), *[F.col(c).alias(f"c_{c}") for c in rows.columns])
     shape = StructType([*[StructField(f"c_{f.name}", f.dataType) for f in rows.schema], StructField("domain", StringType())])
     key = F.coalesce(F.col("__address").cast("string"), F.lit(""))
-    out = held_fold(left.unionByName(right), key, functools.partial(NameFold, unit_ns, given), shape, late, ts="__ts", order=["__kind", "__domain"], buckets=buckets)
+    out = held_fold(left.unionByName(right), key, functools.partial(NameFold, 1, given), shape, late, ts="__ts", order=["__kind", "__domain"], buckets=buckets, unit_ns=unit_ns)
     return out.select(*[F.col(f"c_{c}").alias(c) for c in rows.columns], "domain")
 
 
 def address_stream(dns: DataFrame, late: str, ip: str = "ip", since: str = "inserted_at", ttl: str = "ttl", unit_ns: int = 1, buckets: int = 16) -> DataFrame:
-    """The latest address of each domain as a stream of changes: domain, address (null once all answers have run out), since (ns)."""
-    rows = dns.select(F.col("domain").alias("__domain"), F.col(ip).alias("__address"), (F.col(since) * unit_ns).alias("__ts"), F.col(ttl).cast("long").alias("__ttl"))
+    """The latest address of each domain as a stream of changes: domain, address (null once all answers have run out), since. Times are
+    in whole units of unit_ns nanoseconds (see held_fold)."""
+    rows = dns.select(F.col("domain").alias("__domain"), F.col(ip).alias("__address"), F.col(since).cast("long").alias("__ts"), F.col(ttl).cast("long").alias("__ttl"))
     shape = StructType([StructField("domain", StringType()), StructField("address", dns.schema[ip].dataType), *StructType.fromDDL("since long").fields])
-    return held_fold(rows, F.col("__domain"), functools.partial(AddressFold, unit_ns), shape, late, ts="__ts", order=["__address"], buckets=buckets)
+    return held_fold(rows, F.col("__domain"), functools.partial(AddressFold, 1), shape, late, ts="__ts", order=["__address"], buckets=buckets, unit_ns=unit_ns)
 
 
 # ---- libraries ----------------------------------------------------------------------------------------------------

@@ -334,3 +334,39 @@ def test_records_made_by_column_are_those_made_one_by_one(spark):
     for bad in ({"payload": bytes(4097)}, {"direction": None}, {"event_type": "x"}, {"src_addr": 2**32}, {"pid": -1}, {"socket_cookie": None}):
         with pytest.raises(capture.CaptureError):
             capture.batch_bytes(pa.RecordBatch.from_pylist([base | bad], schema=shape))
+
+
+FAR = f"SELECT * REPLACE (c_custkey + 5398500 * (c_custkey % 2) AS c_custkey) FROM '{SF}/customer.parquet'"
+
+
+def test_streamed_addresses_after_2262(spark, tmp_path):
+    """The SQL's nanoseconds overflow there, so they are reckoned with wider numbers."""
+    con = duckdb.connect()
+    con.execute(f"COPY ({FAR}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    sql = entry.oracle_sql()["q_stream_addresses"]
+    with pytest.raises(duckdb.OutOfRangeException):
+        con.execute(sql).fetchall()
+    want = con.execute(sql.replace("* 1000000000", "* 1000000000::HUGEINT")).fetchall()
+    got = entry.queries()["q_stream_addresses"](spark, str(tmp_path)).select("domain", "address", "since").collect()
+    assert sorted((d, str(a), int(t)) for d, a, t in got) == sorted((d, str(a), t) for d, a, t in want)
+    assert max(int(r["since"]) for r in got) >= 1 << 63
+    near = entry.queries()["q_stream_addresses"](spark, SF)
+    assert dict(near.dtypes)["since"] == "bigint"
+
+
+def test_a_late_event_is_dropped_by_the_clock_of_its_unit(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from flowlens.plans.queries import _drained
+    from flowlens.streaming import folds, held
+
+    held.use_keyed_state(spark)
+    day, far = 86400, 12_000_000_000  # seconds; beyond 2262
+    parts = [[("a", 1, far, 10 * day)], [("b", 2, far + 5 * day, 10 * day)], [("c", 4, far + 4 * day, day)], [("late", 3, far + day, day)], [("d", 5, far + 900 * day, day)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "domain string, ip long, inserted_at long, ttl long").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    stream = spark.readStream.schema("domain string, ip long, inserted_at long, ttl long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = _drained(folds.address_stream(stream, "3 days", unit_ns=1_000_000_000), "append").filter(F.col("domain") != "d").collect()
+    assert sorted((r["domain"], r["since"] - far) for r in got) == [("a", 0), ("a", 10 * day), ("b", 5 * day), ("b", 15 * day), ("c", 4 * day), ("c", 5 * day)]

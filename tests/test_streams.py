@@ -303,3 +303,35 @@ def test_a_long_batch_that_does_not_wait_is_folded_in_parts():
     out = bucket.add(rows)
     assert sorted((r["key"], r["at"], r["n"]) for r in out) == sorted((f"k{i % 50}", i, i // 50 + 1) for i in range(25_000))
     assert bucket.handle.stores["waiting"].trips > 0 and not bucket.handle.stores["waiting"]
+
+
+def test_slots_of_few_events_share_an_entry():
+    bucket = Bucket(Last, ["at"], ["key", "at", "n"])
+    times = [i * 7 * SECOND for i in range(10_000)]
+    random.Random(5).shuffle(times)
+    assert bucket.add([(f"k{t}", t, t) for t in times]) == []
+    waiting = bucket.handle.stores["waiting"]
+    assert waiting.trips <= 40  # 10,000 when each slot had its own
+    got = []
+    for ms in (1_000, 20_000_500, 20_000_900, 50_000_000):
+        now = bucket.pass_(ms)
+        assert max([r["at"] for r in now], default=0) < ms * 1_000_000
+        got += now
+    assert [r["at"] for r in got if r["n"] == 1] == sorted(t for t in times if t < 50_000 * SECOND)
+    got += bucket.pass_(10**9)
+    assert sorted(r["at"] for r in got if r["n"] == 1) == sorted(times) and not waiting and not bucket.handle.stores["states"] and not bucket.handle.timers
+    assert waiting.trips <= 150
+
+
+def test_a_name_that_comes_back_had_no_address_before():
+    bucket = Bucket(functools.partial(folds.AddressFold, 1), ["__domain", "__address", "__ttl"], ["domain", "address", "since"])
+    bucket.add([("a", 0, "a", 1, 2 * SECOND), ("a", 2 * SECOND, "a", 1, 2 * SECOND), ("a", 9 * SECOND, "a", 1, SECOND), ("a", 20 * SECOND, "a", 2, SECOND)])
+    got = [(r["domain"], r["address"], r["since"] // SECOND) for r in bucket.pass_(60_000)]
+    assert [(d, None if a != a else a, t) for d, a, t in got] == [("a", 1, 0), ("a", None, 4), ("a", 1, 9), ("a", None, 10), ("a", 2, 20), ("a", None, 21)]
+
+
+def test_units_of_time(spark):
+    rows = spark.readStream.format("rate").load().selectExpr("value as k", "value as at")
+    held.use_keyed_state(spark)
+    with pytest.raises(ValueError, match="unit"):
+        held.held_fold(rows, F.col("k"), Last, rows.schema, "1 second", ts="at", unit_ns=1000)
