@@ -335,3 +335,12 @@ def test_units_of_time(spark):
     held.use_keyed_state(spark)
     with pytest.raises(ValueError, match="unit"):
         held.held_fold(rows, F.col("k"), Last, rows.schema, "1 second", ts="at", unit_ns=1000)
+
+
+def test_a_key_stays_while_its_events_wait():
+    """The watermark stands inside a slot: what lies before it in that slot has not been folded yet."""
+    bucket = Bucket(functools.partial(folds.NameFold, 1, ["row"]), ["__kind", "__domain", "__ttl", "row"], ["row", "domain"], slot_ns=10 * SECOND)
+    bucket.add([("10", 0, 0, "a", 13 * SECOND, 0), ("10", 12 * SECOND, 1, None, 0, 1)])
+    assert bucket.pass_(15_000) == []
+    assert [(r["row"], r["domain"]) for r in bucket.pass_(60_000)] == [(1, "a")]
+    assert not bucket.handle.stores["states"] and not bucket.handle.timers
