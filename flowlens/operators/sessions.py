@@ -33,7 +33,7 @@ class SessionRunner:
 
     def feed(self, event: dict) -> list[dict]:
         """The rows that an event completes."""
-        found = self.step(event["timestamp_ns"], event["event_type"] == "SockClose", event["direction"] == "Egress", event["payload"], event["src_port"], event["dst_port"])
+        found = self.step(event["timestamp_ns"], event["event_type"] == "SockClose", event.get("direction") == "Egress", event["payload"], event.get("src_port"), event.get("dst_port"))
         return [self._row(event, *each) for each in found]
 
     def step(self, now: int, closes: bool, egress: bool, payload: bytes | None, src_port: int | None, dst_port: int | None) -> list[tuple]:
